@@ -1,15 +1,15 @@
-"""Quality rules and a log-likelihood ratio of hashed word n-grams.
-
-Every word is hashed to 32 bits; words and pairs of neighbours fall into BUCKETS bins. Two
-multinomials over the bins are counted: of all documents, and of a bounded sample of trusted
-ones. A document's score is the mean over its n-grams of log p_trusted - log p_raw, in
-millionths, so that sums are exact and do not depend on the order of work. A fixed threshold
-decides on every document.
+"""Quality rules and a log-likelihood ratio of hashed character n-grams.
+
+Every three characters in a row, white space included, are hashed to one of BUCKETS bins.
+Two multinomials over the bins are counted: of all documents, and of a bounded sample of
+trusted ones. An n-gram's weight is the log of its trusted count over the count that the raw
+corpus lets expect, both with PRIOR added, so that rare n-grams tell little. A document's
+score is its mean weight. Weights are whole millionths, so sums are exact and do not depend on
+the order of work. A fixed threshold decides on every document.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,22 +24,24 @@ from scoreloom.llm.arrowtext import Words, slices, words
 BUCKETS = 1 << 16
 #: Trusted documents that the target is counted on: those with the smallest hashes of their ids.
 TRUSTED = 20_000
-#: Least mean log ratio, in millionths.
-THRESHOLD = -115_000
+PRIOR = 5
+#: Least mean weight, in millionths.
+THRESHOLD = -550_000
 SYMBOLS = "[#*$%&|<>]"
 
 
-def _bins(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin of each word, of each pair with the next word, and whether that pair is in one text."""
-    md5 = hashlib.md5
-    each = np.fromiter((int(md5(x).hexdigest()[:8], 16) for x in w.distinct.cast(pa.binary()).to_pylist()), np.int64, len(w.distinct))
-    h = each[w.codes] if len(each) else np.empty(0, np.int64)
-    pair = np.zeros(len(h), np.int64)
-    pair[:-1] = (h[:-1] * 31 + h[1:]) % BUCKETS
-    inside = np.ones(len(h), bool)
-    ends = w.bounds[1:][np.diff(w.bounds) > 0] - 1
-    inside[ends] = False
-    return h % BUCKETS, pair, inside
+def _bins(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bin of each trigram of the texts, and how many each text has."""
+    raw = [t.encode("utf-32-le", "surrogatepass") for t in pc.fill_null(texts, "").to_pylist()]
+    c = np.frombuffer(b"".join(raw), np.uint32).astype(np.int64)
+    n = np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
+    if len(c) < 3:
+        return np.empty(0, np.int64), np.zeros(len(n), np.int64)
+    last = np.ones(len(c), bool)  # the last two characters of a text begin no trigram
+    ends = np.cumsum(n)
+    last[(ends - 1)[n > 0]] = last[(ends - 2)[n > 1]] = False
+    h = (c[:-2] * 961 + c[1:-1] * 31 + c[2:]) * 2654435761 % (1 << 32) >> 16
+    return h[last[:-2]], np.maximum(n - 2, 0)
 
 
 def trusted_ids(labels: DataFrame, bound: int = TRUSTED, id_col: str = "doc_id") -> DataFrame:
@@ -57,11 +59,10 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for b in slices(batch, "text"):
-                w = words(b.column("text"))
-                uni, pair, inside = _bins(w)
-                good = np.repeat(pc.fill_null(b.column("good"), False).to_numpy(zero_copy_only=False), np.diff(w.bounds))
-                raw += np.bincount(uni, minlength=BUCKETS) + np.bincount(pair[inside], minlength=BUCKETS)
-                target += np.bincount(uni[good], minlength=BUCKETS) + np.bincount(pair[inside & good], minlength=BUCKETS)
+                bins, n = _bins(b.column("text"))
+                good = np.repeat(pc.fill_null(b.column("good"), False).to_numpy(zero_copy_only=False), n)
+                raw += np.bincount(bins, minlength=BUCKETS)
+                target += np.bincount(bins[good], minlength=BUCKETS)
         some = np.flatnonzero(raw)
         yield pa.record_batch([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
@@ -69,14 +70,13 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
 
 
 def weights(counts: DataFrame) -> np.ndarray:
-    """Log ratio of each bin in millionths; add-one smoothing. At most BUCKETS rows reach the driver."""
+    """Weight of each bin in millionths; all zero without trusted documents. At most BUCKETS rows reach the driver."""
     rows = counts.toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[rows.bucket], target[rows.bucket] = rows.raw, rows.target
     if not target.sum():
         return np.zeros(BUCKETS, np.int64)
-    ratio = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
-    return np.rint(1e6 * ratio).astype(np.int64)
+    return np.rint(1e6 * np.log((target + PRIOR) / (raw * target.sum() / raw.sum() + PRIOR))).astype(np.int64)
 
 
 def _dense(*keys: np.ndarray) -> np.ndarray:
@@ -128,9 +128,8 @@ def score(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
                 code = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False)
                 first = np.unique(line_row[wordy].astype(np.int64) * (len(flat) + 1) + code[wordy]) // (len(flat) + 1)
                 dup = np.bincount(line_row[wordy], minlength=m) - np.bincount(first, minlength=m)
-                uni, pair, inside = _bins(w)
-                llr = add(ratio[uni]) + np.bincount(row[inside], ratio[pair[inside]], minlength=m).astype(np.int64)
-                grams = np.maximum(2 * n - 1, 0)
+                bins, grams = _bins(texts)
+                llr = np.bincount(np.repeat(np.arange(m), grams), ratio[bins], minlength=m).astype(np.int64)
                 repeat = add(_repeated(w, row))
                 failed = (n < 10) | (100 * repeat > 20 * n)
                 kept = ~failed & (llr >= threshold * grams)
@@ -153,14 +152,14 @@ ORACLE2 = r"""
 WITH good AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 20000),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d)),
-h AS (SELECT *, ('0x' || substr(md5(word), 1, 8))::BIGINT AS h FROM w),
-g AS (SELECT doc_id, i, word, h % 65536 AS uni, CASE WHEN lead(h) OVER o IS NOT NULL THEN (h * 31 + lead(h) OVER o) % 65536 END AS bi,
-  CASE WHEN lead(word, 4) OVER o IS NOT NULL THEN word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o END AS win
-  FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-f AS (SELECT doc_id, uni AS b FROM g UNION ALL SELECT doc_id, bi FROM g WHERE bi IS NOT NULL),
+g AS (SELECT doc_id, i, CASE WHEN lead(word, 4) OVER o IS NOT NULL THEN word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o || ' ' || lead(word, 4) OVER o END AS win
+  FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ch AS (SELECT doc_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM (SELECT doc_id, string_split(text, '') AS cs FROM d WHERE text <> '')),
+t3 AS (SELECT doc_id, unicode(c)::BIGINT AS a, lead(unicode(c)) OVER o AS b, lead(unicode(c), 2) OVER o AS e FROM ch WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT doc_id, ((a * 961 + b * 31 + e) * 2654435761 % 4294967296) // 65536 AS b FROM t3 WHERE e IS NOT NULL),
 c AS (SELECT b, count(*) AS raw, count(good.doc_id) AS target FROM f LEFT JOIN good USING (doc_id) GROUP BY b),
-tot AS (SELECT sum(raw) AS r, sum(target) AS t FROM c),
-lw AS (SELECT b, CASE WHEN t = 0 THEN 0 ELSE round(1e6 * (ln((target + 1) / (t + 65536)) - ln((raw + 1) / (r + 65536))))::BIGINT END AS lw FROM c, tot),
+tot AS (SELECT sum(raw)::DOUBLE AS r, sum(target)::DOUBLE AS t FROM c),
+lw AS (SELECT b, CASE WHEN t = 0 THEN 0 ELSE round(1e6 * ln((target + 5) / (raw * t / r + 5)))::BIGINT END AS lw FROM c, tot),
 llr AS (SELECT doc_id, sum(lw)::BIGINT AS llr_sum, count(*) AS n_ngrams FROM f JOIN lw USING (b) GROUP BY doc_id),
 rep AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) > 1 AS hit FROM g WHERE win IS NOT NULL),
 rw AS (SELECT g.doc_id, g.i FROM g JOIN rep ON rep.doc_id = g.doc_id AND rep.hit AND g.i BETWEEN rep.i AND rep.i + 4 GROUP BY ALL),
@@ -172,5 +171,5 @@ j AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS
   coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(llr_sum, 0) AS llr_sum, coalesce(n_ngrams, 0) AS n_ngrams
   FROM d LEFT JOIN st USING (doc_id) LEFT JOIN dl USING (doc_id) LEFT JOIN rc USING (doc_id) LEFT JOIN llr USING (doc_id)),
 k AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM j)
-SELECT *, NOT base_failed AND llr_sum >= -115000 * n_ngrams AS kept FROM k
+SELECT *, NOT base_failed AND llr_sum >= -550000 * n_ngrams AS kept FROM k
 """
