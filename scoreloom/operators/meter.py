@@ -1,0 +1,106 @@
+"""Time signatures, bars, tempi, quantizing and scaling."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from scoreloom.operators.order import ffill, order
+
+
+def make_time_signatures_explicit(df: DataFrame, default: tuple[int, int] = (4, 4)) -> DataFrame:
+    """ts_numerator and ts_denominator of every row, filled forward from `other`."""
+    if {"ts_numerator", "ts_denominator"} <= set(df.columns):
+        return df
+    sign = F.when(F.col("type") == "time_signature", F.from_json("other", "numerator double, denominator double"))
+    last = ffill(sign, order(df))
+    return df.withColumn("__ts", last).withColumn("ts_numerator", F.coalesce("__ts.numerator", F.lit(float(default[0])))).withColumn("ts_denominator", F.coalesce("__ts.denominator", F.lit(float(default[1])))).drop("__ts")
+
+
+def add_time_sig_dur(df: DataFrame) -> DataFrame:
+    return make_time_signatures_explicit(df).withColumn("time_sig_dur", F.col("ts_numerator") * 4 / F.col("ts_denominator"))
+
+
+def infer_barlines(df: DataFrame) -> DataFrame:
+    """Bars of scores that have none: one each bar length from every time signature to the next or to the
+    last release, which counts up to four bars after the last onset. row_id of a bar is null."""
+    signs = F.from_json("other", "numerator double, denominator double")
+    per = Window.partitionBy("score_id").orderBy("onset")
+    ends = df.groupBy("score_id").agg(F.max("release").alias("r"), F.max("onset").alias("o"), F.max(F.when(F.col("type") == "bar", 1).otherwise(0)).alias("bars"), F.min(F.when(F.col("type") == "note", F.col("onset"))).alias("first"))
+    ts = df.where("type = 'time_signature'").select("score_id", "onset", (signs["numerator"] * 4 / signs["denominator"]).alias("dur")).dropDuplicates(["score_id", "onset"])
+    early = ts.groupBy("score_id").agg(F.min("onset").alias("ts0"))
+    start = ends.join(early, "score_id", "left").where(F.col("ts0").isNull() | (F.col("ts0") > F.col("first"))).select("score_id", F.least("first", F.lit(0.0)).alias("onset"), F.lit(4.0).alias("dur"))
+    spans = ts.unionByName(start).withColumn("next", F.lead("onset").over(per)).join(ends.where("bars = 0"), "score_id")
+    stop = F.coalesce("next", F.least("r", F.col("o") + 4 * F.col("dur")))
+    steps = F.ceil((stop - F.col("onset")) / F.col("dur")) - 1
+    at = spans.withColumn("__stop", stop).where(F.col("__stop") > F.col("onset")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), steps.cast("long")))).select("score_id", (F.col("onset") + F.col("k") * F.col("dur")).alias("onset"), F.least("r", F.col("o") + 4 * F.col("dur")).alias("end"))
+    bars = at.select("score_id", F.lit("bar").alias("type"), "onset", F.coalesce(F.lead("onset").over(per), "end").alias("release"))
+    return df.unionByName(bars, allowMissingColumns=True)
+
+
+def number_bars(df: DataFrame, initial: int = 1) -> DataFrame:
+    """bar_number on bar rows, null elsewhere."""
+    bars = Window.partitionBy("score_id", "type").orderBy("onset")
+    return df.withColumn("bar_number", F.when(F.col("type") == "bar", F.row_number().over(bars) + initial - 1).cast("long"))
+
+
+def make_bar_explicit(df: DataFrame, default: int = -1, initial: int = 1) -> DataFrame:
+    """bar_number of every row; `default` before the first bar."""
+    return number_bars(df, initial).withColumn("bar_number", F.coalesce(ffill("bar_number", order(df)), F.lit(default).cast("long")))
+
+
+def add_bar_durs(df: DataFrame) -> DataFrame:
+    """bar_dur on bar rows, and their release: up to the next bar, for the last up to the last release."""
+    bars = Window.partitionBy("score_id", "type").orderBy("onset")
+    end = F.coalesce(F.lead("onset").over(bars), F.max("release").over(Window.partitionBy("score_id")))
+    is_bar = F.col("type") == "bar"
+    return df.withColumn("__end", end).withColumn("bar_dur", F.when(is_bar, F.col("__end") - F.col("onset"))).withColumn("release", F.when(is_bar, F.col("__end")).otherwise(F.col("release"))).drop("__end")
+
+
+def get_bar_relative_onset(df: DataFrame) -> DataFrame:
+    """bar_relative_onset: onset since the last bar; 0 before any."""
+    bar = ffill(F.when(F.col("type") == "bar", F.col("onset")), order(df))
+    return df.withColumn("bar_relative_onset", F.coalesce(F.col("onset") - bar, F.lit(0.0)))
+
+
+def make_tempos_explicit(df: DataFrame, default: float = 120.0) -> DataFrame:
+    """tempo of every row in beats a minute; `set_tempo` rows give microseconds a beat."""
+    value = F.get_json_object("other", "$.tempo").cast("double")
+    bpm = F.when(F.col("type") == "tempo", value).when(F.col("type") == "set_tempo", 6e7 / value)
+    return df.withColumn("tempo", F.coalesce(ffill(bpm, order(df)), F.lit(default)))
+
+
+def quantize_df(df: DataFrame, tpq: int = 4, zero_dur_action: str = "min_dur") -> DataFrame:
+    """Times rounded (half to even) to 1/tpq. Notes that get no length: one tick more, or 'preserve' or 'remove'."""
+    tick = lambda c: F.rint(F.col(c) * tpq)
+    out = df.withColumn("__o", tick("onset")).withColumn("__r", tick("release"))
+    none = (F.col("type") == "note") & (F.col("__o") == F.col("__r")) if "type" in df.columns else F.col("__o") == F.col("__r")
+    if zero_dur_action == "min_dur":
+        out = out.withColumn("__r", F.when(none, F.col("__r") + 1).otherwise(F.col("__r")))
+    elif zero_dur_action in ("remove", "drop"):
+        out = out.where(~F.coalesce(none, F.lit(False)))
+    elif zero_dur_action != "preserve":
+        raise ValueError(zero_dur_action)
+    return out.withColumn("onset", F.col("__o") / tpq + 0.0).withColumn("release", F.col("__r") / tpq + 0.0).drop("__o", "__r")
+
+
+def scale_df(df: DataFrame, factor: float) -> DataFrame:
+    return df.withColumn("onset", F.col("onset") * factor).withColumn("release", F.col("release") * factor)
+
+
+def to_absolute_time(df: DataFrame, tempi: DataFrame) -> DataFrame:
+    """Onset and release as quarters at 120 beats a minute. `tempi`: score_id, onset, tempo; of several at one
+    onset the last by value counts. Each time is placed in its tempo segment by an as-of window, not a join per tempo."""
+    segs = tempi.groupBy("score_id", "onset").agg(F.max("tempo").alias("tempo"))
+    first = df.groupBy("score_id").agg(F.least(F.min("onset"), F.lit(0.0)).alias("onset")).withColumn("tempo", F.lit(120.0))
+    segs = first.join(segs, ["score_id", "onset"], "left_anti").unionByName(segs)
+    per = Window.partitionBy("score_id").orderBy("onset")
+    length = (F.col("onset") - F.lag("onset").over(per)) * 120 / F.lag("tempo").over(per)
+    segs = segs.withColumn("len", F.coalesce(length, F.lit(0.0))).withColumn("start", F.sum("len").over(per.rowsBetween(Window.unboundedPreceding, 0)))
+    start0 = F.first(F.col("onset")).over(per)
+    segs = segs.withColumn("seg", F.struct(F.col("onset").alias("at"), "tempo", (F.col("start") + start0).alias("start"))).select("score_id", F.col("onset").alias("t"), "seg", F.lit(0).alias("k"))
+    moments = df.select("score_id", F.explode(F.array("onset", "release")).alias("t")).where("t is not null").distinct().withColumn("seg", F.lit(None).cast(segs.schema["seg"].dataType)).withColumn("k", F.lit(1))
+    at = Window.partitionBy("score_id").orderBy("t", "k")
+    placed = segs.unionByName(moments).withColumn("seg", ffill("seg", at)).where("k = 1").select("score_id", "t", (F.col("seg.start") + (F.col("t") - F.col("seg.at")) * 120 / F.col("seg.tempo")).alias("new"))
+    a, b = placed.withColumnsRenamed({"t": "onset", "new": "__o"}), placed.withColumnsRenamed({"t": "release", "new": "__r"})
+    return df.join(a, ["score_id", "onset"], "left").join(b, ["score_id", "release"], "left").withColumn("onset", F.col("__o")).withColumn("release", F.col("__r")).drop("__o", "__r")
