@@ -37,7 +37,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
     got = Q.queries()[name](spark, SF)
-    want = con.sql(f"SELECT {', '.join(sorted(got.columns))} FROM ({Q.oracle_sql()[name]})").fetchall()
+    want = con.sql(f"SELECT {', '.join(f'"{c}"' for c in sorted(got.columns))} FROM ({Q.oracle_sql()[name]})").fetchall()
     assert plain(got.select(*sorted(got.columns)).collect()) == plain(want)
 
 
