@@ -1,15 +1,18 @@
 """Token ids of whole texts with the ``tokenizers`` library.
 
 Prose repeats its words, so a text is cut at spaces where the tokenizer cuts too,
-each distinct piece is encoded once and its ids are gathered for all places. Where
-such a cut could change ids (runs of white space before a space, a tokenizer of
-another kind), the whole text goes through the library.
+each distinct piece is encoded once and its ids are gathered for all places. Pieces of
+plain Latin letters, digits and signs are cut further, into the pre-tokens that the
+tokenizer would make, and only the library's model sees these. Where such a cut could
+change ids (runs of white space before a space, a tokenizer of another kind), the whole
+text goes through the library.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -18,11 +21,25 @@ import pyarrow.compute as pc
 
 from scoreloom.llm.arrowtext import ranges
 
-#: Distinct pieces remembered by a Python worker (about 100 MB).
-MEMORY_PIECES = 600_000
+#: Distinct pieces and pre-tokens remembered by a Python worker (about 120 MB).
+MEMORY_PIECES, MEMORY_PRETOKENS = 500_000, 400_000
 _ANY_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Pieces whose pre-tokens _CUTS finds, by kind; apostrophes (contractions) are left to the library.
+_SURE = {"joined": re.compile(rf"[ -&(-~{_LETTER}]*(?:\n[ -&(-~{_LETTER}]+)*\n?"), "dropped": re.compile(rf"[!-&(-~{_LETTER}]*")}
+_CUTS = {"joined": re.compile(rf" ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\n| "), "dropped": re.compile(rf"[{_LETTER}]+|[0-9]|[^\s0-9{_LETTER}]+")}
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign that byte-level BPE writes for each byte: printable ones stand for
+    themselves, the others get the signs from 256 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 def _kind(path: str) -> str:
     """'joined': byte-level pieces that begin with their space; 'dropped': white space
     is no part of any token; 'whole': neither is certain."""
@@ -34,7 +51,7 @@ def _kind(path: str) -> str:
     steps = pre.get("pretokenizers", [])
     plain = all(x["type"] in ("NFC", "Lowercase", "Replace") for x in (norm or {}).get("normalizers", [{"type": "?"}]))
     split = steps[0] if steps else {}
-    if plain and split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed" and r"[^\s\p{L}\p{N}]+" in str(split.get("pattern")):
+    if plain and split.get("type") == "Split" and split.get("invert") and split.get("behavior") == "Removed" and split["pattern"].get("Regex", "").endswith(r"[^\s\p{L}\p{N}]+"):
         return "dropped"
     return "whole"
 
@@ -45,18 +62,44 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.kind = _kind(path)
+        self.pretokens: dict[str, list[int]] = {}
+        self.sure, self.cuts, self.signs = _SURE.get(self.kind), _CUTS.get(self.kind), _byte_signs()
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # such strings in a text are ordinary text
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        if len(self.pretokens) > MEMORY_PRETOKENS:
+            self.pretokens.clear()
         self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
         self.pool = np.empty(0, np.uint32)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of distinct pieces."""
+        if self.kind == "whole":
+            return self._library(pieces)
+        out, rest, seen, model = [], [], self.pretokens, self.tok.model
+        sure, cuts, lower = self.sure.fullmatch, self.cuts.findall, self.kind == "dropped"
+        for p in pieces:
+            if not sure(p):
+                rest.append(len(out))
+                out.append([])
+                continue
+            ids: list[int] = []
+            for t in cuts(p.lower() if lower else p):
+                got = seen.get(t)
+                if got is None:
+                    got = seen[t] = [x.id for x in model.tokenize(t.encode().decode("latin-1").translate(self.signs))]
+                ids += got
+            out.append(ids)
+        for i, ids in zip(rest, self._library([pieces[i] for i in rest])):
+            out[i] = ids
+        return out
+
     def _numbers(self, pieces: list[str]) -> np.ndarray:
         """A number for each piece; new ones are encoded and remembered."""
         if len(self.known) > MEMORY_PIECES:
@@ -65,7 +108,7 @@ class Encoder:
         new = [p for p in dict.fromkeys(pieces) if p not in known]
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new))))
-            ids = self._library(new)
+            ids = self._pieces(new)
             length = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
             self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(length) - length))
