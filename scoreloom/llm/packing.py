@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from scoreloom.llm.arrowtext import slices
 from scoreloom.llm.scratch import stored
-from scoreloom.llm.tokens import encoder
+from scoreloom.llm.tokens import TEXT_BYTES, encoder
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,7 +36,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", TEXT_BYTES):
                 ids, bounds = enc.encode(b.column("text"), end_id)
                 n = np.diff(bounds)
                 yield pa.record_batch([

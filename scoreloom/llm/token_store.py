@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from scoreloom.llm.arrowtext import slices
 from scoreloom.llm.scratch import new_folder, stored
-from scoreloom.llm.tokens import encoder
+from scoreloom.llm.tokens import TEXT_BYTES, encoder
 from scoreloom.llm.wavelet import WaveletMatrix, build
 
 #: Ids after which a shard is closed; a shard takes about two bytes an id.
@@ -59,7 +59,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
             return row
 
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", TEXT_BYTES):
                 ids, bounds = enc.encode(b.column("text"), end_id)
                 doc_ids += b.column("doc_id").to_pylist()
                 parts.append(ids)

@@ -1,11 +1,11 @@
 """Token ids of whole texts with the ``tokenizers`` library.
 
-Prose repeats its words, so a text is cut at spaces where the tokenizer cuts too,
-each distinct piece is encoded once and its ids are gathered for all places. Pieces of
-plain Latin letters, digits and signs are cut further, into the pre-tokens that the
-tokenizer would make, and only the library's model sees these. Where such a cut could
-change ids (runs of white space before a space, a tokenizer of another kind), the whole
-text goes through the library.
+Prose repeats its words. A text of Latin letters, digits, signs, spaces and newlines is cut into
+the pre-tokens that the tokenizer would make, all texts of a slice at once on their bytes; each
+distinct pre-token goes through the library's model once and its ids are gathered for all places.
+A text with other characters or an apostrophe (contractions) is cut at spaces where the tokenizer
+cuts too, and its distinct pieces are encoded. Where such a cut could change ids (runs of white
+space before a space, a tokenizer of another kind), the whole text goes through the library.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from scoreloom.llm.arrowtext import ranges
 
 #: Distinct pieces and pre-tokens remembered by a Python worker (about 120 MB).
 MEMORY_PIECES, MEMORY_PRETOKENS = 500_000, 400_000
+#: Text encoded at once inside a task.
+TEXT_BYTES = 4 << 20
 _ANY_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -32,6 +34,32 @@ _SURE = {"joined": re.compile(rf"[ -&(-~{_LETTER}]*(?:\n[ -&(-~{_LETTER}]+)*\n?"
 _CUTS = {"joined": re.compile(rf" ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\n| "), "dropped": re.compile(rf"[{_LETTER}]+|[0-9]|[^\s0-9{_LETTER}]+")}
 
 
+WHITE, LETTER, DIGIT, SIGN, ODD = range(5)
+
+
+def _byte_classes() -> np.ndarray:
+    """Class of each UTF-8 byte. 0xC3 begins the Latin letters (and two signs) from U+00C0 to
+    U+00FF; a text with any other beginning, control character or apostrophe is odd."""
+    out = np.full(256, ODD, np.uint8)
+    out[33:127], out[128:192], out[0xC3] = SIGN, LETTER, LETTER
+    for a, z in (b"AZ", b"az"):
+        out[a : z + 1] = LETTER
+    out[48:58], out[[10, 32]], out[39] = DIGIT, WHITE, ODD
+    return out
+
+
+_CLASS = _byte_classes()
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts (no nulls) in a row, and their bounds."""
+    _, offsets, data = texts.buffers()
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    bounds = np.frombuffer(offsets, width)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.empty(0, np.uint8)
+    return raw, bounds - bounds[0]
+
+
 def _byte_signs() -> dict[int, str]:
     """The sign that byte-level BPE writes for each byte: printable ones stand for
     themselves, the others get the signs from 256 on, in order."""
@@ -56,6 +84,12 @@ def _kind(path: str) -> str:
     return "whole"
 
 
+def _grown(start: np.ndarray, length: np.ndarray, pool: np.ndarray, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    each = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.fromiter((i for x in ids for i in x), np.uint32, int(each.sum()))
+    return np.concatenate((start, len(pool) + np.cumsum(each) - each)), np.concatenate((length, each)), np.concatenate((pool, flat))
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,6 +101,12 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # such strings in a text are ordinary text
         self._forget()
+        self._forget_tokens()
+
+    def _forget_tokens(self) -> None:
+        self.tokens: dict[str, int] = {}
+        self.token_start, self.token_length = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.token_pool = np.empty(0, np.uint32)
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
@@ -109,16 +149,56 @@ class Encoder:
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new))))
             ids = self._pieces(new)
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
-            self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(length) - length))
-            self.length = np.concatenate((self.length, length))
-            self.pool = np.concatenate((self.pool, flat))
+            self.start, self.length, self.pool = _grown(self.start, self.length, self.pool, ids)
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
-    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, `end_id` after each, and the bounds of each text in them."""
-        texts = pc.fill_null(texts, "")
+    def _token_ids(self, distinct: list[str]) -> np.ndarray:
+        """A number for each pre-token; new ones go through the model and are remembered."""
+        if len(self.tokens) > MEMORY_PRETOKENS:
+            self._forget_tokens()
+        known, model, lower = self.tokens, self.tok.model.tokenize, self.kind == "dropped"
+        new = [t for t in distinct if t not in known]
+        if new:
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            plain = (t.lstrip(" \n") for t in new) if lower else new
+            ids = [[x.id for x in model(t.encode().decode("latin-1").translate(self.signs))] if t else [] for t in plain]
+            self.token_start, self.token_length, self.token_pool = _grown(self.token_start, self.token_length, self.token_pool, ids)
+        return np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+
+    def _by_tokens(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain texts, and how many each text has. White space stands at the beginning of
+        a pre-token; 'dropped' tokenizers pass over it."""
+        if not len(data):
+            return np.empty(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
+        kind, wide = _CLASS[data], np.flatnonzero(data == 0xC3)
+        second = data[wide + 1]
+        sign = wide[(second == 0x97) | (second == 0xB7)]
+        kind[sign] = kind[sign + 1] = SIGN
+        white, start = kind == WHITE, np.zeros(len(data), bool)
+        differs = kind[1:] != kind[:-1]
+        has = bounds[1:] > bounds[:-1]
+        if self.kind == "dropped":
+            start[1:] = (differs | (kind[1:] == DIGIT)) & ~white[:-1]
+            data = data.copy()
+            data[(data >= 65) & (data <= 90)] += 32
+            data[wide[(second < 0x9F) & (second != 0x97)] + 1] += 32
+        else:
+            start[1:] = differs & (data[:-1] != 32)
+            last = bounds[1:][has] - 1
+            at_end = start[last]
+            start[1:-1] |= white[:-2] & white[1:-1] & ~white[2:]  # of a run of white space the last one stands alone
+            start[last] = at_end
+        start[bounds[:-1][has]] = True
+        at = np.flatnonzero(start)
+        offsets = np.append(at, len(data)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        number = self._token_ids(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        length = self.token_length[number]
+        upto = np.concatenate(([0], np.cumsum(length)))[np.searchsorted(at, bounds)]
+        return self.token_pool[ranges(self.token_start[number], length)], np.diff(upto)
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any texts, and how many each text has."""
         n = len(texts)
         if self.kind == "whole":
             rough = np.ones(n, bool)
@@ -127,8 +207,7 @@ class Encoder:
         else:
             rough = np.zeros(n, bool)
             texts = pc.replace_substring(texts, "\n", " ")
-        plain = pc.if_else(pa.array(rough), "", texts)
-        lists = pc.split_pattern(plain, " ")
+        lists = pc.split_pattern(pc.if_else(pa.array(rough), "", texts), " ")
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
         codes, distinct = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
@@ -141,20 +220,41 @@ class Encoder:
         else:
             number = self._numbers(distinct)[codes]
         length = self.length[number]
-        row_len = np.add.reduceat(length, first) if n else np.empty(0, np.int64)
+        row_len = np.add.reduceat(length, first)
         flat = self.pool[ranges(self.start[number], length)]
         odd = np.flatnonzero(rough)
-        whole = {int(i): np.asarray(x, np.uint32) for i, x in zip(odd, self._library(texts.take(pa.array(odd)).to_pylist()))} if len(odd) else {}
-        for i, x in whole.items():
-            row_len[i] = len(x)
-        bounds = np.concatenate(([0], np.cumsum(row_len + 1)))
-        out = np.empty(int(bounds[-1]), np.uint32)
-        out[bounds[1:] - 1] = end_id
-        sizes = np.where(rough, 0, row_len)
-        out[ranges(bounds[:-1], sizes)] = flat if not len(odd) else flat[ranges(np.cumsum(np.add.reduceat(length, first)) - np.add.reduceat(length, first), sizes)]
-        for i, x in whole.items():
-            out[bounds[i] : bounds[i] + len(x)] = x
-        return out, bounds
+        if not len(odd):
+            return flat, row_len
+        whole = [np.asarray(x, np.uint32) for x in self._library(texts.take(pa.array(odd)).to_pylist())]
+        parts = np.split(flat, np.cumsum(row_len)[:-1])
+        for i, x in zip(odd, whole):
+            parts[i] = x
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, n)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, `end_id` after each, and the bounds of each text in them."""
+        texts = pc.fill_null(texts, "")
+        data, bounds = _bytes_of(texts)
+        odd = np.zeros(len(texts), bool)
+        odd[np.searchsorted(bounds, np.flatnonzero(_CLASS[data] == ODD), side="right") - 1] = True
+        if self.kind == "whole":
+            odd[:] = True
+        if not odd.any():
+            ids, size = self._by_tokens(data, bounds)
+        else:
+            plain, rest = ~odd, self._by_words(texts.filter(pa.array(odd)))
+            ids, each = self._by_tokens(data[np.repeat(plain, np.diff(bounds))], np.concatenate(([0], np.cumsum(np.diff(bounds)[plain]))))
+            size = np.empty(len(texts), np.int64)
+            size[plain], size[odd] = each, rest[1]
+        ends = np.concatenate(([0], np.cumsum(size + 1)))
+        out = np.empty(int(ends[-1]), np.uint32)
+        own = np.ones(len(out), bool)
+        out[ends[1:] - 1], own[ends[1:] - 1] = end_id, False
+        if odd.any():
+            out[ranges(ends[:-1][odd], size[odd])] = rest[0]
+            own[ranges(ends[:-1][odd], size[odd])] = False
+        out[own] = ids
+        return out, ends
 
 
 @lru_cache(maxsize=2)
