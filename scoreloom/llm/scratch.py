@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -37,6 +38,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+#: Rows and megabytes up to which `small_side` has a table broadcast.
+SMALL_ROWS, SMALL_MB = 500_000, 32
+
+
+def small_side(df: DataFrame, label: str) -> DataFrame:
+    """`df`, stored and measured: marked for broadcast if it is within the bounds above, else
+    as it is, so that the join shuffles both sides. Columns must be strings or numbers."""
+    table = stored(df, label)
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in table.columns), F.lit(0))
+    n, total = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return F.broadcast(table) if n <= SMALL_ROWS and total <= SMALL_MB << 20 else table
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by `stored` that no later result needs."""
     spark = df.sparkSession
