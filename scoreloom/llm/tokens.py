@@ -14,6 +14,8 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ _SURE = {"joined": re.compile(rf"[ -&(-~{_LETTER}]*(?:\n[ -&(-~{_LETTER}]+)*\n?"
 _CUTS = {"joined": re.compile(rf" ?[{_LETTER}]+| ?[0-9]+| ?[^\s0-9{_LETTER}]+|\n| "), "dropped": re.compile(rf"[{_LETTER}]+|[0-9]|[^\s0-9{_LETTER}]+")}
 
 
+_ID = attrgetter("id")
 WHITE, LETTER, DIGIT, SIGN, ODD = range(5)
 
 
@@ -84,12 +87,6 @@ def _kind(path: str) -> str:
     return "whole"
 
 
-def _grown(start: np.ndarray, length: np.ndarray, pool: np.ndarray, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    each = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.uint32, int(each.sum()))
-    return np.concatenate((start, len(pool) + np.cumsum(each) - each)), np.concatenate((length, each)), np.concatenate((pool, flat))
-
-
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -149,7 +146,11 @@ class Encoder:
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new))))
             ids = self._pieces(new)
-            self.start, self.length, self.pool = _grown(self.start, self.length, self.pool, ids)
+            length = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
+            self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(length) - length))
+            self.length = np.concatenate((self.length, length))
+            self.pool = np.concatenate((self.pool, flat))
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
     def _token_ids(self, distinct: list[str]) -> np.ndarray:
@@ -160,9 +161,14 @@ class Encoder:
         new = [t for t in distinct if t not in known]
         if new:
             known.update(zip(new, range(len(known), len(known) + len(new))))
-            plain = (t.lstrip(" \n") for t in new) if lower else new
-            ids = [[x.id for x in model(t.encode().decode("latin-1").translate(self.signs))] if t else [] for t in plain]
-            self.token_start, self.token_length, self.token_pool = _grown(self.token_start, self.token_length, self.token_pool, ids)
+            # all in one string for the change to byte signs; a plain text holds no \x01
+            text = "\x01".join(t.lstrip(" \n") for t in new) if lower else "\x01".join(new)
+            signs = text.encode().decode("latin-1").translate(self.signs).split(self.signs[1])
+            parts = [model(t) if t else [] for t in signs]
+            each = np.fromiter(map(len, parts), np.int64, len(parts))
+            flat = np.fromiter(map(_ID, chain.from_iterable(parts)), np.uint32, int(each.sum()))
+            self.token_start = np.concatenate((self.token_start, len(self.token_pool) + np.cumsum(each) - each))
+            self.token_length, self.token_pool = np.concatenate((self.token_length, each)), np.concatenate((self.token_pool, flat))
         return np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
 
     def _by_tokens(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
