@@ -98,9 +98,6 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # such strings in a text are ordinary text
         self._forget()
-        self._forget_tokens()
-
-    def _forget_tokens(self) -> None:
         self.tokens: dict[str, int] = {}
         self.token_start, self.token_length = np.empty(0, np.int64), np.empty(0, np.int64)
         self.token_pool = np.empty(0, np.uint32)
@@ -153,10 +150,18 @@ class Encoder:
             self.pool = np.concatenate((self.pool, flat))
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
+    def _keep_tokens(self, kept: list[str]) -> None:
+        """Forget all pre-tokens but these."""
+        at = np.fromiter(map(self.tokens.__getitem__, kept), np.int64, len(kept))
+        length = self.token_length[at]
+        self.token_pool = self.token_pool[ranges(self.token_start[at], length)]
+        self.token_start, self.token_length = np.cumsum(length) - length, length
+        self.tokens = dict(zip(kept, range(len(kept))))
+
     def _token_ids(self, distinct: list[str]) -> np.ndarray:
         """A number for each pre-token; new ones go through the model and are remembered."""
         if len(self.tokens) > MEMORY_PRETOKENS:
-            self._forget_tokens()
+            self._keep_tokens([t for t in distinct if t in self.tokens])
         known, model, lower = self.tokens, self.tok.model.tokenize, self.kind == "dropped"
         new = [t for t in distinct if t not in known]
         if new:
