@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 
 from scoreloom.llm.arrowtext import Words, slices, words
 
+#: Text judged at once inside a task; arrays take about fifty times as much.
+TEXT_BYTES = 1 << 20
 BUCKETS = 1 << 16
 #: Trusted documents that the target is counted on: those with the smallest hashes of their ids.
 TRUSTED = 20_000
@@ -58,7 +60,7 @@ def ngram_counts(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", TEXT_BYTES):
                 bins, n = _bins(b.column("text"))
                 good = np.repeat(pc.fill_null(b.column("good"), False).to_numpy(zero_copy_only=False), n)
                 raw += np.bincount(bins, minlength=BUCKETS)
@@ -113,7 +115,7 @@ def score(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = table.value
         for batch in batches:
-            for b in slices(batch, "__text"):
+            for b in slices(batch, "__text", TEXT_BYTES):
                 texts = b.column("__text")
                 w = words(texts)
                 n, m = np.diff(w.bounds), b.num_rows
