@@ -36,7 +36,9 @@ from scoreloom.llm.scratch import new_folder
 SPACE = "▁"
 #: Longest word, in signs, that is folded in the bits of a long.
 MOST_SIGNS = 60
-#: Rows that a piece table may have to be broadcast.
+#: Tasks that the words of one partition of texts are dealt to, so that their edges fit in memory.
+SALTS = 8
+#: Rows that a piece table may have to be broadcast (ids and ranks have 20 bits).
 MOST_PIECES = 1_000_000
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -124,16 +126,20 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
 
 
 def lattice(words: DataFrame, m: Model) -> DataFrame:
-    """part, word to part, word, ids. No shuffle: words come partitioned by `part`."""
+    """part, salt, word to part, word, starts, ids. No shuffle: words come dealt by part and salt."""
     spark = words.sparkSession
     order = {s: k for k, s in enumerate(sorted({s for _, s in m.pieces.values()}, reverse=True))}
     table = spark.createDataFrame(pa.table({"piece": list(m.pieces), "id": pa.array([i for i, _ in m.pieces.values()], pa.int32()), "rank": pa.array([order[s] for _, s in m.pieces.values()], pa.int32())}))
-    starts = words.select("part", "word", F.char_length("word").alias("n")).withColumn("s", F.explode(F.expr("sequence(0, n - 1)")))
+    starts = words.select("part", "salt", "word", F.char_length("word").alias("n")).withColumn("s", F.explode(F.expr("sequence(0, n - 1)")))
     spans = starts.withColumn("t", F.explode(F.expr(f"sequence(s + 1, least(n, s + {m.longest}))"))).withColumn("piece", F.expr("substring(word, s + 1, t - s)"))
-    ends = F.expr("shiftleft(1L, s) | shiftleft(1L, t)").alias("ends")
-    inner = F.expr("(shiftleft(1L, t) - 1) & ~(shiftleft(1L, s + 1) - 1)").alias("inner")
-    edges = spans.join(F.broadcast(table), "piece").select("part", "word", F.struct("rank", "s", ends, inner, "id").alias("e"))
-    grouped = edges.groupBy("part", "word").agg(F.sort_array(F.collect_list("e")).alias("edges"))
+    # an edge is one long, rank first: 20 bits each for rank and id, 6 each for place and length
+    edge = F.expr("shiftleft(cast(rank as bigint), 32) | shiftleft(cast(s as bigint), 26) | shiftleft(cast(t - s as bigint), 20) | id").alias("e")
+    edges = spans.join(F.broadcast(table), "piece").select("part", "salt", "word", edge)
+    grouped = edges.groupBy("part", "salt", "word").agg(F.sort_array(F.collect_list("e")).alias("packed"))
+    place = "cast(shiftright(e, 26) & 63 as int)"
+    stop = f"{place} + cast(shiftright(e, 20) & 63 as int)"
+    told = f"transform(packed, e -> named_struct('s', {place}, 'ends', shiftleft(1L, {place}) | shiftleft(1L, {stop}), 'inner', (shiftleft(1L, {stop}) - 1) & ~(shiftleft(1L, {place} + 1) - 1), 'id', cast(e & 1048575 as int)))"
+    grouped = grouped.withColumn("edges", F.expr(told))
     # each step of the fold joins the two symbols that the first free edge spans
     bits = "aggregate(sequence(1, greatest(char_length(word) - 1, 1)), shiftleft(1L, char_length(word) + 1) - 1, (b, k) -> b & ~coalesce(get(filter(edges, e -> (b & e.ends) = e.ends AND bit_count(b & e.inner) = 1), 0).inner, 0L))"
     ids = "array_sort(transform(filter(edges, e -> (bits & e.ends) = e.ends AND (bits & e.inner) = 0), e -> struct(e.s, e.id)))"
@@ -173,7 +179,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
                 yield pa.record_batch([pa.array(np.full(len(new), TaskContext.get().partitionId(), np.int32)), pa.array(new, pa.string())], names=["part", "word"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = rows.select("text").mapInArrow(distinct, "part int, word string").repartition(n, "part")
+    words = rows.select("text").mapInArrow(distinct, "part int, word string").withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int")).repartition(SALTS * n, "part", "salt")
     lattice(words, model(model_file)).write.option("compression", "zstd").partitionBy("part").parquet(folder)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
