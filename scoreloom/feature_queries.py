@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.functions import keys as K
 from scoreloom.operators import augment as G
 from scoreloom.operators import doublings as D
 from scoreloom.operators import features as E
@@ -183,6 +184,20 @@ def merged_logits(spark, sf_dir):
     return H.merge_logits(n).select("score_id", F.posexplode("logits").alias("k", "logit")).withColumn("k", F.col("k") + 1).withColumn("logit", F.round("logit", 6))
 
 
+@_query(f", s AS (SELECT *, nullif(split_part(degree, '/', 2), '') AS sec, {_PC} AS pc, key IN ('a', 'e', 'd') AS mi FROM ch) SELECT score_id, onset, CASE WHEN sec IS NULL THEN key WHEN sec = 'V' AND NOT mi THEN (['C', 'Db', 'D', 'Eb', 'E', 'F', 'Gb', 'G', 'Ab', 'A', 'Bb', 'B'])[(pc + 7) % 12 + 1] ELSE (['c', 'c#', 'd', 'eb', 'e', 'f', 'f#', 'g', 'g#', 'a', 'bb', 'b'])[(pc + CASE sec WHEN 'V' THEN 7 ELSE 2 END) % 12 + 1] END AS local_key FROM s")
+def tonicized_keys(spark, sf_dir):
+    c = corpus.chords(_notes(spark, sf_dir))
+    return c.select("score_id", "onset", K.tonicization_to_key(F.split_part("degree", F.lit("/"), F.lit(2)), F.col("key")).alias("local_key"))
+
+
+@_query(" SELECT row_id, onset, release FROM ev")
+def absolute_time_and_back(spark, sf_dir):
+    n = _notes(spark, sf_dir)
+    tempi = n.where("instrument = 'error'").select("score_id", "onset", (F.lit(60.0) * (1 + F.pmod("row_id", F.lit(3)))).alias("tempo"))
+    back = B.from_absolute_time(B.to_absolute_time(n, tempi), tempi)
+    return back.select("row_id", F.round("onset", 6).alias("onset"), F.round("release", 6).alias("release"))
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in _REGISTRY.items()}
 

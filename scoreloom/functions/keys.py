@@ -87,3 +87,67 @@ def fraction_to_float(text: Column) -> Column:
 def chromatic_transpose(pitch: Column, channel: Column, interval: int) -> Column:
     """Pitch moved, percussion (channel 9) not; a null channel is none."""
     return F.when(channel.eqNullSafe(F.lit(9)), pitch).otherwise(pitch + interval)
+
+
+# Names of keys by the pitch class of their tonic.
+MAJOR_KEYS = ["C", "Db", "D", "Eb", "E", "F", "Gb", "G", "Ab", "A", "Bb", "B"]
+MINOR_KEYS = ["c", "c#", "d", "eb", "e", "f", "f#", "g", "g#", "a", "bb", "b"]
+
+
+def _named(pc: Column, mode: Column) -> Column:
+    at = pc.cast("int")
+    return F.when(mode == "M", F.get(F.array(*map(F.lit, MAJOR_KEYS)), at)).otherwise(F.get(F.array(*map(F.lit, MINOR_KEYS)), at))
+
+
+def pc_and_mode_to_key(text: Column) -> Column:
+    """'6.0M' to 'Gb'."""
+    return _named(F.regexp_extract(text, r"^(\d+)", 1).try_cast("int"), F.right(text, F.lit(1)))
+
+
+def simplify_enharmonic_key(key: Column) -> Column:
+    """The usual name of a key, one of 24."""
+    return _named(key_pc(key), get_mode(key))
+
+
+def key_sharps_interval(a: Column, b: Column) -> Column:
+    return fold6(key_signature(b) - key_signature(a))
+
+
+def transpose_spelling(spelling: Column, interval: int) -> Column:
+    """A spelled pitch moved along the line of fifths; case stays, 'na' and null pass."""
+    moved = line_of_fifths_to_spelling(spelling_to_line_of_fifths(spelling) + interval)
+    cased = F.when(get_mode(spelling) == "M", moved).otherwise(F.concat(F.lower(F.substring(moved, 1, 1)), F.substring(moved, 2, 1000)))
+    return F.when(spelling == "na", spelling).otherwise(cased)
+
+
+def transpose_fifths(pitch: Column, interval: int) -> Column:
+    """A MIDI pitch moved by so many fifths, folded into less than an octave (-5 .. 6)."""
+    step = 7 * interval % 12
+    return pitch + (step - 12 if step > 6 else step)
+
+
+# Fifths from the tonic to each step, and steps whose own keys are minor, by mode of the key.
+STEPS = {"M": {"I": 0, "II": 2, "III": 4, "IV": -1, "V": 1, "VI": 3, "VII": 5}, "m": {"I": 0, "II": 2, "III": -3, "IV": -1, "V": 1, "VI": -4, "VII": -2}}
+MINOR_STEPS = {"M": ["II", "III", "VI", "VII"], "m": ["II", "IV", "V", "#VI", "#VII"]}
+#: An irregular entry: flat VII of minor.
+FLAT_SEVENTH_OF_MINOR = -13
+
+
+def tonicization_to_key(secondary: Column, key: Column, case_matters: bool = False, simplify: bool = True) -> Column:
+    """The key that a secondary degree makes a tonic of. Its mode follows the degree's case where `case_matters`, else the scale.
+    Degrees that are none leave the key as it is."""
+    signs, numeral = F.regexp_extract(secondary, "^([b#]?)([IViv]+)$", 1), F.upper(F.regexp_extract(secondary, "^([b#]?)([IViv]+)$", 2))
+    own = get_mode(key)
+
+    def by_mode(f):
+        return F.when(own == "M", f("M")).otherwise(f("m"))
+
+    base = by_mode(lambda m: F.try_element_at(F.create_map(*(F.lit(x) for pair in STEPS[m].items() for x in pair)), numeral))
+    offset = F.when((own == "m") & (signs == "b") & (numeral == "VII"), FLAT_SEVENTH_OF_MINOR).otherwise(base + F.when(signs == "b", -7).when(signs == "#", 7).otherwise(0))
+    plain_tonic = (signs == "") & (numeral == "I")
+    table = by_mode(lambda m: F.when(F.concat(signs, numeral).isin(MINOR_STEPS[m]), "m").otherwise("M"))
+    mode = F.when(F.right(secondary, F.lit(1)).rlike("[a-z]"), "m").otherwise("M") if case_matters else table
+    name = line_of_fifths_to_spelling(spelling_to_line_of_fifths(key) + offset)
+    cased = F.when(mode == "M", name).otherwise(F.concat(F.lower(F.substring(name, 1, 1)), F.substring(name, 2, 1000)))
+    found = F.when(~plain_tonic, simplify_enharmonic_key(cased) if simplify else cased)
+    return F.coalesce(found, key)

@@ -88,19 +88,27 @@ def scale_df(df: DataFrame, factor: float) -> DataFrame:
     return df.withColumn("onset", F.col("onset") * factor).withColumn("release", F.col("release") * factor)
 
 
-def to_absolute_time(df: DataFrame, tempi: DataFrame) -> DataFrame:
-    """Onset and release as quarters at 120 beats a minute. `tempi`: score_id, onset, tempo; of several at one
-    onset the last by value counts. Each time is placed in its tempo segment by an as-of window, not a join per tempo."""
+def _mapped_time(df: DataFrame, tempi: DataFrame, back: bool) -> DataFrame:
     segs = tempi.groupBy("score_id", "onset").agg(F.max("tempo").alias("tempo"))
     first = df.groupBy("score_id").agg(F.least(F.min("onset"), F.lit(0.0)).alias("onset")).withColumn("tempo", F.lit(120.0))
     segs = first.join(segs, ["score_id", "onset"], "left_anti").unionByName(segs)
     per = Window.partitionBy("score_id").orderBy("onset")
     length = (F.col("onset") - F.lag("onset").over(per)) * 120 / F.lag("tempo").over(per)
-    segs = segs.withColumn("len", F.coalesce(length, F.lit(0.0))).withColumn("start", F.sum("len").over(per.rowsBetween(Window.unboundedPreceding, 0)))
-    start0 = F.first(F.col("onset")).over(per)
-    segs = segs.withColumn("seg", F.struct(F.col("onset").alias("at"), "tempo", (F.col("start") + start0).alias("start"))).select("score_id", F.col("onset").alias("t"), "seg", F.lit(0).alias("k"))
+    segs = segs.withColumn("len", F.coalesce(length, F.lit(0.0))).withColumn("start", F.sum("len").over(per.rowsBetween(Window.unboundedPreceding, 0)) + F.first("onset").over(per))
+    segs = segs.select("score_id", F.col("start" if back else "onset").alias("t"), F.struct(F.col("onset").alias("at"), "tempo", "start").alias("seg"), F.lit(0).alias("k"))
     moments = df.select("score_id", F.explode(F.array("onset", "release")).alias("t")).where("t is not null").distinct().withColumn("seg", F.lit(None).cast(segs.schema["seg"].dataType)).withColumn("k", F.lit(1))
-    at = Window.partitionBy("score_id").orderBy("t", "k")
-    placed = segs.unionByName(moments).withColumn("seg", ffill("seg", at)).where("k = 1").select("score_id", "t", (F.col("seg.start") + (F.col("t") - F.col("seg.at")) * 120 / F.col("seg.tempo")).alias("new"))
+    new = F.col("seg.at") + (F.col("t") - F.col("seg.start")) * F.col("seg.tempo") / 120 if back else F.col("seg.start") + (F.col("t") - F.col("seg.at")) * 120 / F.col("seg.tempo")
+    placed = segs.unionByName(moments).withColumn("seg", ffill("seg", Window.partitionBy("score_id").orderBy("t", "k"))).where("k = 1").select("score_id", "t", new.alias("new"))
     a, b = placed.withColumnsRenamed({"t": "onset", "new": "__o"}), placed.withColumnsRenamed({"t": "release", "new": "__r"})
     return df.join(a, ["score_id", "onset"], "left").join(b, ["score_id", "release"], "left").withColumn("onset", F.col("__o")).withColumn("release", F.col("__r")).drop("__o", "__r")
+
+
+def to_absolute_time(df: DataFrame, tempi: DataFrame) -> DataFrame:
+    """Onset and release as quarters at 120 beats a minute. `tempi`: score_id, onset, tempo; of several at one
+    onset the last by value counts. Each time is placed in its tempo segment by an as-of window, not a join per tempo."""
+    return _mapped_time(df, tempi, False)
+
+
+def from_absolute_time(df: DataFrame, tempi: DataFrame) -> DataFrame:
+    """Takes `to_absolute_time` back, with the same tempi."""
+    return _mapped_time(df, tempi, True)

@@ -95,7 +95,8 @@ def parse(data: bytes) -> list[dict]:
 
 
 def read_midi(spark: SparkSession, path: str | list[str], notes_only: bool = False) -> DataFrame:
-    """Events of all files. A file that can't be read gives one row of type 'error', which tells why."""
+    """Events of all files. A file that can't be read gives one row of type 'error', which tells why;
+    one without any content gives none, as Spark skips it."""
     def rows(batches):
         for batch in batches:
             out = []

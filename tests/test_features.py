@@ -1,19 +1,21 @@
 """Feature, harmony, augmentation and doubling operators, sources, transforms and streams."""
 
 import random
+import zipfile
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from scoreloom import feature_queries as Q
+from scoreloom.functions import keys as K
 from scoreloom.operators import augment as G
 from scoreloom.operators import doublings as D
 from scoreloom.operators import features as E
 from scoreloom.operators import harmony as H
 from scoreloom.operators import slices as S
 from scoreloom.plans import transforms as T
-from scoreloom.sources import midi, tables
+from scoreloom.sources import midi, musicxml, read, tables
 from scoreloom.streaming import windows as W
 from tests.test_scores import NOTE, SF, notes, plain
 
@@ -176,3 +178,36 @@ def test_streams(spark, tmp_path):
 @pytest.mark.parametrize("f", [E.add_default_velocity, E.get_eligible_releases, D.unison_runs, D.dedouble_unisons_across_instruments, G.shuffle_pitches, G.aug_rhythms])
 def test_empty_tables(spark, f):
     assert f(notes(spark, [])).count() == 0
+
+
+def test_key_names(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    key = lambda s, k, **o: one(K.tonicization_to_key(F.lit(s), F.lit(k), **o))
+    assert [key("V", "C"), key("ii", "C"), key("bVI", "C"), key("#IV", "C"), key("V", "a"), key("III", "a"), key("#VII", "a"), key("I", "d"), key("x", "d"), key("", "d")] == ["G", "d", "Ab", "Gb", "e", "C", "g#", "d", "d", "d"]
+    assert (key("iv", "C", case_matters=True), key("#IV", "C", simplify=False)) == ("f", "F#")
+    assert (one(K.pc_and_mode_to_key(F.lit("6.0M"))), one(K.simplify_enharmonic_key(F.lit("C#"))), one(K.transpose_spelling(F.lit("f#"), -7)), one(K.transpose_spelling(F.lit("na"), 1)), one(K.transpose_fifths(F.lit(60), 1))) == ("Gb", "Db", "f", "na", 55)
+
+
+SCORE = """<score-partwise><part id="P1"><measure number="1"><attributes><divisions>2</divisions><time><beats>3</beats><beat-type>4</beat-type></time><transpose><chromatic>-2</chromatic></transpose></attributes>
+<sound tempo="90"/><note><grace/><pitch><step>D</step><octave>4</octave></pitch></note><note><pitch><step>C</step><octave>4</octave></pitch><duration>4</duration><voice>1</voice></note><note><chord/><pitch><step>F</step><alter>1</alter><octave>4</octave></pitch><duration>4</duration><tie type="start"/></note><note><rest/><duration>2</duration></note>
+<backup><duration>2</duration></backup><note><pitch><step>F</step><alter>1</alter><octave>4</octave></pitch><duration>2</duration><tie type="stop"/></note></measure>
+<measure number="2"><forward><duration>2</duration></forward><note><pitch><step>B</step><alter>-1</alter><octave>3</octave></pitch><duration>4</duration></note></measure></part></score-partwise>"""
+
+
+def test_musicxml(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(SCORE)
+    with zipfile.ZipFile(tmp_path / "b.mxl", "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="s.xml"/></rootfiles></container>')
+        z.writestr("s.xml", SCORE)
+    (tmp_path / "c.xml").write_text("<score-partwise><part>")
+    (tmp_path / "d.xml").write_text("<score-timewise/>")
+    rows = musicxml.read_musicxml(spark, str(tmp_path)).collect()
+    for name in ("a.xml", "b.mxl"):
+        mine = [r for r in rows if r.score_id.endswith(name)]
+        assert sorted((r.pitch, r.onset, r.release, r.spelling) for r in mine if r.type == "note") == [(56, 4, 6, "Bb"), (58, 0, 2, "C"), (64, 0, 3, "F#")]
+        assert sorted((r.onset, r.release) for r in mine if r.type == "bar") == [(0, 3), (3, 6)]
+        assert {r.type: r.other for r in mine if r.other} == {"tempo": '{"tempo": 90.0}', "time_signature": '{"numerator": 3, "denominator": 4}'}
+    assert sum(r.type == "error" for r in rows) == 2
+    assert read.read_scores(spark, str(tmp_path / "a.xml"), [{"sort_df": {}}]).where("seq = 1").first().type == "time_signature"
+    with pytest.raises(ValueError):
+        read.read_scores(spark, "x.pdf")
