@@ -29,13 +29,15 @@ GIVEN = {
 }
 SYLLABLES = {"latin": ["ba", "be", "bo", "da", "de", "do", "fa", "ga", "ka", "ke", "ko", "la", "le", "li", "lo", "ma", "me", "mi", "mo", "na", "ne", "no", "pa", "ra", "re", "ri", "ro", "sa", "so", "ta", "te", "va"], "cyrillic": ["ба", "во", "га", "ди", "ка", "ле", "ма", "но", "па", "ра", "со", "та", "ви", "зо", "ри", "лу"]}
 KEY = "scoreloom"
+#: Draws in an entity's own format; each later one is a sign longer than the one before.
+NARROW = 8
 
 _TITLES = "|".join(MALE + FEMALE + NEUTRAL)
 #: Guards before each alternative keep the search linear in the text.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z])(?i:passwords?|passwd|pwd|secret|token|api[_-]?key|auth[_-]?token|access[_-]?token)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_.~-]{6,256}",
+    "secret": r"(?<![A-Za-z])(?i:passwords?|passwd|pwd|secret|token|api[_-]?key|auth[_-]?token|access[_-]?token)\s{0,3}[=:]\s{0,3}[\"']?(?=[+/_.~-]*+[A-Za-z0-9])[A-Za-z0-9+/_.~-]{6,256}",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\w+-])(?:\d{4}[ -]){3}\d{1,7}(?![\w-])|(?<![\w+-])\d{13,19}(?![\w-])",
@@ -110,15 +112,18 @@ def _surrogate(key: str, attempt: int) -> Column:
     domain = F.expr("substring(core, instr(core, '@') + 1)")
     tld = F.regexp_extract(domain, r"\.[a-z]+\z", 0)
     host = F.expr("regexp_replace(substring(core, instr(core, '@') + 1), '[.][a-z]+$', '')")
-    email = F.concat(_shifted(F.substring_index("core", "@", 1), digest), F.lit("@"), _shifted(host, _digest(F.lit(key), F.lit("host"), host)), tld)
+    more = F.substring(_digest(salt, F.lit("more"), "kind", "core"), 1, max(0, attempt + 1 - NARROW))
+    digits = F.translate(more, "abcdef", "012345")
+    email = F.concat(_shifted(F.substring_index("core", "@", 1), digest), more, F.lit("@"), _shifted(host, _digest(F.lit(key), F.lit("host"), host)), tld)
     ip = F.concat_ws(".", F.pmod(_byte(digest, F.lit(0)), F.lit(223)) + 1, *(_byte(digest, F.lit(k)) for k in (1, 2, 3)))
+    ip = F.concat(ip, F.lit("."), digits) if attempt >= NARROW else ip
 
     def word(w: Column, i: Column) -> Column:
         last = i == F.size(F.split("core", " ")) - 1
         own = _digest(F.when(last, F.lit(f"{key}\x00{attempt}")).otherwise(F.lit(key)), w)
         out = None
         for script, syl in SYLLABLES.items():
-            spell = F.concat(*[F.element_at(F.array(*map(F.lit, syl)), F.pmod(_byte(own, F.lit(2 * k)) * 256 + _byte(own, F.lit(2 * k + 1)), F.lit(len(syl))) + 1) for k in range(3 + min(attempt, 5))])
+            spell = F.concat(*[F.element_at(F.array(*map(F.lit, syl)), F.pmod(_byte(own, F.lit(2 * k)) * 256 + _byte(own, F.lit(2 * k + 1)), F.lit(len(syl))) + 1) for k in range(3 + min(attempt, 28))])
             given = F.lit("")
             for (g, s), names in GIVEN.items():
                 if s == script:
@@ -128,16 +133,18 @@ def _surrogate(key: str, attempt: int) -> Column:
         return out
 
     name = F.array_join(F.transform(F.split("core", " "), word), " ")
-    return F.when(F.col("kind") == "email", email).when(F.col("kind") == "ip", ip).when(F.col("kind") == "name", name).otherwise(_shifted(F.col("core"), digest))
+    longer = F.when(F.col("kind").isin("card", "ssn", "phone"), digits).when(F.col("kind").isin("iban", "key"), F.upper(more)).otherwise(more)
+    return F.when(F.col("kind") == "email", email).when(F.col("kind") == "ip", ip).when(F.col("kind") == "name", name).otherwise(F.concat(_shifted(F.col("core"), digest), longer))
 
 
 def _render() -> Column:
-    """The surrogate core `s` in the format of a mention `body`."""
+    """The surrogate core `s` in the format of a mention `body`; what `s` is longer follows at the end."""
     def digit(c: Column, i: Column) -> Column:
         before = F.char_length(F.regexp_replace(F.substring(F.col("body"), F.lit(1), i + 1), "[^A-Za-z0-9]", ""))
         return F.when(c.rlike("[A-Za-z0-9]"), F.substring(F.col("s"), before, F.lit(1))).otherwise(c)
 
-    filled = F.array_join(F.transform(F.split("body", ""), digit), "")
+    rest = F.expr("substring(s, char_length(regexp_replace(body, '[^A-Za-z0-9]', '')) + 1)")
+    filled = F.concat(F.array_join(F.transform(F.split("body", ""), digit), ""), rest)
     upper = F.col("body") == F.upper("body")
     cased = F.when(upper, F.upper("s")).when(F.col("kind") == "name", F.initcap("s")).otherwise(F.col("s"))
     return F.concat("lead", F.when(F.col("kind").isin("card", "ssn", "phone", "iban"), filled).otherwise(cased))
@@ -146,7 +153,8 @@ def _render() -> Column:
 def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
     """Distinct entities (kind, core, gender, script) to (kind, core, s), all s of a kind distinct
     and none equal to an original. Each round settles the first of those that drew the same;
-    the rest, few, draw again."""
+    the rest, few, draw again, from NARROW draws on in longer formats, so that all settle also where
+    a format has fewer values than entities."""
     left = stored(found.groupBy("kind", "core").agg(F.min("gender").alias("gender"), F.min("script").alias("script")), "entities")
     originals, done, attempt = left.select("kind", F.col("core").alias("s")), None, 0
     while True:

@@ -272,6 +272,22 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert len(got) == 40 and len({r.s for r in got}) == 40
 
 
+def test_surrogates_settle_without_free_values(spark, monkeypatch):
+    monkeypatch.setattr(pii, "NARROW", 2)
+    texts = ["Password: ________ and token = ------", *(f"token=-----{k}" for k in range(10)), *(f"pwd=.....{k}" for k in range(9)), "mail %@a.com and %@b.com"]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == texts[0]
+    new = [got[k] for k in range(1, 20)]
+    assert len(set(new)) == 19 and not set(new) & set(texts) and all(x.startswith(("token=-----", "pwd=.....")) for x in new)
+    a, b = re.findall(r"\S+@\S+", got[20])
+    assert a != b and not {a, b} & {"%@a.com", "%@b.com"}
+    found = spark.createDataFrame([("phone", f"{k:02d}", None, "latin") for k in range(100)], "kind string, core string, gender string, script string")
+    s = {r.core: r.s for r in pii.surrogates(found).collect()}
+    assert len(s) == len(set(s.values())) == 100 and all(len(x) > 2 and x.isdigit() for x in s.values())
+    shown = spark.createDataFrame([("phone", "+1", " 2-3", "2345")], "kind string, lead string, body string, s string").select(pii._render()).first()[0]
+    assert shown == "+1 2-345"
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
