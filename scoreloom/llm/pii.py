@@ -35,15 +35,15 @@ NARROW = 8
 _TITLES = "|".join(MALE + FEMALE + NEUTRAL)
 #: Guards before each alternative keep the search linear in the text.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}(?![A-Za-z0-9])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z])(?i:passwords?|passwd|pwd|secret|token|api[_-]?key|auth[_-]?token|access[_-]?token)\s{0,3}[=:]\s{0,3}[\"']?(?=[+/_.~-]*+[A-Za-z0-9])[A-Za-z0-9+/_.~-]{6,256}",
+    "secret": r"(?<![A-Za-z])(?i:passwords?|passwd|pwd|secret|token|api[_-]?key|auth[_-]?token|access[_-]?token)\s{0,3}[=:]\s{0,3}[\"']?(?=[+/_.~-]*+[A-Za-z0-9])[A-Za-z0-9+/_.~-]{6,}+",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\w+-])(?:\d{4}[ -]){3}\d{1,7}(?![\w-])|(?<![\w+-])\d{13,19}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w+])\(\d{2,4}\) ?\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
-    "name": r"(?<![\p{L}\p{N}])(?:" + _TITLES + r")\.? \p{Lu}[\p{L}'’-]{1,40}(?: \p{Lu}[\p{L}'’-]{1,40}){0,2}",
+    "name": r"(?<![\p{L}\p{N}])(?:" + _TITLES + r")\.? \p{Lu}[\p{L}'’-]++(?: \p{Lu}[\p{L}'’-]++)*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -59,7 +59,9 @@ def _kind(e: Column) -> Column:
     return kind
 
 
-_LEAD = {"secret": r"(?s)\A[A-Za-z_-]+\s*[=:]\s*[\"']?", "name": r"\A(?:" + _TITLES + r")\.? ", "key": r"\AA[KS]IA", "phone": r"\A\+\d{1,3}"}
+#: Country codes of one and two digits; all others have three. Signs between their digits do not matter.
+_COUNTRY = r"(?:[17]|2\D*[07]|3\D*[0-469]|4\D*[013-9]|5\D*[1-8]|6\D*[0-6]|8\D*[1246]|9\D*[0-58]|\d\D*\d\D*\d)"
+_LEAD = {"secret": r"(?s)\A[A-Za-z_-]+\s*[=:]\s*[\"']?", "name": r"\A(?:" + _TITLES + r")\.? ", "key": r"\AA[KS]IA", "phone": r"\A\+" + _COUNTRY}
 
 
 def _parts(e: Column, kind: Column) -> tuple[Column, Column]:
@@ -78,7 +80,8 @@ def _described(e: DataFrame) -> DataFrame:
     title = F.regexp_replace("lead", r"[. ]", "")
     gender = F.when(title.isin(MALE), "m").when(title.isin(FEMALE), "f").otherwise("n")
     numbers = F.col("kind").isin("card", "ssn", "phone")
-    core = F.when(numbers, F.regexp_replace("body", r"\D", "")).when(F.col("kind") == "iban", F.regexp_replace("body", " ", "")).when(F.col("kind").isin("email", "name"), F.lower("body")).otherwise(F.col("body"))
+    digits, code = (F.regexp_replace(c, r"\D", "") for c in ("body", "lead"))
+    core = F.when((F.col("kind") == "phone") & (code != ""), F.concat_ws(" ", code, digits)).when(numbers, digits).when(F.col("kind") == "iban", F.regexp_replace("body", " ", "")).when(F.col("kind").isin("email", "name"), F.lower("body")).otherwise(F.col("body"))
     return d.withColumn("gender", F.when(F.col("kind") == "name", gender)).withColumn("script", F.when(F.col("body").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")).withColumn("core", core)
 
 
@@ -105,6 +108,11 @@ def _digest(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x00", *parts), 512)
 
 
+def _bare() -> Column:
+    """What of a core surrogates stand for: of a phone number all but its country code."""
+    return F.when(F.col("kind") == "phone", F.substring_index("core", " ", -1)).otherwise(F.col("core"))
+
+
 def _surrogate(key: str, attempt: int) -> Column:
     """A candidate for the core of a described entity."""
     salt = F.lit(f"{key}\x00{attempt}")
@@ -134,7 +142,7 @@ def _surrogate(key: str, attempt: int) -> Column:
 
     name = F.array_join(F.transform(F.split("core", " "), word), " ")
     longer = F.when(F.col("kind").isin("card", "ssn", "phone"), digits).when(F.col("kind").isin("iban", "key"), F.upper(more)).otherwise(more)
-    return F.when(F.col("kind") == "email", email).when(F.col("kind") == "ip", ip).when(F.col("kind") == "name", name).otherwise(F.concat(_shifted(F.col("core"), digest), longer))
+    return F.when(F.col("kind") == "email", email).when(F.col("kind") == "ip", ip).when(F.col("kind") == "name", name).otherwise(F.concat(_shifted(_bare(), digest), longer))
 
 
 def _render() -> Column:
@@ -156,7 +164,7 @@ def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
     the rest, few, draw again, from NARROW draws on in longer formats, so that all settle also where
     a format has fewer values than entities."""
     left = stored(found.groupBy("kind", "core").agg(F.min("gender").alias("gender"), F.min("script").alias("script")), "entities")
-    originals, done, attempt = left.select("kind", F.col("core").alias("s")), None, 0
+    originals, done, attempt = left.select("kind", _bare().alias("s")), None, 0
     while True:
         drawn = left.withColumn("s", _surrogate(key, attempt))
         first = drawn.groupBy("kind", "s").agg(F.min("core").alias("core")).join(originals, ["kind", "s"], "left_anti")

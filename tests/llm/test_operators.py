@@ -288,6 +288,21 @@ def test_surrogates_settle_without_free_values(spark, monkeypatch):
     assert shown == "+1 2-345"
 
 
+def test_pii_to_its_end(spark):
+    rng = np.random.default_rng(5)
+    long = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 900))
+    texts = [f"token={long} end", "Mr John Paul George Ringo Smithson came", f"{'q7' * 40}@example.com x", "+12835556500 or +1 283 555 6500 or +1 (283) 555-6500", "+44 2835556500 or +442835556500"]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    body = re.fullmatch(r"token=(\w+) end", got[0])[1]
+    assert len(body) == 900 and body[:250] != long[:250] and body[300:600] != long[300:600] and body[-100:] != long[-100:]
+    assert got[1].endswith(" came") and len(got[1].split()) == 7 and not any(w in got[1] for w in texts[1].split()[1:6])
+    assert re.fullmatch(r"\w{80}@\w{7}\.com x", got[2]) and "q7q7q7" not in got[2]
+    for k, code in ((3, "1"), (4, "44")):
+        numbers = {re.sub(r"\D", "", x) for x in got[k].split(" or ")}
+        assert len(numbers) == 1 and numbers.pop().startswith(code) and "283" not in got[k][:8]
+    assert re.sub(r"\D", "", got[3].split(" or ")[0])[1:] != re.sub(r"\D", "", got[4].split(" or ")[0])[2:]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
