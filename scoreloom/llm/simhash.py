@@ -36,8 +36,8 @@ DENSE = 1 << 20
 FULL = np.uint64(2**64 - 1)
 
 
-def simhash_batch(texts: pa.Array, shingle: int) -> np.ndarray:
-    """A 64-bit fingerprint of each text over its word shingles, repeats included."""
+def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word shingles of each text in turn, repeats included, and how many each has."""
     w = words(pc.ascii_lower(pc.fill_null(texts, "")))
     n, m = np.diff(w.bounds), len(texts)
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(w.bounds.astype(np.int32)), w.distinct.take(pa.array(w.codes))), " ")
@@ -50,12 +50,20 @@ def simhash_batch(texts: pa.Array, shingle: int) -> np.ndarray:
     count = np.where(n >= shingle, n - shingle + 1, np.minimum(n, 1))
     start = np.repeat(w.bounds[:-1], count) + (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
     last = np.minimum(start + shingle, np.repeat(w.bounds[1:], count)) - 1
-    out = np.zeros(m, np.uint64)
     if not len(start):
-        return out
+        return np.empty(0, np.uint64), count
     data = memoryview(joined.buffers()[2])
     h = xxhash.xxh64_intdigest
     each = np.fromiter((h(data[a:b], 42) for a, b in zip(first[start].tolist(), (first[last] + length[last]).tolist())), np.uint64, len(start))
+    return each, count
+
+
+def simhash_batch(texts: pa.Array, shingle: int) -> np.ndarray:
+    """A 64-bit fingerprint of each text over its word shingles, repeats included."""
+    each, count = shingle_hashes(texts, shingle)
+    out = np.zeros(len(texts), np.uint64)
+    if not len(each):
+        return out
     some = np.flatnonzero(count)
     begin = (np.cumsum(count) - count)[some]
     bits = np.unpackbits(each.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -239,13 +247,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, most: int = 4, text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each component: the row with the smallest number in the input.
+def deduplicate(docs: DataFrame, shingle: int = 5, text_col: str = "text") -> DataFrame:
+    """One row of each group of documents with Jaccard similarity 4/5 or more (scoreloom/llm/jaccard.py)."""
+    from scoreloom.llm import jaccard
 
-    Rows are numbered and stored once, so that numbers do not change between the steps."""
-    if "__row" in docs.columns:
-        raise ValueError("column __row is reserved")
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), F.col(text_col).alias("text")), shingle, most)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__row"))
-    return rows.join(first, "__row", "left_semi").drop("__row")
+    return jaccard.deduplicate(docs, shingle, text_col)

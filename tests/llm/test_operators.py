@@ -150,6 +150,31 @@ def test_deduplicate_keeps_one_row(spark):
     assert len(kept) == 3 and {r.text for r in kept} >= {"a b c d e f g", "another text of more than five words"}
 
 
+def test_deduplicate_links_all_near_copies(spark):
+    rng, texts = np.random.default_rng(3), []
+    for _ in range(30):
+        words = [f"w{k}" for k in rng.integers(0, 5000, rng.integers(30, 300))]
+        texts.append(" ".join(words))
+        for cut in (0.05, 0.1, 0.15, 0.2, 0.25, 0.3):  # a part of the end is other text
+            k = int(len(words) * (1 - cut))
+            texts.append(" ".join(words[:k] + [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(0, 1 + len(words) - k)))]))
+    real = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").orderBy("doc_id").limit(400).collect()]
+    rows = list(enumerate(texts + ["a common line of eight words for all " + t for t in texts[::7]] + real))
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(t.translate({i: i + 32 for i in range(65, 91)}))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    parent, near = list(range(len(rows))), 0
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+            near += 100 * both < 95 * (len(sets[i]) + len(sets[j]) - both)
+            a, b = parent[i], parent[j]
+            parent = [min(a, b) if p in (a, b) else p for p in parent]
+    got = [r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()]
+    assert near > 30 and sorted(got) == [i for i, p in enumerate(parent) if i == p]
+
+
 def test_quality(spark, docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     got = quality.judge(docs.where("doc_id is not null"), labels).collect()
