@@ -16,6 +16,8 @@ def shared_root(spark: SparkSession) -> str:
     where the session names none (local runs and tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="scoreloom-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
@@ -38,6 +40,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Rows and megabytes up to which `small_side` has a table broadcast.
 SMALL_ROWS, SMALL_MB = 500_000, 32
 
