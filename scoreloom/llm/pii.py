@@ -229,7 +229,7 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
         if left.isEmpty():
             break
     asked = people.select("kind", "core", F.explode(F.when(F.col("shared"), F.array("gender")).otherwise(F.col("told"))).alias("as"), "gender")
-    return asked.join(done, ["kind", "core", "gender"]).select("kind", "core", F.col("as").alias("gender"), "s")
+    return asked.join(done.hint("merge"), ["kind", "core", "gender"]).select("kind", "core", F.col("as").alias("gender"), "s")
 
 
 def _pattern(text: Column) -> Column:

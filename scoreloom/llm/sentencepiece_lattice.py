@@ -1,23 +1,25 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-The lattice: words of the texts are exploded to their substrings of bounded length, which are
-joined to the piece table; the edges found are grouped by word, and a higher-order aggregate
-folds them. The public model is a BPE model, whose result is not the path with the best sum of scores,
-so a Viterbi fold over its scores would give other ids than the model means. The fold
-here is therefore the model's own rule on the same lattice: in each step the edge with the best
-score that joins two neighbouring symbols (of equal ones the leftmost) becomes one symbol.
-
-A text is cut before each run of spaces (no piece holds a space behind another sign, so no
-merge crosses such a cut). Each partition of the texts gives its distinct words once; their
-encodings come back as one dictionary file per partition in the shared folder, with which the
-partition's texts are encoded. Words too long for the bit sets of the fold are merged by the
-same rule in Python.
+The lattice: the corpus's distinct words are exploded to their substrings of bounded length, which
+are joined to the piece table; the edges found are grouped by word, and a higher-order aggregate
+folds them. Two folds: ``viterbi`` takes the path with the best sum of scores, which is what a
+unigram model means; ``merges`` is the rule of a BPE model on the same lattice: in each
+step the edge with the best score that joins two neighbouring symbols (of equal ones the
+leftmost) becomes one symbol. The public model is a BPE model, for which a Viterbi path over its
+scores gives other ids than the model's own (README), so op7 folds by merges.
+
+A text is cut wherever no piece of the model holds the two signs that meet there; no piece and
+no merge can cross such a place. Each partition of the texts gives its distinct words once,
+each distinct word of the corpus is folded once, and the encodings come back as one
+dictionary folder per partition in the shared folder, with which the partition's texts are encoded.
+Words too long for the bit sets of the fold, and words that a partition did not give when it was
+read first, are merged by the same rule in Python.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,16 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreloom.llm.arrowtext import ranges, slices
-from scoreloom.llm.scratch import new_folder
+from scoreloom.llm.scratch import new_folder, stored
 
 SPACE = "▁"
 #: Longest word, in signs, that is folded in the bits of a long.
 MOST_SIGNS = 60
-#: Tasks that the words of one partition of texts are dealt to, so that their edges fit in memory.
-SALTS = 8
 #: Rows that a piece table may have to be broadcast (ids and ranks have 20 bits).
 MOST_PIECES = 1_000_000
-_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Text handled at once inside a task.
+TEXT_BYTES = 2 << 20
 
 
 class Model:
@@ -60,8 +61,21 @@ class Model:
         self.value = {i: b for b, i in self.bytes.items()}
         self.unknown = sp.unk_id()
         self.longest = max(map(len, self.pieces))
-        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces):
-            raise ValueError("pieces with inner spaces are not supported")
+        self.signs_of = np.array([0 if x else len(p) for p, x in zip(self.names, special)], np.int32)
+        raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.names)]
+        self.raw, self.raw_length = np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, n)
+        self.raw_start = np.cumsum(self.raw_length) - self.raw_length
+        # Whether two bytes of a text may meet inside a word; spaces stand for SPACE here. Bytes of signs
+        # beyond ASCII always may, but a space begins a word except behind a space.
+        self.meet = np.zeros((256, 256), bool)
+        self.meet[128:, :], self.meet[:, 128:] = True, True
+        for p in self.pieces:
+            for x, y in zip(p.replace(SPACE, " "), p.replace(SPACE, " ")[1:]):
+                if x < "\x80" and y < "\x80":
+                    self.meet[ord(x), ord(y)] = True
+        if not any(x != SPACE and y == SPACE for p in self.pieces for x, y in zip(p, p[1:])):
+            self.meet[128:, 32] = False
+        self.meet = self.meet.ravel()
 
     def sign(self, c: str) -> list[int]:
         if c in self.pieces:
@@ -97,55 +111,71 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-def cut(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Words of all texts: codes, distinct words, bounds of each text. Each non-empty text gets
-    a space in front, as the model wants it."""
-    texts = pc.fill_null(texts, "")
-    rough = pc.or_(pc.match_substring_regex(texts, "^ |  | $"), pc.match_substring(texts, SPACE)).to_numpy(zero_copy_only=False)
-    none = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    lists = pc.split_pattern(pc.if_else(pa.array(rough), "", texts), " ")
-    count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = lists.flatten().dictionary_encode()
-    distinct = [SPACE + p for p in coded.dictionary.to_pylist()]
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(len(texts)), count)
-    plain = ~(rough | none)[row]
-    codes, count = codes[plain], np.where(rough | none, 0, count)
-    if not rough.any():
-        return codes, distinct, np.concatenate(([0], np.cumsum(count)))
-    number = {w: i for i, w in enumerate(distinct)}
-    parts, first = [], np.cumsum(count) - count
-    for i, odd in enumerate(rough):
-        if odd:
-            found = _WORD.findall(SPACE + texts[i].as_py().replace(" ", SPACE))
-            parts.append(np.array([number.setdefault(w, len(number)) for w in found], np.int64))
-            count[i] = len(found)
-        else:
-            parts.append(codes[first[i] : first[i] + count[i]])
-    return np.concatenate(parts), list(number), np.concatenate(([0], np.cumsum(count)))
-
-
-def lattice(words: DataFrame, m: Model) -> DataFrame:
-    """part, salt, word to part, word, starts, ids. No shuffle: words come dealt by part and salt."""
-    spark = words.sparkSession
-    order = {s: k for k, s in enumerate(sorted({s for _, s in m.pieces.values()}, reverse=True))}
-    table = spark.createDataFrame(pa.table({"piece": list(m.pieces), "id": pa.array([i for i, _ in m.pieces.values()], pa.int32()), "rank": pa.array([order[s] for _, s in m.pieces.values()], pa.int32())}))
-    starts = words.select("part", "salt", "word", F.char_length("word").alias("n")).withColumn("s", F.explode(F.expr("sequence(0, n - 1)")))
-    spans = starts.withColumn("t", F.explode(F.expr(f"sequence(s + 1, least(n, s + {m.longest}))"))).withColumn("piece", F.expr("substring(word, s + 1, t - s)"))
+def cut(texts: pa.Array, m: Model) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words of all texts: codes, distinct words (with spaces), bounds of each text. Each non-empty
+    text gets a space in front, as the model wants it."""
+    texts = pc.replace_substring(pc.fill_null(texts, ""), SPACE, " ")
+    texts = pc.binary_join_element_wise(pc.if_else(pc.equal(pc.binary_length(texts), 0), "", " "), texts, "")
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(size)))
+    if not ends[-1]:
+        return np.empty(0, np.int64), pa.array([], pa.string()), np.zeros(len(texts) + 1, np.int64)
+    _, offsets, data = texts.buffers()
+    first = np.frombuffer(offsets, np.int32)[texts.offset]
+    data = np.frombuffer(data, np.uint8)[first : first + ends[-1]]
+    start = np.ones(len(data), bool)
+    start[1:] = ~m.meet[data[:-1].astype(np.uint16) << 8 | data[1:]]
+    start[ends[:-1][size > 0]] = True
+    at = np.flatnonzero(start)
+    coded = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, np.searchsorted(at, ends)
+
+
+def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """The lattice: word to one row per piece in it, columns word, s (place), t (end), and those of
+    `pieces` but its column piece. `pieces` is broadcast. No shuffle."""
+    starts = words.select("word", F.char_length("word").alias("n")).withColumn("s", F.explode(F.expr("sequence(0, n - 1)")))
+    spans = starts.withColumn("t", F.explode(F.expr(f"sequence(s + 1, least(n, s + {longest}))"))).withColumn("piece", F.expr("substring(word, s + 1, t - s)"))
+    return spans.join(F.broadcast(pieces), "piece").drop("piece", "n")
+
+
+def merges(lattice: DataFrame) -> DataFrame:
+    """Edges (word, s, t, id, rank) to word, starts (place of each piece, null if they cover the word), ids, by the BPE rule."""
     # an edge is one long, rank first: 20 bits each for rank and id, 6 each for place and length
     edge = F.expr("shiftleft(cast(rank as bigint), 32) | shiftleft(cast(s as bigint), 26) | shiftleft(cast(t - s as bigint), 20) | id").alias("e")
-    edges = spans.join(F.broadcast(table), "piece").select("part", "salt", "word", edge)
-    grouped = edges.groupBy("part", "salt", "word").agg(F.sort_array(F.collect_list("e")).alias("packed"))
+    grouped = lattice.select("word", edge).groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("packed"))
     place = "cast(shiftright(e, 26) & 63 as int)"
     stop = f"{place} + cast(shiftright(e, 20) & 63 as int)"
-    told = f"transform(packed, e -> named_struct('s', {place}, 'ends', shiftleft(1L, {place}) | shiftleft(1L, {stop}), 'inner', (shiftleft(1L, {stop}) - 1) & ~(shiftleft(1L, {place} + 1) - 1), 'id', cast(e & 1048575 as int)))"
+    told = f"transform(packed, e -> named_struct('s', {place}, 'n', cast(shiftright(e, 20) & 63 as int), 'ends', shiftleft(1L, {place}) | shiftleft(1L, {stop}), 'inner', (shiftleft(1L, {stop}) - 1) & ~(shiftleft(1L, {place} + 1) - 1), 'id', cast(e & 1048575 as int)))"
     grouped = grouped.withColumn("edges", F.expr(told))
     # each step of the fold joins the two symbols that the first free edge spans
     bits = "aggregate(sequence(1, greatest(char_length(word) - 1, 1)), shiftleft(1L, char_length(word) + 1) - 1, (b, k) -> b & ~coalesce(get(filter(edges, e -> (b & e.ends) = e.ends AND bit_count(b & e.inner) = 1), 0).inner, 0L))"
-    ids = "array_sort(transform(filter(edges, e -> (bits & e.ends) = e.ends AND (bits & e.inner) = 0), e -> struct(e.s, e.id)))"
-    done = grouped.withColumn("bits", F.expr(bits)).withColumn("found", F.expr(ids))
+    found = "array_sort(transform(filter(edges, e -> (bits & e.ends) = e.ends AND (bits & e.inner) = 0), e -> struct(e.s, e.id, e.n)))"
+    done = grouped.withColumn("bits", F.expr(bits)).withColumn("found", F.expr(found))
+    whole = F.expr("aggregate(found, 0, (a, x) -> a + x.n) = char_length(word)")
     # signs that no piece covers are written as bytes later, by place
-    return done.select("part", "word", F.expr("transform(found, x -> x.s)").alias("starts"), F.expr("transform(found, x -> x.id)").alias("ids"))
+    return done.select("word", F.when(~whole, F.expr("transform(found, x -> x.s)")).alias("starts"), F.expr("transform(found, x -> x.id)").alias("ids"))
+
+
+def viterbi(lattice: DataFrame) -> DataFrame:
+    """Edges (word, s, t, id, score) to word, ids: the path of all of the word with the best sum of
+    scores, of equal ones that with the smaller ids from the back; null if there is none."""
+    grouped = lattice.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("t", "s", "id", "score"))).alias("edges"))
+    # best[p]: score of the best path to place p and the edge by which it comes there
+    state = "transform(sequence(0, char_length(word)), p -> struct(if(p = 0, 0.0D, double('-Infinity')) AS score, cast(null as int) AS s, cast(null as int) AS id))"
+    better = "get(b, e.s).score + e.score > get(b, e.t).score"
+    step = f"(b, e) -> if({better}, transform(b, (x, p) -> if(p = e.t, struct(get(b, e.s).score + e.score AS score, e.s AS s, e.id AS id), x)), b)"
+    back = "aggregate(sequence(1, char_length(word)), struct(char_length(word) AS at, cast(array() as array<int>) AS ids), (a, k) -> if(a.at = 0, a, struct(get(best, a.at).s AS at, concat(array(get(best, a.at).id), a.ids) AS ids)))"
+    done = grouped.withColumn("best", F.expr(f"aggregate(edges, {state}, {step})"))
+    reached = F.expr("get(best, char_length(word)).score > double('-Infinity')")
+    return done.select("word", F.when(reached, F.expr(f"{back}.ids")).alias("ids"))
+
+
+def piece_table(spark: SparkSession, m: Model) -> DataFrame:
+    """piece, id, score, rank (0: the best score)."""
+    order = {s: k for k, s in enumerate(sorted({s for _, s in m.pieces.values()}, reverse=True))}
+    ids, scores = zip(*m.pieces.values())
+    return spark.createDataFrame(pa.table({"piece": list(m.pieces), "id": pa.array(ids, pa.int32()), "score": pa.array(scores, pa.float64()), "rank": pa.array([order[s] for s in scores], pa.int32())}))
 
 
 def _assemble(m: Model, word: str, starts: list[int], ids: list[int]) -> list[int]:
@@ -162,90 +192,140 @@ def _assemble(m: Model, word: str, starts: list[int], ids: list[int]) -> list[in
     return out
 
 
-def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids of every text. Null and empty texts have no ids; rows are kept one by one."""
-    from pyarrow import dataset, fs
-
+class _Dictionary:
+    """Words of a partition and their ids."""
+
+    def __init__(self, m: Model, path: str):
+        from pyarrow import dataset, fs
+
+        self.m, self.words = m, pa.array([], pa.string())
+        self.start, self.length, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        files, path = fs.FileSystem.from_uri(path)
+        if files.get_file_info(path).type != fs.FileType.Directory:
+            return
+        table = dataset.dataset(path, filesystem=files, format="parquet").to_table(columns=["word", "starts", "ids"]).combine_chunks()
+        words = pc.replace_substring(table["word"], SPACE, " ").combine_chunks()
+        ids = table["ids"].combine_chunks()
+        part = np.flatnonzero(table["starts"].is_valid().to_numpy(zero_copy_only=False))
+        some = table.take(pa.array(part)).to_pydict()
+        self._add(words, pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+        self._replace(part, [_assemble(m, *x) for x in zip(some["word"], some["starts"], some["ids"])])
+
+    def _add(self, words: pa.Array, length: np.ndarray, flat: np.ndarray) -> None:
+        self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(length) - length))
+        self.length, self.pool = np.concatenate((self.length, length)), np.concatenate((self.pool, flat))
+        self.words = pa.concat_arrays([self.words, words])
+
+    def _replace(self, places: np.ndarray, ids: list[list[int]]) -> None:
+        each = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.start[places], self.length[places] = len(self.pool) + np.cumsum(each) - each, each
+        self.pool = np.concatenate((self.pool, np.fromiter((i for x in ids for i in x), np.int32, int(each.sum()))))
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The place of each word; words that are new are merged here."""
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            new = words.filter(at.is_null())
+            ids = [self.m.merge(w.replace(" ", SPACE)) for w in new.to_pylist()]
+            self._add(new, np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter((i for x in ids for i in x), np.int32))
+            at = pc.index_in(words, value_set=self.words)
+        return at.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def encoder(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text"):
+    """Prepares the dictionaries; (rows, function): the function maps the rows' Arrow batches to
+    batches of doc_id, ids."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     folder = new_folder(spark, "dictionary")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
+        m, seen = model(model_file), pa.array([], pa.string())
         for batch in batches:
-            for b in slices(batch, "text"):
-                new = [w for w in cut(b.column("text"))[1] if len(w) <= MOST_SIGNS and w not in seen]
-                seen.update(new)
-                yield pa.record_batch([pa.array(np.full(len(new), TaskContext.get().partitionId(), np.int32)), pa.array(new, pa.string())], names=["part", "word"])
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = rows.select("text").mapInArrow(distinct, "part int, word string").withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int")).repartition(SALTS * n, "part", "salt")
-    lattice(words, model(model_file)).write.option("compression", "zstd").partitionBy("part").parquet(folder)
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+            for b in slices(batch, "text", TEXT_BYTES):
+                seen = pc.unique(pa.concat_arrays([seen, cut(b.column("text"), m)[1]]))
+        short = seen.filter(pc.less_equal(pc.utf8_length(seen), MOST_SIGNS))
+        for lo in range(0, len(short), 100_000):
+            words = pc.replace_substring(short.slice(lo, 100_000), " ", SPACE)
+            yield pa.record_batch([pa.array(np.full(len(words), TaskContext.get().partitionId(), np.int32)), words], names=["part", "word"])
+
+    given = rows.select("text").mapInArrow(distinct, "part int, word string")
+    # a list has one number for each partition of the texts at most
+    by_word = stored(given.groupBy("word").agg(F.collect_list("part").alias("parts")), "words")
+    n, m = int(spark.conf.get("spark.sql.shuffle.partitions")), model(model_file)
+    folded = merges(edges(by_word.select("word").repartition(n, "word"), piece_table(spark, m).drop("score"), m.longest))
+    back = by_word.repartition(n, "word").join(folded.hint("merge"), "word", "left")
+    back = back.select(F.explode("parts").alias("part"), "word", F.coalesce("starts", F.when(F.col("ids").isNull(), F.expr("cast(array() as array<int>)"))).alias("starts"), F.coalesce("ids", F.expr("cast(array() as array<int>)")).alias("ids"))
+    back.repartition(n, "part").write.option("compression", "zstd").partitionBy("part").parquet(folder)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_file)
-        files, path = fs.FileSystem.from_uri(f"{folder}/part={TaskContext.get().partitionId()}")
-        known: dict[str, int] = {}
-        start, length, pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
-
-        def learn(words: list[str], ids: list[list[int]]) -> None:
-            nonlocal start, length, pool
-            known.update(zip(words, range(len(known), len(known) + len(words))))
-            each = np.fromiter(map(len, ids), np.int64, len(ids))
-            start = np.concatenate((start, len(pool) + np.cumsum(each) - each))
-            length = np.concatenate((length, each))
-            pool = np.concatenate((pool, np.fromiter((i for x in ids for i in x), np.int32, int(each.sum()))))
-
-        if files.get_file_info(path).type == fs.FileType.Directory:
-            for b in dataset.dataset(path, filesystem=files, format="parquet").to_batches(columns=["word", "starts", "ids"]):
-                got = b.to_pydict()
-                learn(got["word"], [i if sum(len(m.names[x]) for x in i) == len(w) else _assemble(m, w, s, i) for w, s, i in zip(got["word"], got["starts"], got["ids"])])
+        known = _Dictionary(m, f"{folder}/part={TaskContext.get().partitionId()}")
         for batch in batches:
-            for b in slices(batch, "text"):
-                codes, words, bounds = cut(b.column("text"))
-                if rest := [w for w in words if w not in known]:
-                    learn(rest, [m.merge(w) for w in rest])
-                number = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[codes] if len(words) else codes
-                size = length[number]
+            for b in slices(batch, "text", TEXT_BYTES):
+                codes, words, bounds = cut(b.column("text"), m)
+                number = known.numbers(words)[codes]
+                size = known.length[number]
                 ends = np.concatenate(([0], np.cumsum(size)))[bounds]
-                yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(pool[ranges(start[number], size)]))], names=["doc_id", "ids"])
+                yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(known.pool[ranges(known.start[number], size)]))], names=["doc_id", "ids"])
 
-    return rows.mapInArrow(apply, schema)
+    return rows, apply
+
+
+def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids of every text. Null and empty texts have no ids; rows are kept one by one,
+    other columns are left out."""
+    rows, apply = encoder(docs, model_file, id_col, text_col)
+    return rows.mapInArrow(apply, T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+
+
+def _texts(ids: pa.ListArray, m: Model) -> pa.Array:
+    """Texts of lists of ids: pieces joined, byte pieces put together, the front space taken off."""
+    lists = pc.fill_null(ids, pa.scalar([], ids.type))
+    flat, n = lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    size, first = m.raw_length[flat], np.cumsum(n) - n
+    start = m.raw_start[flat]
+    some = first[n > 0]
+    cut = np.zeros(len(flat), bool)
+    cut[some] = (size[some] > 0) & (m.raw[np.minimum(start[some], len(m.raw) - 1)] == 32)
+    data, length = m.raw[ranges(start + cut, size - cut)], size - cut
+    ends = np.concatenate(([0], np.cumsum(length)))[np.concatenate((first, [len(flat)]))].astype(np.int32)
+    out = pa.Array.from_buffers(pa.string(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    try:
+        out.validate(full=True)
+    except pa.ArrowInvalid:  # ids of no text: bytes that are no UTF-8 are replaced
+        out = pa.array([x.decode("utf-8", "replace") for x in out.cast(pa.binary()).to_pylist()], pa.string())
+    return pc.if_else(ids.is_valid(), out, pa.scalar(None, pa.string()))
 
 
 def decode(encoded: DataFrame, model_file: str, ids_col: str = "ids") -> DataFrame:
-    """`encoded` with the column text: pieces joined, byte pieces put together, the front space taken off."""
+    """`encoded` with the column text (null for null; a column of this name is replaced)."""
     @F.pandas_udf("string")
     def text(ids):
         import pandas as pd
 
-        m = model(model_file)
-
-        def one(x):
-            if x is None:
-                return None
-            raw = b"".join(bytes([m.value[i]]) if i in m.value else m.names[i].encode() for i in x)
-            return raw.decode("utf-8", "replace").replace(SPACE, " ")[1:]
-
-        return pd.Series([one(x) for x in ids], dtype=object)
+        return pd.Series(_texts(pa.array(ids, pa.list_(pa.int32())), model(model_file)).to_pylist(), dtype=object)
 
     return encoded.withColumn("text", text(ids_col))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents`: doc_id, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids), and of the
-    decoded text n_chars and text_md5."""
+    text decoded from the ids n_chars and text_md5. Encoding and decoding share one Python worker."""
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-
-    @F.pandas_udf("long")
-    def crc(ids):
-        import pandas as pd
-
-        return pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in ids], dtype="int64")
-
-    done = decode(encode(docs, path), path)
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), crc("ids").alias("ids_crc32"), F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows, apply = encoder(docs, path)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in apply(batches):
+            ids = b.column("ids")
+            text, n = _texts(ids, model(path)), pc.list_value_length(ids)
+            data, ends = memoryview(ids.flatten().to_numpy().astype("<u4")).cast("B"), ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py()
+            crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(ends.tolist(), ends[1:].tolist())]
+            md5 = [hashlib.md5(t).hexdigest() for t in text.cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([b.column("doc_id"), n.cast(pa.int64()), pa.array(crc, pa.int64()), pc.utf8_length(text).cast(pa.int64()), pa.array(md5, pa.string())], names=schema.names)
+
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n_pieces", "ids_crc32", "n_chars")), T.StructField("text_md5", T.StringType())])
+    return rows.mapInArrow(digest, schema)
