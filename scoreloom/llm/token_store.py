@@ -23,7 +23,8 @@ SHARD_IDS = 4_000_000
 
 
 def _put(folder: str, name: str, data: bytes) -> str:
-    """Write a file of the shared folder; it gets its name when complete, so a repeated task does no harm."""
+    """Write a file of the shared folder; it gets its name when complete. A repeated task finds the
+    same file there and leaves it."""
     from pyarrow import fs
 
     files, path = fs.FileSystem.from_uri(folder)
@@ -31,7 +32,10 @@ def _put(folder: str, name: str, data: bytes) -> str:
     new = f"{path}/.{name}.{uuid.uuid4().hex}"
     with files.open_output_stream(new) as f:
         f.write(data)
-    files.move(new, f"{path}/{name}")
+    if files.get_file_info(f"{path}/{name}").type == fs.FileType.File:
+        files.delete_file(new)
+    else:
+        files.move(new, f"{path}/{name}")
     return f"{folder}/{name}"
 
 

@@ -98,7 +98,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # such strings in a text are ordinary text
         self._forget()
-        self.tokens: dict[str, int] = {}
+        self.tokens = pa.array([], pa.string())
         self.token_start, self.token_length = np.empty(0, np.int64), np.empty(0, np.int64)
         self.token_pool = np.empty(0, np.uint32)
 
@@ -150,31 +150,32 @@ class Encoder:
             self.pool = np.concatenate((self.pool, flat))
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
-    def _keep_tokens(self, kept: list[str]) -> None:
-        """Forget all pre-tokens but these."""
-        at = np.fromiter(map(self.tokens.__getitem__, kept), np.int64, len(kept))
+    def _keep_tokens(self, at: np.ndarray) -> None:
+        """Forget all pre-tokens but those at the given places."""
         length = self.token_length[at]
         self.token_pool = self.token_pool[ranges(self.token_start[at], length)]
         self.token_start, self.token_length = np.cumsum(length) - length, length
-        self.tokens = dict(zip(kept, range(len(kept))))
+        self.tokens = self.tokens.take(pa.array(at))
 
-    def _token_ids(self, distinct: list[str]) -> np.ndarray:
+    def _token_ids(self, distinct: pa.Array) -> np.ndarray:
         """A number for each pre-token; new ones go through the model and are remembered."""
-        if len(self.tokens) > MEMORY_PRETOKENS:
-            self._keep_tokens([t for t in distinct if t in self.tokens])
-        known, model, lower = self.tokens, self.tok.model.tokenize, self.kind == "dropped"
-        new = [t for t in distinct if t not in known]
-        if new:
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            # all in one string for the change to byte signs; a plain text holds no \x01
-            text = "\x01".join(t.lstrip(" \n") for t in new) if lower else "\x01".join(new)
-            signs = text.encode().decode("latin-1").translate(self.signs).split(self.signs[1])
-            parts = [model(t) if t else [] for t in signs]
-            each = np.fromiter(map(len, parts), np.int64, len(parts))
-            flat = np.fromiter(map(_ID, chain.from_iterable(parts)), np.uint32, int(each.sum()))
-            self.token_start = np.concatenate((self.token_start, len(self.token_pool) + np.cumsum(each) - each))
-            self.token_length, self.token_pool = np.concatenate((self.token_length, each)), np.concatenate((self.token_pool, flat))
-        return np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
+        model, lower = self.tok.model.tokenize, self.kind == "dropped"
+        at = pc.index_in(distinct, value_set=self.tokens)
+        if not at.null_count:
+            return at.to_numpy(zero_copy_only=False)
+        new = distinct.filter(at.is_null())
+        if len(self.tokens) + len(new) > MEMORY_PRETOKENS:
+            self._keep_tokens(at.drop_null().to_numpy(zero_copy_only=False))
+        # all in one string for the change to byte signs; a plain text holds no \x01
+        text = "\x01".join(t.lstrip(" \n") for t in new.to_pylist()) if lower else "\x01".join(new.to_pylist())
+        signs = text.encode().decode("latin-1").translate(self.signs).split(self.signs[1])
+        parts = [model(t) if t else [] for t in signs]
+        each = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = np.fromiter(map(_ID, chain.from_iterable(parts)), np.uint32, int(each.sum()))
+        self.token_start = np.concatenate((self.token_start, len(self.token_pool) + np.cumsum(each) - each))
+        self.token_length, self.token_pool = np.concatenate((self.token_length, each)), np.concatenate((self.token_pool, flat))
+        self.tokens = pa.concat_arrays([self.tokens, new])
+        return pc.index_in(distinct, value_set=self.tokens).to_numpy(zero_copy_only=False)
 
     def _by_tokens(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain texts, and how many each text has. White space stands at the beginning of
@@ -203,7 +204,7 @@ class Encoder:
         at = np.flatnonzero(start)
         offsets = np.append(at, len(data)).astype(np.int32)
         coded = pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        number = self._token_ids(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        number = self._token_ids(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
         length = self.token_length[number]
         upto = np.concatenate(([0], np.cumsum(length)))[np.searchsorted(at, bounds)]
         return self.token_pool[ranges(self.token_start[number], length)], np.diff(upto)

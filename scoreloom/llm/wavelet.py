@@ -40,7 +40,7 @@ def build(ids: np.ndarray, doc_ids: list, lengths: np.ndarray, bits: int | None
         parts = [packed[i : i + step] for i in range(0, len(packed), step)]
         ones = np.cumsum([0] + [int(np.bitwise_count(p).sum()) for p in parts]).tolist()
         planes.append({"zeros": n - ones[-1], "ones": ones, "at": [put(p.tobytes()) for p in parts]})
-        cur = np.concatenate((cur[~bit], cur[bit]))
+        cur = np.concatenate((cur[np.flatnonzero(~bit)], cur[np.flatnonzero(bit)]))
     docs = put(json.dumps(doc_ids).encode() + b"\n" + np.asarray(lengths, "<i8").tobytes())
     head = json.dumps({"n": n, "bits": bits, "planes": planes, "docs": docs, "n_docs": len(doc_ids)}).encode()
     return MAGIC + struct.pack("<I", len(head)) + head + b"".join(blocks)
@@ -123,12 +123,13 @@ class WaveletMatrix:
 
     def all_ids(self) -> np.ndarray:
         """Every id in order: the stable partitions undone from the last plane up."""
-        cur = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        cur = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
             raw = b"".join(self._raw(x) for x in self.planes[k]["at"])
             bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").astype(bool)
             up, zeros = np.empty_like(cur), self.planes[k]["zeros"]
-            up[~bit] = cur[:zeros]
-            up[bit] = cur[zeros:] | np.uint32(1 << (self.bits - 1 - k))
+            up[np.flatnonzero(~bit)] = cur[:zeros]
+            up[np.flatnonzero(bit)] = cur[zeros:] | kind(1 << (self.bits - 1 - k))
             cur = up
-        return cur
+        return cur.astype(np.uint32, copy=False)
