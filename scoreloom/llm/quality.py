@@ -107,9 +107,11 @@ def _repeated(w: Words, row: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
     """One row per document: counts of the base rules, base_failed, llr_sum (millionths),
     n_ngrams, kept. Null text has no words and so fails the base rules. `keep` names input
-    columns to be passed on."""
+    columns to be passed on, under the names ``in_<name>`` if a result has the name already."""
     keep = keep or []
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr_sum", "n_ngrams")] + [T.StructField(c, T.BooleanType()) for c in ("base_failed", "kept")] + [docs.schema[c] for c in keep])
+    own = {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr_sum", "n_ngrams", "base_failed", "kept"}
+    put = [T.StructField(f"in_{c}" if c.lower() in own else c, docs.schema[c].dataType) for c in keep]
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType)] + [T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr_sum", "n_ngrams")] + [T.StructField(c, T.BooleanType()) for c in ("base_failed", "kept")] + put)
     table = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +138,7 @@ def score(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
                 failed = (n < 10) | (100 * repeat > 20 * n)
                 kept = ~failed & (llr >= threshold * grams)
                 out = [n, add(chars[w.codes]) if len(chars) else 0 * n, add(symbols[w.codes]) if len(chars) else 0 * n, dup, repeat, llr, grams, failed, kept]
-                yield pa.record_batch([b.column("__id"), *map(pa.array, out), *(b.column(c) for c in keep)], names=schema.names)
+                yield pa.record_batch([b.column("__id"), *map(pa.array, out), *b.columns[2:]], names=schema.names)
 
     return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *keep).mapInArrow(apply, schema)
 

@@ -150,7 +150,11 @@ def test_deduplicate_keeps_one_row(spark):
     assert len(kept) == 3 and {r.text for r in kept} >= {"a b c d e f g", "another text of more than five words"}
 
 
-def test_deduplicate_links_all_near_copies(spark):
+@pytest.mark.parametrize("block", [100_000, 500])
+def test_deduplicate_links_all_near_copies(spark, monkeypatch, block):
+    from scoreloom.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng, texts = np.random.default_rng(3), []
     for _ in range(30):
         words = [f"w{k}" for k in rng.integers(0, 5000, rng.integers(30, 300))]
@@ -175,6 +179,28 @@ def test_deduplicate_links_all_near_copies(spark):
     assert near > 30 and sorted(got) == [i for i, p in enumerate(parent) if i == p]
 
 
+def test_block_links():
+    from scoreloom.llm import jaccard
+
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(0, 400, 90)) for _ in range(4)]
+    sets = [np.unique(np.concatenate((rng.choice(x, int(len(x) * rng.uniform(0.8, 1)), replace=False), rng.integers(400, 4000, rng.integers(0, 12))))) for x in base for _ in range(12)]
+    link = np.array([[len(np.intersect1d(x, y)) * 9 >= 4 * (len(x) + len(y)) for y in sets] for x in sets])
+    roots = np.arange(len(sets)) // 2
+    found = jaccard.block_links(sets[:20], sets[20:], roots[:20], roots[20:])
+    assert len(found) and all(link[i, 20 + j] for i, j in found)
+
+    def classes(pairs):
+        parent = {r: r for r in roots}
+        for a, b in pairs:
+            x, y = parent[roots[a]], parent[roots[b]]
+            parent = {r: min(x, y) if p in (x, y) else p for r, p in parent.items()}
+        return parent
+
+    assert classes((i, 20 + j) for i, j in found) == classes((i, j) for i in range(20) for j in range(20, len(sets)) if link[i, j])
+    assert len(found) < len(set(roots))
+
+
 def test_quality(spark, docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     got = quality.judge(docs.where("doc_id is not null"), labels).collect()
@@ -413,10 +439,68 @@ def test_pii_people_and_check_digits(spark):
 def test_pipeline(spark):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns = docs.columns
+    read = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(10**9, None, None, None, None), (10**9 + 1, "", "en", None, 0), (None, "a document of some words without an id and with enough of them to be kept by rules", "en", "s", None)], read.schema)
+    clash = ["kept", "n_words", "row", "e", "n_entities", "component_id", "ids"]
+    docs = read.unionByName(odd).withColumns({c: F.lit("clash") for c in clash})
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
-        assert docs.columns == columns
-    assert corpus_pipeline.run(spark, SF).count() > 0
-    assert pa.__version__
+        before, columns = docs.count(), docs.columns
+        docs = corpus_pipeline.stored(stage(spark, docs, SF), "test")
+        assert docs.columns == columns and 0 < docs.count() <= before and docs.where(" OR ".join(f"{c} <> 'clash'" for c in clash)).count() == 0, name
+    assert docs.where("n_chars <> char_length(text)").count() == 0
+    end = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert end.select(F.sum("length")).first()[0] == end.where("start = 0").select(F.sum("doc_tokens")).first()[0]
+
+
+def test_pipeline_against_brute_force(spark):
+    """run() on a corpus of a few planted cases: what each stage has to do is told here in plain Python."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    real = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' and n_chars between 400 and 3000").orderBy("doc_id").limit(120).collect()]
+    docs = [(i, t) for i, t in real]
+    docs += [(10_000 + i, t) for i, t in real[:10]]  # exact copies
+    docs += [(20_000 + i, " ".join(t.split()[:-2])) for i, t in real[10:20]]  # near copies
+    docs += [(30_000, "too short"), (30_001, None), (30_002, "again and again the same " * 30)]
+    docs += [(40_000 + i, t + f" Write to user{i}@mail.example.com now.") for i, t in real[20:25]]
+    table = spark.createDataFrame([(i, t, "en", "x", len(t or "")) for i, t in docs], read_schema := spark.read.parquet(f"{SF}/documents.parquet").schema).coalesce(1)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+
+    def words(t):
+        return WORD.findall(t or "")
+
+    def passes(t):
+        w = words(t)
+        wins = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        many = {x for x in wins if wins.count(x) > 1}
+        rep = {k + d for k, x in enumerate(wins) if x in many for d in range(5)}
+        return len(w) >= 10 and 100 * len(rep) <= 20 * len(w)
+
+    kept = {r.doc_id for r in quality.judge(table, labels).where("kept").collect()}
+    assert kept <= {i for i, t in docs if passes(t)} and len(kept) > 100
+    folder = new_folder(spark, "plain")
+    table.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    first = [(i, t) for i, t in docs if i in kept]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for w in (words(t.translate({c: c + 32 for c in range(65, 91)})) for _, t in first)]
+    parent = list(range(len(first)))
+    for a, b in itertools.combinations(range(len(first)), 2):
+        if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+            x, y = sorted((parent[a], parent[b]))
+            parent = [x if p == y else p for p in parent]
+    second = {first[k][0]: first[k][1] for k in range(len(first)) if parent[k] == k}
+    end = corpus_pipeline.run(spark, folder).toPandas()
+    # near duplicates: one of each class stays; which one follows from the order of rows, so classes are compared
+    name = {i: parent[k] for k, (i, _) in enumerate(first)}
+    assert sorted(name[i] for i in set(end.doc_id)) == sorted(set(parent)) and len(second) == end.doc_id.nunique()
+    plain = {i: t for i, t in docs}
+    changed = [i for i in set(end.doc_id) if pii_found(plain[i])]
+    for i, g in end.groupby("doc_id"):
+        assert g.length.sum() == g.doc_tokens.iloc[0]
+        if i not in changed:
+            assert g.doc_tokens.iloc[0] == len(library_ids("word_bpe_49k.json", plain[i], 2))
+    assert changed and sorted(zip(end.sequence_id * 4096 + end.offset, end.length))[0][0] == 0 and read_schema
+
+
+def pii_found(text):
+    return bool(brute_entities(text))
