@@ -155,6 +155,7 @@ def test_deduplicate_links_all_near_copies(spark, monkeypatch, block):
     from scoreloom.llm import jaccard
 
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SKETCHES", block // 100)
     rng, texts = np.random.default_rng(3), []
     for _ in range(30):
         words = [f"w{k}" for k in rng.integers(0, 5000, rng.integers(30, 300))]
@@ -201,6 +202,24 @@ def test_block_links():
     assert len(found) < len(set(roots))
 
 
+def test_sketches_lose_no_pair():
+    from scoreloom.llm import jaccard
+
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2**63, k, dtype=np.uint64)) for k in (1, 3, 60, 100, 130, 900, 1020, 1030)]
+    sets += [np.unique(np.concatenate((x[: int(len(x) * f)], rng.integers(0, 2**63, 3, dtype=np.uint64)))) for x in sets for f in (0.85, 0.9, 1.0)]
+    n = np.array([len(x) for x in sets])
+    sk = jaccard.sketches(np.concatenate(sets), np.concatenate(([0], np.cumsum(n))))
+    side = np.arange(len(sets)) % 2 == 0
+    link = np.array([[len(np.intersect1d(x, y)) * 9 >= 4 * (len(x) + len(y)) for y in sets] for x in sets])
+    got = jaccard.with_partner(side, ~side, n, np.arange(len(sets)), sk)
+    want = (link & (side[:, None] != side[None, :])).any(1)
+    assert want.sum() > 4 and (got | ~want).all() and not got.all()
+    i, j = np.nonzero(link)
+    d = jaccard._differ([sk[a] for a in i], [sk[b] for b in j])
+    assert (9 * d <= n[i] + n[j]).all()
+
+
 def test_quality(spark, docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
     got = quality.judge(docs.where("doc_id is not null"), labels).collect()
