@@ -54,7 +54,7 @@ def program_changes(spark, sf_dir):
 
 def _degrees(spark, sf_dir):
     n = _notes(spark, sf_dir)
-    return E.decompose_scale_degrees(E.add_scale_degrees(J.label_music_df_with_chord_df(n, corpus.chords(n)).withColumn("spelling", E.spell_pitch(F.col("pitch")))), 1)
+    return E.decompose_scale_degrees(E.add_scale_degrees(J.label_notes_with_chords(n, corpus.chords(n)).withColumn("spelling", E.spell_pitch(F.col("pitch")))), 1)
 
 
 _DEGREE = """, k AS (SELECT ev.row_id, ch.key, CASE WHEN (7 * pitch::INTEGER) % 12 + 1 > 8 THEN (7 * pitch::INTEGER) % 12 - 11 ELSE (7 * pitch::INTEGER) % 12 + 1 END
@@ -73,10 +73,11 @@ def eligible_releases(spark, sf_dir):
     return E.get_eligible_releases(_notes(spark, sf_dir))
 
 
-@_query(", l AS (SELECT row_id % 50 AS row_id, arg_max(instrument, row_id) AS label FROM ev WHERE row_id < 1000 GROUP BY 1) SELECT ev.row_id, label FROM ev LEFT JOIN l USING (row_id)")
+@_query(", l AS (SELECT row_id - row_id % 2 AS row_id, arg_max(instrument, ev.row_id) AS label FROM ev GROUP BY 1) SELECT ev.row_id, label FROM ev LEFT JOIN l USING (row_id)")
 def label_rows(spark, sf_dir):
+    """Every note gives a label to its own or the row before, so that each labelled row has two and the last stays."""
     n = _notes(spark, sf_dir)
-    labels = n.where("row_id < 1000").select(F.pmod("row_id", F.lit(50)).alias("row_id"), F.col("instrument").alias("label"), F.col("row_id").alias("place"))
+    labels = n.select((F.col("row_id") - F.pmod("row_id", F.lit(2))).alias("row_id"), F.col("instrument").alias("label"), F.col("row_id").alias("place"))
     return E.label_df(n, labels, "label").select("row_id", "label")
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.functions.figures import inversion_number_to_figure
+
+
 def _per() -> Window:
     return Window.partitionBy("score_id").orderBy("onset")
 
@@ -34,9 +37,7 @@ def split_degrees(chords: DataFrame) -> DataFrame:
 
 def join_degrees(chords: DataFrame) -> DataFrame:
     """The four columns of `split_degrees` to joined_degree; null if one is."""
-    alt = lambda c: F.when(F.col(c) == "_", "").otherwise(F.col(c))
-    full = F.concat(alt("primary_alteration"), "primary_degree", F.lit("/"), alt("secondary_alteration"), "secondary_degree")
-    return chords.withColumn("joined_degree", F.regexp_replace(full, r"/I\z", ""))
+    return chords.withColumn("joined_degree", _joined())
 
 
 def tonicization_census(chords: DataFrame) -> DataFrame:
@@ -56,30 +57,94 @@ def extract_chord_df(labelled: DataFrame, columns: tuple[str, ...] = ("key", "de
     return r.join(end, "score_id").select("score_id", "onset", F.coalesce(F.lead("onset").over(_per()), "__end").alias("release"), *(F.col(f"c.{x}").alias(x) for x in columns)).where(F.col(columns[0]).isNotNull() & (F.col(columns[0]) != "na"))
 
 
-def expand_tonicizations(chords: DataFrame, excluded: tuple[str, ...] = ("Mm7", "It", "Fr", "Ger", "aug6", "o", "+")) -> DataFrame:
-    """A chord whose degree is the secondary degree of a neighbour becomes I of it; V needs both neighbours."""
-    s = split_degrees(chords)
-    sec = F.when(F.col("secondary_degree") != "I", F.col("secondary_degree"))
-    near = s.withColumn("__a", F.lag(sec).over(_per())).withColumn("__b", F.lead(sec).over(_per()))
-    plain = (F.col("secondary_degree") == "I") & (F.col("primary_alteration") == "_") & (F.col("primary_degree") != "I")
-    one, both = (F.col("__a") == F.col("primary_degree")) | (F.col("__b") == F.col("primary_degree")), (F.col("__a") == F.col("primary_degree")) & (F.col("__b") == F.col("primary_degree"))
-    hit = plain & ~F.col("quality").isin(*excluded) & F.when(F.col("primary_degree") == "V", both).otherwise(one)
-    return near.withColumn("degree", F.when(F.coalesce(hit, F.lit(False)), F.concat(F.lit("I/"), "primary_degree")).otherwise(F.col("degree"))).select(*chords.columns)
+#: Qualities that hold one of these are no plausible tonic.
+NO_TONIC = r"Mm7|It|Fr|Ger|aug6|o|\+"
+
+
+def _near(c: str, k: int):
+    return F.lag(c).over(_per()) if k < 0 else F.lead(c).over(_per())
+
+
+def expand_tonicizations(chords: DataFrame, quality: str | None = "quality") -> DataFrame:
+    """A chord whose degree a neighbour of the same key has as secondary degree becomes I of it ("vi V/vi" to
+    "I/vi V/vi"); V needs both neighbours. Alterations must match, and modes where there is a column
+    secondary_mode. With `quality`, chords whose quality fits NO_TONIC stay. Takes split
+    degrees, or a column degree, which is then written anew."""
+    s = chords if "primary_degree" in chords.columns else split_degrees(chords)
+    has = set(s.columns)
+    bare = lambda c: c.isin("_", "-", "")
+    mode = F.when(F.col(quality).isin("M", "m"), F.col(quality)) if quality else None
+
+    def matches(k: int):
+        ok = (F.col("primary_degree") == _near("secondary_degree", k)) & (F.col("key") == _near("key", k))
+        if {"primary_alteration", "secondary_alteration"} <= has:
+            mine, theirs = F.col("primary_alteration"), _near("secondary_alteration", k)
+            ok = ok & ((bare(mine) & bare(theirs)) | (mine == theirs))
+        if quality and "secondary_mode" in has:
+            ok = ok & (mode == _near("secondary_mode", k))
+        return F.coalesce(ok, F.lit(False))
+
+    hit = (F.col("secondary_degree") == "I") & F.when(F.col("primary_degree") == "V", matches(-1) & matches(1)).otherwise(matches(-1) | matches(1))
+    if quality:
+        hit = hit & ~F.coalesce(F.col(quality).rlike(NO_TONIC), F.lit(False))
+    s = s.withColumn("__hit", F.coalesce(hit, F.lit(False)))
+    new = {"secondary_degree": F.col("primary_degree"), "primary_degree": F.lit("I")}
+    if {"primary_alteration", "secondary_alteration"} <= has:
+        new |= {"secondary_alteration": F.col("primary_alteration"), "primary_alteration": F.lit("_")}
+    if "secondary_mode" in has:
+        last = F.regexp_extract("primary_degree", r"(.)\z", 1)
+        new["secondary_mode"] = mode if quality else F.when(last.rlike(r"\p{Lu}"), "M").when(last.rlike(r"\p{Ll}"), "m").otherwise(F.col("secondary_mode"))
+    s = s.withColumns({c: F.when(F.col("__hit"), x).otherwise(F.col(c)) for c, x in new.items()})
+    if "primary_degree" not in chords.columns:
+        s = s.withColumn("degree", F.when(F.col("__hit"), _joined()).otherwise(F.col("degree")))
+    return s.select(*chords.columns)
+
+
+def _joined():
+    alt = lambda c: F.when(F.col(c) == "_", "").otherwise(F.col(c))
+    full = F.concat(alt("primary_alteration"), "primary_degree", F.lit("/"), alt("secondary_alteration"), "secondary_degree")
+    return F.regexp_replace(full, r"/I\z", "")
 
 
-def merge_annotations(chords: DataFrame) -> DataFrame:
-    """annotation: 'key.degree-quality-inversion', the key only where it is new."""
-    new = F.coalesce(F.lag("key").over(_per()) != F.col("key"), F.lit(True))
-    label = F.concat("degree", "quality", F.col("inversion").cast("int").cast("string"))
-    return chords.withColumn("annotation", F.concat(F.when(new, F.concat("key", F.lit("."))).otherwise(""), label))
+def merge_annotations(chords: DataFrame, include_key: bool = True) -> DataFrame:
+    """annotation: degree, quality (without its 7), figure of the inversion, and the secondary degree
+    ("VM6/V"), only where it is new; with the key ("C.") where that is new, and then the degree
+    in any case. Rows that are no notes (by a column type) and labels of 'na' have none of their own."""
+    known = lambda c: F.when(F.col(c) != "na", F.col(c))
+    first, second = (F.split_part("degree", F.lit("/"), F.lit(k)) for k in (1, 2))
+    figure = inversion_number_to_figure(F.col("inversion"), F.col("quality"))
+    rn = F.concat(first, F.regexp_replace("quality", "7", ""), F.coalesce(figure, F.lit("")), F.when(second != "", F.concat(F.lit("/"), second)).otherwise(""))
+    real = F.coalesce(F.col("type") == "note", F.lit(False)) if "type" in chords.columns else F.lit(True)
+    s = chords.withColumn("__rn", F.when(real & known("degree").isNotNull(), rn)).withColumn("__key", known("key"))
+    s = s.withColumns({"__all": _filled("__rn"), "__rn": _new_only(F.col("__rn"), ""), "__key": F.concat(_new_only(F.col("__key"), None), F.lit("."))})
+    shown = F.when(F.col("__key").isNotNull() & (F.col("__rn") == ""), F.coalesce("__all", F.lit(""))).otherwise(F.col("__rn"))
+    text = F.concat(F.coalesce("__key", F.lit("")), shown) if include_key else F.col("__rn")
+    return s.withColumn("annotation", text).drop("__rn", "__key", "__all")
 
 
 def replace_spurious_tonics(chords: DataFrame) -> DataFrame:
-    return chords.withColumn("degree", F.regexp_replace("degree", r"\AI/", ""))
+    """Split degrees: I of a secondary degree becomes that degree of the key; its alteration comes along."""
+    has = set(chords.columns)
+    s = chords.withColumn("secondary_degree", F.coalesce("secondary_degree", F.lit("I")))
+    s = s.withColumn("__hit", F.coalesce((F.col("primary_degree") == "I") & (F.col("secondary_degree") != "I"), F.lit(False)))
+    new = {"primary_degree": F.upper("secondary_degree"), "secondary_degree": F.lit("I")}
+    if {"primary_alteration", "secondary_alteration"} <= has:
+        new |= {"primary_alteration": F.col("secondary_alteration"), "secondary_alteration": F.lit("_")}
+    if "secondary_mode" in has:
+        new["secondary_mode"] = F.lit("_")
+    return s.withColumns({c: F.when(F.col("__hit"), x).otherwise(F.col(c)) for c, x in new.items()}).select(*chords.columns)
 
 
-def keep_new_elements_only(df: DataFrame, column: str, fill: str = "") -> DataFrame:
-    """`column` blanked where it repeats the last value; empty and null values are skipped."""
-    value = F.when(F.col(column) != "", F.col(column))
+def _filled(column: str):
+    return F.last(F.col(column), ignorenulls=True).over(_per().rowsBetween(Window.unboundedPreceding, 0))
+
+
+def _new_only(value, fill: str | None):
+    """`value` where it differs from the last that was not null; elsewhere `fill`."""
     past = F.last(value, ignorenulls=True).over(_per().rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("__p", past).withColumn(column, F.when(F.coalesce(F.col("__p") == F.col(column), F.lit(False)) | F.col(column).isNull(), fill).otherwise(F.col(column))).drop("__p")
+    return F.when(value.isNotNull() & ~past.eqNullSafe(value), value).otherwise(F.lit(fill))
+
+
+def keep_new_elements_only(df: DataFrame, column: str, fill: str = "") -> DataFrame:
+    """`column` with `fill` wherever it is null, empty, or repeats the last value that was neither."""
+    return df.withColumn(column, _new_only(F.when(F.col(column) != "", F.col(column)), fill))

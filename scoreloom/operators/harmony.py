@@ -6,21 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions import keys as K
+from scoreloom.functions.figures import inversion_number_to_figure  # noqa: F401  part of this module too
 from scoreloom.operators.chords import runs
-from scoreloom.operators.joins import label_music_df_with_chord_df
+from scoreloom.operators.joins import label_notes_with_chords
 from scoreloom.operators.order import ffill
 
-# Figures of triads and of seventh chords by inversion.
-TRIADS = ["", "6", "64"]
-SEVENTHS = ["7", "65", "43", "42"]
-
-
-def inversion_number_to_figure(inversion: Column, quality: Column) -> Column:
-    """The figure of an inversion; augmented sixths count as sevenths, quality 'x' has none, others out of range are '?'."""
-    table = lambda t: F.coalesce(F.get(F.array(*map(F.lit, t)), inversion.cast("int")), F.lit("?"))
-    seventh = quality.contains("7") | quality.isin("Fr", "Ger", "aug6")
-    return F.when(quality == "x", "").when(seventh, table(SEVENTHS)).otherwise(table(TRIADS))
-
 
 def change_rn_mode(numeral: Column, mode: Column) -> Column:
     """A Roman numeral in the case of `mode`; signs before it stay."""
@@ -78,7 +68,7 @@ def compare_keys(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def label_pc_matches(notes: DataFrame, chords: DataFrame, name: str = "is_chord_match") -> DataFrame:
     """`name`: whether the pitch class of a note is one of its chord's (chord_pcs); null outside chords. Notes should be sliced at chords."""
-    labelled = label_music_df_with_chord_df(notes, chords.withColumn("__end", F.col("release")), ("chord_pcs", "__end"))
+    labelled = label_notes_with_chords(notes, chords.withColumn("__end", F.col("release")), ("chord_pcs", "__end"))
     hit = F.array_contains("chord_pcs", F.pmod(F.col("pitch").cast("int"), F.lit(12)))
     return labelled.withColumn(name, F.when(F.col("onset") < F.col("__end"), hit)).drop("chord_pcs", "__end")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scoreloom.operators.slices import buckets, salami_slice, sounding
 
 
-def label_music_df_with_chord_df(notes: DataFrame, chords: DataFrame, columns: tuple[str, ...] = ("key", "degree", "quality", "inversion"), backfill: bool = True) -> DataFrame:
+def label_notes_with_chords(notes: DataFrame, chords: DataFrame, columns: tuple[str, ...] = ("key", "degree", "quality", "inversion"), backfill: bool = True) -> DataFrame:
     """Each note gets the columns of the last chord at or before its onset; earlier notes those of the first
     chord, or go. One sorted pass over both tables together, no pairs."""
     label = F.struct(*columns)

@@ -33,31 +33,45 @@ def merge_contiguous_durations(spans: DataFrame, key: str = "score_id") -> DataF
     return marked.groupBy(key, "__island").agg(F.min("onset").alias("onset"), F.max("release").alias("release")).drop("__island")
 
 
-def merge_repeated_notes(notes: DataFrame, max_note_duration: float | None = None, max_gap: float = 0.125, instrument: str = "instrument") -> DataFrame:
+#: Columns that tell instruments apart, where a table has them.
+INSTRUMENTS = ("instrument", "midi_instrument", "track", "channel")
+
+
+def merge_repeated_notes(df: DataFrame, max_note_duration: float | None = None, max_gap: float = 0.125, instruments: tuple[str, ...] = INSTRUMENTS, preserve_outer_voices: bool = True) -> DataFrame:
     """Consecutive notes of one instrument and pitch merge if they touch, or if the gap is at most
-    `max_gap` and no note of the instrument begins in it; with `max_note_duration` only shorter notes do."""
-    per = Window.partitionBy("score_id", instrument, "pitch").orderBy("onset", "release", "row_id")
-    onsets = notes.select("score_id", instrument, "onset").distinct()
-    nth = Window.partitionBy("score_id", instrument).orderBy("onset")
-    numbered = notes.join(onsets.withColumn("__n", F.row_number().over(nth)), ["score_id", instrument, "onset"])
-    before = numbered.withColumn("__r", F.lag("release").over(per)).withColumn("__pn", F.lag("__n").over(per)).withColumn("__po", F.lag("onset").over(per))
-    # onsets of the instrument at or after the release before, and before this onset: none if the last onset before this one came before that release
-    last = onsets.withColumn("__last", F.lag("onset").over(nth))
-    before = before.join(last, ["score_id", instrument, "onset"])
-    gap = F.col("onset") - F.col("__r")
-    free = F.col("__last").isNull() | (F.col("__last") < F.col("__r"))
-    joins = (gap <= 1e-6) | ((gap <= max_gap) & free)
+    `max_gap` and no note of the instrument begins in it; with `max_note_duration` only if the earlier
+    is no longer. With `preserve_outer_voices` both must agree in being lowest and being highest at their
+    onsets. Equal nulls are one instrument; rows that are no notes or have no pitch stay as they are."""
+    is_note = F.coalesce(F.col("pitch").isNotNull() & (F.col("type") == "note"), F.lit(False)) if "type" in df.columns else F.col("pitch").isNotNull()
+    notes, group = df.where(is_note), [c for c in instruments if c in df.columns]
+    marked = outer_voice_flags(notes, "__lowest", "__highest") if preserve_outer_voices else notes
+    # the last distinct onset of the instrument before each onset: none begins in a gap if it is before the gap
+    whole = Window.partitionBy("score_id", *group)
+    onsets = notes.groupBy("score_id", *group, "onset").agg(F.lit(1).alias("__one")).withColumn("__last", F.lag("onset").over(whole.orderBy("onset"))).drop("__one")
+    same = F.lit(True)
+    for c in ["score_id", *group, "onset"]:
+        same = same & F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}"))
+    marked = marked.alias("n").join(onsets.alias("o"), same).select("n.*", "o.__last")
+    per = Window.partitionBy("score_id", *group, "pitch").orderBy("onset", "release", "row_id")
+    before = lambda c: F.lag(c).over(per)
+    gap = F.col("onset") - before("release")
+    joins = (gap <= 1e-6) | ((gap <= max_gap) & (F.col("__last").isNull() | (F.col("__last") < before("release"))))
     if max_note_duration is not None:
-        short = F.col("release") - F.col("onset") <= max_note_duration
-        joins = joins & short & (F.col("__r") - F.col("__po") <= max_note_duration)
-    marked = before.withColumn("__new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("__island", F.sum("__new").over(per))
-    rest = [c for c in notes.columns if c not in ("score_id", instrument, "pitch", "onset", "release")]
-    out = marked.groupBy("score_id", instrument, "pitch", "__island").agg(F.min("onset").alias("onset"), F.max_by("release", F.struct("onset", "release", "row_id")).alias("release"), F.min_by(F.struct(*rest), F.struct("onset", "release", "row_id")).alias("__first"))
-    return out.select("score_id", instrument, "pitch", "onset", "release", *(F.col(f"__first.{c}").alias(c) for c in rest))
+        joins = joins & (before("release") - before("onset") <= max_note_duration)
+    for f in ("__lowest", "__highest") if preserve_outer_voices else ():
+        joins = joins & (before(f) == F.col(f))
+    marked = marked.withColumn("__new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("__island", F.sum("__new").over(per))
+    keys = ["score_id", *group, "pitch"]
+    rest = [c for c in df.columns if c not in (*keys, "onset", "release")]
+    place = F.struct("onset", "release", "row_id")
+    out = marked.groupBy(*keys, "__island").agg(F.min("onset").alias("onset"), F.max_by("release", place).alias("release"), F.min_by(F.struct(*rest), place).alias("__first"))
+    out = out.select(*keys, "onset", "release", *(F.col(f"__first.{c}").alias(c) for c in rest))
+    return out.select(*df.columns).unionByName(df.where(~is_note))
 
 
-def detremolo(notes: DataFrame, max_tremolo_note_length: float = 0.25, max_tremolo_note_gap: float = 0.125) -> DataFrame:
-    return merge_repeated_notes(notes, max_tremolo_note_length, max_tremolo_note_gap)
+def detremolo(df: DataFrame, max_tremolo_note_length: float = 0.25, max_tremolo_note_gap: float = 0.125, instruments: tuple[str, ...] = INSTRUMENTS, preserve_outer_voices: bool = True) -> DataFrame:
+    """Rapid repetitions become one note."""
+    return merge_repeated_notes(df, max_tremolo_note_length, max_tremolo_note_gap, instruments, preserve_outer_voices)
 
 
 def dedouble(notes: DataFrame, ticks: int = 16, also: tuple[str, ...] = ()) -> DataFrame:
@@ -79,33 +93,46 @@ def return_rests(notes: DataFrame, epsilon: float = 1e-7) -> DataFrame:
 
 
 def homophonic_layers(notes: DataFrame) -> DataFrame:
-    """layer: each note goes to the first layer that is free at its onset. Sequential within a score."""
-    import heapq
-
-    import pandas as pd
+    """layer: each note goes to the first layer whose last note has ended at its onset, or has its onset and
+    release. Where nothing sounds on from before, all layers are free, so a score is parted there into
+    islands, which are dealt over all tasks and streamed in order; only the last note of
+    each layer is held."""
+    import pyarrow as pa
     from pyspark.sql import types as T
 
-    schema = T.StructType([*notes.schema.fields, T.StructField("layer", T.LongType())])
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["onset", "pitch", "release", "row_id"])
-        busy, free, n, layers = [], [], 0, []
-        for onset, release in zip(pdf.onset, pdf.release):
-            while busy and busy[0][0] <= onset:
-                heapq.heappush(free, heapq.heappop(busy)[1])
-            if free:
-                layer = heapq.heappop(free)
-            else:
-                layer, n = n, n + 1
-            heapq.heappush(busy, (release, layer))
-            layers.append(layer)
-        return pdf.assign(layer=layers)
-
-    return notes.groupBy("score_id").applyInPandas(place, schema)
-
-
-def outer_voice_flags(notes: DataFrame) -> DataFrame:
-    """is_lowest, is_highest: whether a note is the lowest or highest that sounds at its onset, percussion left out."""
+    keys = ["onset", "pitch", "release", "row_id"]
+    per = Window.partitionBy("score_id").orderBy(*keys)
+    reach = F.max("release").over(per.rowsBetween(Window.unboundedPreceding, -1))
+    parted = notes.withColumn("__new", F.when(reach.isNull() | (F.col("onset") >= reach), 1).otherwise(0)).withColumn("__island", F.sum("__new").over(per)).drop("__new")
+    dealt = parted.repartition("score_id", "__island").sortWithinPartitions("score_id", "__island", *keys)
+
+    names = [*notes.columns, "layer"]
+
+    def place(batches):
+        island, layers = None, []
+        for b in batches:
+            out = []
+            for score, k, onset, release in zip(*(b.column(c).to_pylist() for c in ("score_id", "__island", "onset", "release"))):
+                if (score, k) != island:
+                    island, layers = (score, k), []
+                for i, (o, r) in enumerate(layers):
+                    if onset >= r or (onset, release) == (o, r):
+                        break
+                else:
+                    i = len(layers)
+                    layers.append(None)
+                layers[i] = (onset, release)
+                out.append(i)
+            yield pa.RecordBatch.from_arrays([*b.drop_columns("__island").columns, pa.array(out, pa.int64())], names=names)
+
+    return dealt.select(*notes.columns, "__island").mapInArrow(place, T.StructType([*notes.schema.fields, T.StructField("layer", T.LongType())]))
+
+
+def outer_voice_flags(notes: DataFrame, low: str = "is_lowest", high: str = "is_highest") -> DataFrame:
+    """Columns `low` and `high`: whether a note is the lowest or highest that sounds at its onset, percussion
+    (channel 9) left out; without a column channel nothing is percussion."""
+    tuned = F.coalesce(F.col("channel") != 9, F.lit(True)) if "channel" in notes.columns else F.lit(True)
     t = notes.select("score_id", F.col("onset").alias("t")).distinct()
-    ends = sounding(notes.where("channel <> 9"), t).groupBy("score_id", "t").agg(F.min("pitch").alias("__low"), F.max("pitch").alias("__high")).withColumnRenamed("t", "onset")
-    return notes.join(ends, ["score_id", "onset"], "left").withColumn("is_lowest", F.coalesce((F.col("channel") != 9) & (F.col("pitch") == F.col("__low")), F.lit(False))).withColumn("is_highest", F.coalesce((F.col("channel") != 9) & (F.col("pitch") == F.col("__high")), F.lit(False))).drop("__low", "__high")
+    ends = sounding(notes.where(tuned), t).groupBy("score_id", "t").agg(F.min("pitch").alias("__low"), F.max("pitch").alias("__high")).withColumnRenamed("t", "onset")
+    told = {low: F.coalesce(tuned & (F.col("pitch") == F.col("__low")), F.lit(False)), high: F.coalesce(tuned & (F.col("pitch") == F.col("__high")), F.lit(False))}
+    return notes.join(ends, ["score_id", "onset"], "left").withColumns(told).drop("__low", "__high")

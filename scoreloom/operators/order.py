@@ -31,14 +31,27 @@ def ffill(column: str | Column, over: Window) -> Column:
     return F.last(column, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def crop_df(df: DataFrame, start_time: float) -> DataFrame:
-    """Rows from the first note at or after `start_time`; the last time signature and bar before it come again."""
+def crop_df(df: DataFrame, start_time: float | None = None, start_row: int | None = None, end_row: int | None = None) -> DataFrame:
+    """Rows of each score, in canonical order, from the first note at or after `start_time` (or from the
+    note `start_row`) to the row `end_row`, both included. The last time signature and bar before the first
+    note come along, the time signature moved to the bar's onset. Scores without such a first
+    note give no rows; scores without bars keep the time signature's onset."""
+    if start_time is not None and start_row is not None:
+        raise ValueError("start_time or start_row, not both")
     whole = Window.partitionBy("score_id")
-    first = F.min(F.when((F.col("type") == "note") & (F.col("onset") >= start_time), F.col("onset"))).over(whole)
-    marks = F.col("type").isin("time_signature", "bar")
-    last = F.max(F.when(marks & (F.col("onset") < F.col("__first")), F.col("onset"))).over(Window.partitionBy("score_id", "type"))
-    found = df.withColumn("__first", first).withColumn("__last", last)
-    return found.where((F.col("onset") >= F.col("__first")) | (marks & (F.col("onset") == F.col("__last")))).drop("__first", "__last")
+    s = df.withColumn("__seq", F.row_number().over(order(df)))
+    if start_time is None and start_row is None:
+        s = s.withColumn("__first", F.lit(1))
+    else:
+        begins = (F.col("type") == "note") & (F.col("onset") >= start_time) if start_row is None else F.col("row_id") == start_row
+        s = s.withColumn("__first", F.min(F.when(begins, F.col("__seq"))).over(whole))
+    if end_row is not None:
+        s = s.withColumn("__end", F.max(F.when(F.col("row_id") == end_row, F.col("__seq"))).over(whole)).where("__seq <= __end")
+    before = lambda kind: F.max(F.when((F.col("type") == kind) & (F.col("__seq") < F.col("__first")), F.struct("__seq", "onset"))).over(whole)
+    s = s.withColumn("__bar", before("bar")).withColumn("__sig", before("time_signature"))
+    carried = F.col("__seq") == F.col("__sig.__seq")
+    kept = s.where((F.col("__seq") >= F.col("__first")) | carried | (F.col("__seq") == F.col("__bar.__seq")))
+    return kept.withColumn("onset", F.when(F.coalesce(carried, F.lit(False)), F.coalesce("__bar.onset", "onset")).otherwise(F.col("onset"))).select(*df.columns)
 
 
 def segment_df_by_onset(df: DataFrame, segment_dur: float) -> DataFrame:

@@ -104,18 +104,20 @@ def merge_notes(spark, sf_dir):
     return M.merge_notes(_notes(spark, sf_dir)).select("score_id", "pitch", "onset", "release", F.size("merged_ids").cast("long").alias("n_merged"))
 
 
-_REPEAT = """, a AS (SELECT *, lag(release) OVER w AS pr, lag(onset) OVER w AS po FROM ev WINDOW w AS (PARTITION BY score_id, instrument, pitch ORDER BY onset, release, row_id)),
-b AS (SELECT *, coalesce({cond}onset - pr <= 1e-6 OR (onset - pr <= {gap} AND NOT EXISTS (SELECT 1 FROM ev x WHERE x.score_id = a.score_id AND x.instrument = a.instrument AND x.onset >= a.pr AND x.onset < a.onset)){end}, false) AS j FROM a),
-c AS (SELECT *, sum(CASE WHEN j THEN 0 ELSE 1 END) OVER (PARTITION BY score_id, instrument, pitch ORDER BY onset, release, row_id) AS g FROM b)
-SELECT score_id, instrument, pitch, min(onset) AS onset, arg_max(release, (onset, release, row_id)) AS release FROM c GROUP BY score_id, instrument, pitch, g"""
+_REPEAT = """, t AS (SELECT DISTINCT score_id, onset AS t FROM ev), x AS (SELECT t.score_id, t, min(pitch) AS lo, max(pitch) AS hi FROM t JOIN ev ON ev.score_id = t.score_id AND channel <> 9 AND onset <= t AND t < release GROUP BY ALL),
+fl AS (SELECT ev.*, coalesce(channel <> 9 AND pitch = lo, false) AS l, coalesce(channel <> 9 AND pitch = hi, false) AS h FROM ev LEFT JOIN x ON ev.score_id = x.score_id AND onset = t),
+a AS (SELECT *, lag(release) OVER w AS pr, lag(onset) OVER w AS po, lag(l) OVER w AS pl, lag(h) OVER w AS ph FROM fl WINDOW w AS (PARTITION BY score_id, instrument, channel, pitch ORDER BY onset, release, row_id)),
+b AS (SELECT *, coalesce({cond} pl = l AND ph = h AND (onset - pr <= 1e-6 OR (onset - pr <= {gap} AND NOT EXISTS (SELECT 1 FROM ev x WHERE x.score_id = a.score_id AND x.instrument = a.instrument AND x.channel = a.channel AND x.onset >= a.pr AND x.onset < a.onset))), false) AS j FROM a),
+c AS (SELECT *, sum(CASE WHEN j THEN 0 ELSE 1 END) OVER (PARTITION BY score_id, instrument, channel, pitch ORDER BY onset, release, row_id) AS g FROM b)
+SELECT score_id, instrument, pitch, min(onset) AS onset, arg_max(release, (onset, release, row_id)) AS release FROM c GROUP BY score_id, instrument, channel, pitch, g"""
 
 
-@_query(_REPEAT.format(cond="(", gap="2.0", end=")"))
+@_query(_REPEAT.format(cond="", gap="2.0"))
 def merge_repeated_notes(spark, sf_dir):
     return M.merge_repeated_notes(_notes(spark, sf_dir), max_gap=2.0).select("score_id", "instrument", "pitch", "onset", "release")
 
 
-@_query(_REPEAT.format(cond="release - onset <= 3.0 AND pr - po <= 3.0 AND (", gap="1.0", end=")"))
+@_query(_REPEAT.format(cond="pr - po <= 3.0 AND", gap="1.0"))
 def detremolo(spark, sf_dir):
     return M.detremolo(_notes(spark, sf_dir), 3.0, 1.0).select("score_id", "instrument", "pitch", "onset", "release")
 
@@ -146,7 +148,7 @@ def homophonic_layers(spark, sf_dir):
 @_query(" SELECT row_id, key, degree, quality, inversion FROM ev ASOF JOIN ch ON ev.score_id = ch.score_id AND ev.onset >= ch.onset")
 def label_with_chords(spark, sf_dir):
     n = _notes(spark, sf_dir)
-    return J.label_music_df_with_chord_df(n, corpus.chords(n)).select("row_id", "key", "degree", "quality", "inversion")
+    return J.label_notes_with_chords(n, corpus.chords(n)).select("row_id", "key", "degree", "quality", "inversion")
 
 
 _PCS = "CASE quality WHEN 'M' THEN [0, 4, 7] WHEN 'm' THEN [0, 3, 7] WHEN 'Mm7' THEN [0, 4, 7, 10] ELSE [0, 3, 6, 9] END"
@@ -246,12 +248,17 @@ def split_and_join_degrees(spark, sf_dir):
     return C.join_degrees(C.split_degrees(corpus.chords(_notes(spark, sf_dir)))).select("score_id", "onset", "joined_degree", "primary_degree", "secondary_degree")
 
 
-@_query(", s AS (SELECT *, split_part(degree, '/', 1) AS pd, CASE WHEN contains(degree, '/') THEN split_part(degree, '/', 2) END AS sd FROM ch), n AS (SELECT *, lag(sd) OVER w AS a, lead(sd) OVER w AS b FROM s WINDOW w AS (PARTITION BY score_id ORDER BY onset)) SELECT score_id, onset, CASE WHEN sd IS NULL AND pd <> 'I' AND quality NOT IN ('Mm7', 'It', 'Fr', 'Ger', 'aug6', 'o', '+') AND coalesce(CASE WHEN pd = 'V' THEN a = pd AND b = pd ELSE coalesce(a = pd, false) OR coalesce(b = pd, false) END, false) THEN 'I/' || pd ELSE degree END AS degree FROM n")
+@_query(", s AS (SELECT *, split_part(degree, '/', 1) AS pd, CASE WHEN contains(degree, '/') THEN split_part(degree, '/', 2) END AS sd FROM ch), n AS (SELECT *, lag(sd) OVER w AS a, lead(sd) OVER w AS b, lag(key) OVER w AS ka, lead(key) OVER w AS kb FROM s WINDOW w AS (PARTITION BY score_id ORDER BY onset)) SELECT score_id, onset, CASE WHEN sd IS NULL AND pd <> 'I' AND NOT regexp_matches(quality, 'Mm7|It|Fr|Ger|aug6|o|[+]') AND (CASE WHEN pd = 'V' THEN coalesce(a = pd AND ka = key, false) AND coalesce(b = pd AND kb = key, false) ELSE coalesce(a = pd AND ka = key, false) OR coalesce(b = pd AND kb = key, false) END) THEN 'I/' || pd ELSE degree END AS degree FROM n")
 def expand_tonicizations(spark, sf_dir):
     return C.expand_tonicizations(corpus.chords(_notes(spark, sf_dir))).select("score_id", "onset", "degree")
 
 
-@_query(" SELECT score_id, onset, CASE WHEN coalesce(lag(key) OVER w <> key, true) THEN key || '.' ELSE '' END || degree || quality || inversion::INTEGER AS annotation FROM ch WINDOW w AS (PARTITION BY score_id ORDER BY onset)")
+_ANNOTATION = """, r AS (SELECT *, split_part(degree, '/', 1) || replace(quality, '7', '') || CASE WHEN contains(quality, '7') THEN coalesce(['7', '65', '43', '42'][inversion::INTEGER + 1], '?') ELSE coalesce(['', '6', '64'][inversion::INTEGER + 1], '?') END
+  || CASE WHEN contains(degree, '/') THEN '/' || split_part(degree, '/', 2) ELSE '' END AS rn FROM ch), p AS (SELECT *, lag(key) OVER w AS k0, lag(rn) OVER w AS r0 FROM r WINDOW w AS (PARTITION BY score_id ORDER BY onset))
+SELECT score_id, onset, CASE WHEN k0 IS NULL OR k0 <> key THEN key || '.' || rn WHEN r0 IS NULL OR r0 <> rn THEN rn ELSE '' END AS annotation FROM p"""
+
+
+@_query(_ANNOTATION)
 def merge_annotations(spark, sf_dir):
     return C.merge_annotations(corpus.chords(_notes(spark, sf_dir))).select("score_id", "onset", "annotation")
 
@@ -264,7 +271,7 @@ def keep_new_keys(spark, sf_dir):
 @_query(", l AS (SELECT ev.score_id, ev.onset, max(ev.release) AS release, any_value(key) AS key, any_value(degree) AS degree, any_value(quality) AS quality, any_value(inversion) AS inversion FROM ev ASOF JOIN ch ON ev.score_id = ch.score_id AND ev.onset >= ch.onset GROUP BY 1, 2), n AS (SELECT *, coalesce(lag((key, degree, quality, inversion)) OVER w <> (key, degree, quality, inversion), true) AS n FROM l WINDOW w AS (PARTITION BY score_id ORDER BY onset)), g AS (SELECT score_id, onset, key, degree, quality, inversion FROM n WHERE n) SELECT score_id, onset, coalesce(lead(onset) OVER (PARTITION BY score_id ORDER BY onset), (SELECT max(release) FROM ev WHERE ev.score_id = g.score_id)) AS release, key, degree, quality, inversion FROM g")
 def extract_chords(spark, sf_dir):
     n = _notes(spark, sf_dir)
-    return C.extract_chord_df(J.label_music_df_with_chord_df(n, corpus.chords(n)))
+    return C.extract_chord_df(J.label_notes_with_chords(n, corpus.chords(n)))
 
 
 _SIG = "CASE key WHEN 'C' THEN 0 WHEN 'G' THEN 1 WHEN 'a' THEN 0 WHEN 'F' THEN -1 WHEN 'e' THEN 1 WHEN 'Bb' THEN -2 ELSE -1 END"
@@ -284,9 +291,11 @@ def transpose_and_scale(spark, sf_dir):
     return n.select("row_id", K.chromatic_transpose(F.col("pitch"), F.col("channel"), 5).alias("pitch"), "onset", "release")
 
 
-@_query(", f AS (SELECT score_id, min(onset) AS f FROM ev WHERE onset >= 100 GROUP BY 1) SELECT score_id, row_id, type, onset FROM ms JOIN f USING (score_id) WHERE onset >= f OR (type = 'time_signature' AND onset = 64)")
+@_query(_BARS + """, al AS (SELECT score_id, row_id, type, onset, 4 AS k FROM ev UNION ALL SELECT score_id, row_id, type, onset, 0 FROM ms WHERE type = 'time_signature' UNION ALL SELECT score_id, NULL, 'bar', onset, 2 FROM ba), f AS (SELECT score_id, min(onset) AS f FROM ev WHERE onset >= 100 GROUP BY 1),
+lb AS (SELECT score_id, max(onset) AS b FROM ba JOIN f USING (score_id) WHERE onset <= f GROUP BY 1) SELECT score_id, type, CASE WHEN type = 'time_signature' THEN b ELSE onset END AS onset, count(*) AS n FROM al JOIN f USING (score_id) JOIN lb USING (score_id)
+WHERE onset > f OR (type = 'note' AND onset = f) OR (type = 'time_signature' AND onset = 64) OR (type = 'bar' AND onset = b) GROUP BY ALL""")
 def crop(spark, sf_dir):
-    return O.crop_df(corpus.with_meter(_notes(spark, sf_dir)), 100.0).select("score_id", "row_id", "type", "onset")
+    return O.crop_df(_barred(spark, sf_dir), 100.0).groupBy("score_id", "type", "onset").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query(" SELECT row_id, (pitch >= 48)::BIGINT + (pitch >= 60)::BIGINT AS part, floor(onset / 32)::BIGINT AS segment FROM ev UNION ALL SELECT row_id, p, floor(onset / 32)::BIGINT FROM ms, range(3) r(p) WHERE type <> 'note'")

@@ -73,8 +73,8 @@ def test_quantize_half_even_and_min_dur(spark):
 def test_backfill_and_drop_of_labels(spark):
     chords = spark.createDataFrame([(1, 2.0, "C", "I", "M", 0.0)], "score_id long, onset double, key string, degree string, quality string, inversion double")
     n = notes(spark, [(60, 0, 1), (60, 2, 3)])
-    assert J.label_music_df_with_chord_df(n, chords).where("key = 'C'").count() == 2
-    assert J.label_music_df_with_chord_df(n, chords, backfill=False).count() == 1
+    assert J.label_notes_with_chords(n, chords).where("key = 'C'").count() == 2
+    assert J.label_notes_with_chords(n, chords, backfill=False).count() == 1
 
 
 def test_split_overhang_is_dropped(spark):
@@ -119,3 +119,82 @@ def test_entry_and_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "flagship" in e.queries()
+
+
+def rows(df, *columns):
+    return [tuple(r) for r in df.select(*columns).collect()]
+
+
+def test_layers_share_onset_and_release(spark):
+    # a chord held together stays in one layer; a note over two others takes the next one
+    table = notes(spark, [(60, 0, 2), (67, 0, 2), (60, 2, 3), (72, 2, 6), (64, 3, 6), (72, 6, 7)])
+    got = {(r.pitch, r.onset): r.layer for r in M.homophonic_layers(table).collect()}
+    assert got == {(60, 0): 0, (67, 0): 0, (60, 2): 0, (72, 2): 1, (64, 3): 0, (72, 6): 0}
+
+
+def test_layers_against_plain_version(spark):
+    import random
+
+    rng = random.Random(3)
+    table = [(rng.randint(40, 80), k, k + rng.choice([0.5, 1, 1.5, 4])) for k in [x / 2 for x in range(200)] for _ in range(rng.randint(0, 3))]
+    layers, want = [], {}
+    for i, (pitch, onset, release) in sorted(enumerate(table), key=lambda x: (x[1][1], x[1][0], x[1][2], x[0])):
+        k = next((k for k, (o, r) in enumerate(layers) if onset >= r or (o, r) == (onset, release)), len(layers))
+        layers[k:] = [(onset, release), *layers[k + 1 :]]
+        want[i] = k
+    got = {r.row_id: r.layer for r in M.homophonic_layers(notes(spark, table)).collect()}
+    low = min(got)
+    assert {k - low: v for k, v in got.items()} == want and max(want.values()) > 1
+
+
+def test_repeated_notes(spark):
+    # short 60 repeated while 72 sounds above; from 2 on a deeper note takes the bass
+    table = notes(spark, [(60, 0, 0.5), (60, 0.5, 1), (60, 1, 4), (60, 4, 4.5), (72, 0, 5), (48, 1, 5)])
+    merged = lambda **k: sorted(rows(M.merge_repeated_notes(table, **k).where("pitch = 60"), "onset", "release"))
+    assert merged(preserve_outer_voices=False) == [(0, 4.5)]
+    assert merged() == [(0, 1), (1, 4.5)]  # the bass changes at 1
+    assert merged(preserve_outer_voices=False, max_note_duration=0.5) == [(0, 4), (4, 4.5)]  # only the earlier note has to be short
+    marks = spark.createDataFrame([(0, 100, "bar", None, 0.0, 4.0), (0, 101, "bar", None, 4.0, 8.0), (0, 102, "note", 50.0, 0.0, 1.0), (0, 103, "note", 50.0, 1.0, 2.0)], "score_id long, row_id long, type string, pitch double, onset double, release double").withColumn("instrument", F.lit(None).cast("string"))
+    assert sorted(rows(M.merge_repeated_notes(marks), "type", "onset", "release")) == [("bar", 0, 4), ("bar", 4, 8), ("note", 0, 2)]
+
+
+CHORDS = "score_id long, onset double, primary_degree string, secondary_degree string, secondary_mode string, quality string, key string"
+
+
+def table_of(spark, *chords):
+    return spark.createDataFrame([(0, float(i), *c) for i, c in enumerate(chords)], CHORDS)
+
+
+def test_expand_tonicizations(spark):
+    degrees = lambda *c: rows(C.expand_tonicizations(table_of(spark, *c)).orderBy("onset"), "primary_degree", "secondary_degree", "secondary_mode")
+    assert degrees(("III", "I", "_", "m", "F"), ("V", "III", "m", "Mm7", "F")) == [("I", "III", "m"), ("V", "III", "m")]
+    assert degrees(("III", "I", "_", "m", "F"), ("V", "III", "m", "Mm7", "C")) == [("III", "I", "_"), ("V", "III", "m")]  # another key
+    assert degrees(("III", "I", "_", "M", "F"), ("V", "III", "m", "Mm7", "F"))[0] == ("III", "I", "_")  # another mode
+    for quality in ("Mm7", "o7", "Ger65", "+"):
+        assert degrees(("III", "I", "_", quality, "F"), ("V", "III", "m", "M", "F"))[0] == ("III", "I", "_")
+    v = ("V", "I", "_", "M", "F")
+    assert degrees(("V", "V", "M", "M", "F"), v)[1] == ("V", "I", "_")
+    assert degrees(("V", "V", "M", "M", "F"), v, ("II", "V", "M", "m", "F"))[1] == ("I", "V", "M")
+
+
+def test_replace_spurious_tonics(spark):
+    got = rows(C.replace_spurious_tonics(table_of(spark, ("I", "iii", "m", "m", "F"), ("I", "I", "_", "M", "F"), ("V", "II", "m", "M", "F"), ("IV", None, "_", "M", "F"))).orderBy("onset"), "primary_degree", "secondary_degree", "secondary_mode")
+    assert got == [("III", "I", "_"), ("I", "I", "_"), ("V", "II", "m"), ("IV", "I", "_")]
+
+
+def test_merge_annotations(spark):
+    labels = [("bar", None, None, None, None), ("note", "F", "II", "m7", 1.0), ("note", "F", "II", "m7", 1.0), ("note", "F", "V", "M", 2.0), ("bar", "na", "na", "na", None), ("note", "F", "V/V", "Mm7", 3.0), ("note", "d", "V/V", "Mm7", 3.0)]
+    df = spark.createDataFrame([(0, float(i), *x) for i, x in enumerate(labels)], "score_id long, onset double, type string, key string, degree string, quality string, inversion double")
+    assert rows(C.merge_annotations(df).orderBy("onset"), "annotation") == [("",), ("F.IIm65",), ("",), ("VM64",), ("",), ("VMm42/V",), ("d.VMm42/V",)]
+    assert rows(C.merge_annotations(df, include_key=False).orderBy("onset"), "annotation")[-2:] == [("VMm42/V",), ("",)]
+    kept = C.keep_new_elements_only(df.withColumn("key", F.when(F.col("onset") == 2, "").otherwise(F.col("key"))), "key", "-").orderBy("onset")
+    assert rows(kept, "key") == [("-",), ("F",), ("-",), ("-",), ("na",), ("F",), ("d",)]
+
+
+def test_crop_moves_time_signature(spark):
+    events = [("time_signature", 0, None), ("bar", 0, 3), ("note", 1, 3), ("bar", 3, 6), ("note", 3, 5), ("note", 5, 6), ("bar", 6, 9), ("note", 7, 9)]
+    df = spark.createDataFrame([(0, i, t, float(o), None if r is None else float(r)) for i, (t, o, r) in enumerate(events)], "score_id long, row_id long, type string, onset double, release double")
+    assert sorted(rows(O.crop_df(df, start_time=2.0), "row_id", "onset")) == [(0, 3), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7)]
+    assert sorted(rows(O.crop_df(df, start_row=5, end_row=6), "row_id", "onset")) == [(0, 3), (3, 3), (5, 5), (6, 6)]
+    assert sorted(rows(O.crop_df(df, end_row=2), "row_id", "onset")) == [(0, 0), (1, 0), (2, 1)]
+    assert O.crop_df(df, start_time=8.0).count() == 0
