@@ -298,8 +298,83 @@ def test_html(spark):
     got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == "A&B one two three four end <x>" and got[2] == "A&B uno two three four end <x>"
     assert got[3] == got[4] == "" and got[5] == "plain text" and got[6] == ("body text " * 30).strip()
-    wrapper, region = html_extract.infer([page, page.replace("one", "uno").replace("<p>end", "<p>a</p><p>end")])
-    assert region == "article" and "?" in html_extract.wrapper_text(wrapper)
+    wrapper, how = html_extract.infer([page, page.replace("one", "uno").replace("<p>end", "<p>a</p><p>end")])
+    assert how["region"] == "article" and "?" in html_extract.wrapper_text(wrapper)
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_extract.extract(empty).count() == 0
+    clash = spark.createDataFrame(rows + [(6, "http://a/1", page.replace("one", "eins"))], "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("host", "template", "how", "text", "digest")})
+    found = [(r.page_id, r.text) for r in html_extract.extract(clash).collect()]
+    assert len(found) == 8 and (6, "A&B eins two three four end <x>") in found
+
+
+def test_html_keeps_what_end_tags_leave_open():
+    read = html_extract.main_text
+    assert read("<article><ul><li class=share>share<li>real one</ul><p>rest of article</p></article>") == "real one rest of article"
+    assert read("<article><p class=notice>Cookies!<p>real para<p>more</article><p>after") == "real para more"
+    assert read("<article><header><div>By A</div><h1>Title</h1></header><p>body</p></article>") == "Title body"
+    assert read("<article>a &<b>lt;</b> b &amp;lt; <i>x</i>y</article>") == "a &lt; b &lt; xy"
+    assert read("<article><p>1 < 2 <3 > 1</p>x<p>3 << 4</article>") == "1 < 2 <3 > 1 x 3 << 4"
+    assert read('<article><a title="a > b">x</a><p class="un"closed>y</article>') == "x y"
+    assert read("") == read("<html><body></body></html>") == read("<!-- never closed <p>x") == ""
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a ">"', "<a '>", "<p class=notice>a", "</b>", "<div><p>", "&lt;<b>", "<li><a>"])
+def test_html_is_linear(piece):
+    import time
+
+    began = time.perf_counter()
+    html_extract.main_text("<article>" + piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 20
+
+
+def test_html_wrapper_decides(spark):
+    """The wrapper knows a host's constant text, its content region without a mark, and running text under a name that resembles a mark."""
+    def page(k):
+        body = " ".join(f"w{(k * 37 + j * 11) % 997}" for j in range(60))
+        return f"<body><div class=x1><span>Home</span></div><div class=main7><div class=article-header><p>Lead {k} {body}</p></div><p>Story {k} {body}</p><div class=box>Always the same words</div><div class=nav-links><a>a{k}</a> <a>b{k}</a></div></div><div class=talk><p>Me too {k}</p></div></body>"
+
+    table = spark.createDataFrame([(k, "http://h.example/x", page(k)) for k in range(12)], "page_id long, url string, html string")
+    off = {r.page_id: r.text for r in html_extract.extract(table, use_wrappers=False).collect()}
+    on = {r.page_id: r.text for r in html_extract.extract(table).collect()}
+    for k in range(12):
+        body = " ".join(f"w{(k * 37 + j * 11) % 997}" for j in range(60))
+        assert on[k] == f"Lead {k} {body} Story {k} {body}" and "Me too" in off[k] and "Always" in off[k] and "Lead" not in off[k]
+    two = [r.text for r in html_extract.extract(table.unionByName(spark.createDataFrame([(99, "http://h.example/y", "<body><main><p>another template</p></main><div class=main7>box</div></body>")], table.schema))).where("page_id = 99").collect()]
+    assert two == ["another template"]
+
+
+def test_html_wrapper_matches_its_pages():
+    """Alignment against brute force: the wrapper, as a regular expression, matches each page that it was made of."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        base = rng.integers(0, 6, rng.integers(1, 14)).tolist()
+        pages = []
+        for _ in range(4):
+            page = [x for x in base if rng.random() > 0.2]
+            for _ in range(rng.integers(0, 3)):
+                page.insert(rng.integers(0, len(page) + 1), int(rng.integers(0, 6)))
+            pages.append([("#", f"text{rng.integers(3)}") if x == 5 else ("t", "abcde"[x]) for x in page])
+        wrapper = pages[0]
+        for p in pages[1:]:
+            wrapper = html_extract.align(wrapper, p)
+        sign = lambda x: "#" if x[0] == "#" else x[1]
+        pattern = "".join(f"{sign(w[1][0])}?" if w[0] == "?" else sign(w) for w in wrapper)
+        for p in pages:
+            assert re.fullmatch(pattern, "".join(map(sign, p)))
+        for x, y in itertools.combinations(pages, 2):
+            a, b = [sign(i) for i in x], [sign(i) for i in y]
+            coded = [[ord(c) for c in z] for z in (a, b)]
+            pairs = html_extract.matching(*coded)
+            assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+            table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, j in itertools.product(range(len(a)), range(len(b))):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+            assert len(pairs) == table[-1][-1]
+    html_extract.CELLS, kept = 0, html_extract.CELLS
+    x, y = [1, 2, 1, 2, 3, 3], [2, 1, 3, 2, 3, 1, 1]
+    greedy = html_extract.matching(x, y)
+    html_extract.CELLS = kept
+    assert greedy and all(x[i] == y[j] for i, j in greedy) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(greedy, greedy[1:]))
 
 
 def test_sentencepiece(spark, docs):
