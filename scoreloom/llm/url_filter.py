@@ -25,31 +25,31 @@ from pyspark.sql import functions as F
 
 #: Rules that one array may hold: eight bytes and a string each, read by memory map.
 MOST_RULES = 50_000_000
-#: Longest host suffix chain that is probed; DNS allows no more labels.
-MOST_LABELS = 128
 
 RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 
 
 def build_array(rules: dict[str, str]) -> bytes:
-    """Count, sorted digests, verdicts, ends of the strings, path lengths that occur, strings."""
+    """Count, number of path lengths, most labels of a rule's host; sorted digests, verdicts, ends of the
+    strings, path lengths that occur, strings."""
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules; split them by digest")
-    names = [r.encode() for r in rules]
+    names, verdict = [r.encode() for r in rules], list(rules.values())
     digest = np.array([xxhash.xxh64_intdigest(r) for r in names], "<u8")
     order = np.argsort(digest, kind="stable")
     ends = np.cumsum([len(names[i]) for i in order], dtype="<i8")
-    verdicts = np.array([list(rules.values())[i] == "block" for i in order], "<u8")
+    verdicts = np.array([verdict[i] == "block" for i in order], "<u8")
     lengths = np.array(sorted({len(r[r.index("/") :]) for r in rules}), "<u8")
-    head = np.array([len(names), len(lengths)], "<u8")
+    labels = max((r.partition("/")[0].count(".") + 1 for r in rules), default=0)
+    head = np.array([len(names), len(lengths), labels], "<u8")
     return b"".join([head.tobytes(), digest[order].tobytes(), verdicts.tobytes(), ends.tobytes(), lengths.tobytes(), *(names[i] for i in order)])
 
 
 class DigestArray:
     def __init__(self, path: str):
         data = np.memmap(path, np.uint8, "r")
-        n, m = (int(x) for x in data[:16].view("<u8"))
-        cuts = np.cumsum([16, 8 * n, 8 * n, 8 * n, 8 * m])
+        n, m, self.labels = (int(x) for x in data[:24].view("<u8"))
+        cuts = np.cumsum([24, 8 * n, 8 * n, 8 * n, 8 * m])
         self.digest, self.blocks, self.ends, self.lengths = (data[a:b].view(k) for a, b, k in zip(cuts, cuts[1:], ("<u8", "<u8", "<i8", "<u8")))
         self.text = data[cuts[-1] :]
 
@@ -81,7 +81,8 @@ def judge(pages: DataFrame, rules: dict[str, str], url_col: str = "url", default
     """`pages` with host, path, rule and verdict; columns of these names are replaced.
 
     Host and path follow the first ``://`` (null or none: both empty). The longest fitting
-    rule decides; a URL that no rule fits gets `default`. Nothing is shuffled; the array
+    rule decides; a URL that no rule fits gets `default`. No suffix of a host with more labels than any rule has
+    is probed, as none can fit. Repeated rows are judged alike. Nothing is shuffled; the array
     goes to each machine once as a file."""
     spark = pages.sparkSession
     name = f"digests-{uuid.uuid4().hex}.bin"
@@ -98,7 +99,7 @@ def judge(pages: DataFrame, rules: dict[str, str], url_col: str = "url", default
         array, keys, owner = _array(name), [], []
         lengths = [int(x) for x in array.lengths]
         for i, (host, path) in enumerate(zip(hosts, paths)):
-            raw, labels = path.encode(), host.split(".")[-MOST_LABELS:]
+            raw, labels = path.encode(), host.split(".")[-array.labels :] if array.labels else []
             starts = [raw[:k] for k in lengths if k <= len(raw)]
             for s in {".".join(labels[j:]).encode() for j in range(len(labels))}:
                 keys += [s + p for p in starts]

@@ -271,6 +271,12 @@ def test_url_filter(spark, tmp_path):
     path = tmp_path / "array"
     path.write_bytes(url_filter.build_array({"a/b": "block", "c/d": "allow"}))
     array = url_filter.DigestArray(str(path))
+    assert array.find([b"a/b", b"c/d", b"e/"]).tolist() == sorted(array.find([b"a/b", b"c/d"]).tolist(), key=lambda k: array.string(k)) + [-1]
+    many = url_filter.judge(spark.createDataFrame([("http://" + "a." * 500 + "example.com/en/7" + "x" * 100_000,), ("http://x/",), ("http://x/",)], "url string"), url_filter.RULES).collect()
+    assert [r.rule for r in many] == ["example.com/en/7", None, None]
+    assert url_filter.judge(spark.createDataFrame([("http://x.com/en/",)], "url string"), {}).first().verdict == "allow"
+    assert url_filter.judge(spark.createDataFrame([], "url string"), url_filter.RULES).count() == 0
+    assert len(url_filter.build_array({f"h{k}.com/": "block" for k in range(50_000)})) > 50_000 * 24
     monkey = array.digest.copy()
     monkey[:] = xxhash.xxh64_intdigest(b"zz")  # all digests collide: only full strings decide
     array.digest = monkey
