@@ -151,3 +151,10 @@ def tonicization_to_key(secondary: Column, key: Column, case_matters: bool = Fal
     cased = F.when(mode == "M", name).otherwise(F.concat(F.lower(F.substring(name, 1, 1)), F.substring(name, 2, 1000)))
     found = F.when(~plain_tonic, simplify_enharmonic_key(cased) if simplify else cased)
     return F.coalesce(found, key)
+
+
+def key_signature_of(pc: Column, mode: Column) -> Column:
+    """Sharps (flats below zero) of the key on a pitch class, -5 to 6; minor keys have those of the major key
+    a minor third above. Null if either is null."""
+    around = F.pmod(F.pmod(pc + F.when(mode == "m", 3).otherwise(0), F.lit(12)) * 7, F.lit(12)).cast("int")
+    return F.when(mode.isNotNull(), F.when(around > 6, around - 12).otherwise(around))

@@ -77,3 +77,24 @@ def get_notes_sounding_during(df: DataFrame, onset: float, release: float) -> Da
 def eligible_onsets(df: DataFrame) -> DataFrame:
     """First row of every distinct onset of a score's notes: score_id, onset, row_id."""
     return df.where("type = 'note'").groupBy("score_id", "onset").agg(F.min(F.struct("pitch", "release", "row_id")).alias("r")).select("score_id", "onset", F.col("r.row_id").alias("row_id"))
+
+
+def split_by(df: DataFrame, column: str, values: list) -> dict:
+    """A frame for each of the given values of `column` with that value's notes and all rows that are no notes."""
+    note = F.coalesce(F.col("type") == "note", F.lit(False))
+    return {v: df.where(~note | F.col(column).eqNullSafe(F.lit(v))) for v in values}
+
+
+def drop_columns(df: DataFrame, columns: tuple[str, ...] = ("key", "degree", "quality", "inversion", "primary_degree", "primary_alteration", "secondary_degree", "secondary_alteration", "secondary_mode", "chord_pcs")) -> DataFrame:
+    """`df` without those of the harmony columns that it has."""
+    return df.drop(*columns)
+
+
+def edit_counts(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
+    """What an operator did to the notes of each score: n_before, n_after, n_removed, n_added, n_changed (rows by row_id
+    whose `columns` differ); both sides are partitioned by score and row once."""
+    told = lambda df, side: df.where("type = 'note'").select("score_id", "row_id", F.struct(*columns).alias(side))
+    both = told(before, "a").join(told(after, "b"), ["score_id", "row_id"], "full")
+    n = lambda cond: F.count_if(cond)
+    a, b = F.col("a").isNotNull(), F.col("b").isNotNull()
+    return both.groupBy("score_id").agg(n(a).alias("n_before"), n(b).alias("n_after"), n(a & ~b).alias("n_removed"), n(b & ~a).alias("n_added"), n(a & b & ~F.col("a").eqNullSafe(F.col("b"))).alias("n_changed"))

@@ -83,3 +83,9 @@ def unique_annotations_per_onset(df: DataFrame, column: str, fill: str = "") ->
 
     k = F.row_number().over(Window.partitionBy("score_id", "onset").orderBy("pitch", "row_id"))
     return df.withColumn("__k", k).withColumn(column, F.when(F.col("__k") == 1, F.col(column)).otherwise(fill)).drop("__k")
+
+
+def unique_slices(sliced: DataFrame) -> DataFrame:
+    """The first row of each slice: of each onset the row of the least pitch."""
+    first = F.min_by(F.struct(*sliced.columns), F.struct("pitch", "row_id")).alias("r")
+    return sliced.groupBy("score_id", F.col("onset").alias("__at")).agg(first).select("r.*")
