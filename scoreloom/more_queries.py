@@ -161,6 +161,20 @@ def edit_counts(spark, sf_dir):
     return O.edit_counts(n, B.quantize_df(n, 2).where("onset < 100"), ["onset", "release"])
 
 
+_CHORD_PCS = """, a AS (SELECT score_id, onset, quality, inversion::INTEGER AS i, CASE key WHEN 'C' THEN 0 WHEN 'G' THEN 7 WHEN 'a' THEN 9 WHEN 'F' THEN 5 WHEN 'e' THEN 4 WHEN 'Bb' THEN 10 ELSE 2 END AS k, key IN ('a', 'e', 'd') AS mi, split_part(degree, '/', 1) AS d, CASE WHEN contains(degree, '/') THEN split_part(degree, '/', 2) END AS t FROM ch),
+b AS (SELECT *, k + CASE WHEN t = 'V' THEN 7 WHEN t = 'ii' THEN 2 ELSE 0 END AS tonic, CASE WHEN t = 'V' THEN false WHEN t = 'ii' THEN true ELSE mi END AS own FROM a),
+c AS (SELECT *, tonic + CASE d WHEN 'I' THEN 0 WHEN 'V' THEN 7 WHEN 'IV' THEN 5 WHEN 'ii' THEN 2 ELSE CASE WHEN own AND quality IN ('M', 'Mm7') THEN 8 ELSE 9 END END AS root FROM b),
+e AS (SELECT *, list_transform(CASE quality WHEN 'M' THEN [0, 4, 7] WHEN 'm' THEN [0, 3, 7] WHEN 'Mm7' THEN [0, 4, 7, 10] ELSE [0, 3, 6, 9] END, lambda x: (x + root) % 12) AS p FROM c)
+SELECT score_id, onset, CASE WHEN i < len(p) THEN list_aggregate(list_transform(list_concat(p[i + 1:], p[:i]), lambda x: lower(to_hex(x))), 'string_agg', '') END AS chord_pcs FROM e"""
+
+
+@_query(_CHORD_PCS)
+def add_chord_pcs(spark, sf_dir):
+    """Keys stand only where they are new, and are carried on."""
+    c = C.keep_new_elements_only(corpus.chords(_notes(spark, sf_dir)), "key", None)
+    return H.add_chord_pcs(c).select("score_id", "onset", "chord_pcs")
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in _REGISTRY.items()}
 

@@ -145,6 +145,6 @@ def _new_only(value, fill: str | None):
     return F.when(value.isNotNull() & ~past.eqNullSafe(value), value).otherwise(F.lit(fill))
 
 
-def keep_new_elements_only(df: DataFrame, column: str, fill: str = "") -> DataFrame:
+def keep_new_elements_only(df: DataFrame, column: str, fill: str | None = "") -> DataFrame:
     """`column` with `fill` wherever it is null, empty, or repeats the last value that was neither."""
     return df.withColumn(column, _new_only(F.when(F.col(column) != "", F.col(column)), fill))

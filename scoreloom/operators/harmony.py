@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import keys as K
 from scoreloom.functions.figures import inversion_number_to_figure  # noqa: F401  part of this module too
+from scoreloom.functions.numerals import chord_pitch_classes
 from scoreloom.operators.chords import runs
 from scoreloom.operators.joins import label_notes_with_chords
 from scoreloom.operators.order import ffill
@@ -105,3 +106,12 @@ def merge_logits(rows: DataFrame) -> DataFrame:
     """score_id, logits: of several predictions (score_id, logits, n) the mean by place, weighted with n."""
     flat = rows.select("score_id", "n", F.posexplode("logits").alias("k", "x")).groupBy("score_id", "k").agg(F.try_divide(F.sum(F.col("x") * F.col("n")), F.sum("n")).alias("x"))
     return flat.groupBy("score_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("logits"))
+
+
+def add_chord_pcs(chords: DataFrame) -> DataFrame:
+    """chord_pcs: pitch classes of each chord (degree, quality, inversion) from its bass up as hex digits, null where
+    they can't be told; a null key is that of the chord before."""
+    per = Window.partitionBy("score_id").orderBy("onset")
+    s = chords.withColumn("key", ffill("key", per))
+    pcs = chord_pitch_classes(F.col("degree"), F.col("quality"), F.col("inversion"), F.col("key"))
+    return s.withColumn("chord_pcs", F.when(pcs.isNotNull(), K.pcs_to_hex(pcs)))

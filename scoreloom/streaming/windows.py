@@ -30,3 +30,50 @@ def label_with_chords(notes: DataFrame, chords: DataFrame) -> DataFrame:
     n, c = notes.withColumn("__q", F.floor("onset")).alias("n"), cells.alias("c")
     on = (F.col("n.score_id") == F.col("c.score_id")) & (F.col("n.__q") == F.col("c.__q")) & (F.col("n.onset") >= F.col("c.__a")) & (F.col("n.onset") < F.col("c.__b"))
     return n.join(c, on, "left").select("n.*", "c.key", "c.degree", "c.quality", "c.inversion").drop("__q")
+
+
+def fill_forward(events: DataFrame, column: str) -> DataFrame:
+    """A stream of (score_id, onset, ..) with nulls of `column` filled from the row before in the same score. Rows
+    of one trigger are taken by onset; what comes in a later trigger is filled from what is known by then. State
+    is one value a score."""
+    from pyspark.sql import types as T
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    kind, schema = events.schema[column].dataType, events.schema
+
+    def fill(key, frames, state: GroupState):
+        import pandas as pd
+
+        pdf = pd.concat(list(frames)).sort_values("onset", kind="stable")
+        known = state.get[0] if state.exists else None
+        filled = pdf[column].ffill()
+        if known is not None:
+            filled = filled.fillna(known)
+        if len(filled) and pd.notna(filled.iloc[-1]):
+            state.update((filled.iloc[-1],))
+        yield pdf.assign(**{column: filled})
+
+    state = T.StructType([T.StructField("last", kind)])
+    return events.groupBy("score_id").applyInPandasWithState(fill, schema, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def late_counts(notes: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """A stream of notes with is_late: whether a note is further than `late` behind the newest one of all triggers
+    before, by which a window would leave it out. Per score, with one time of state."""
+    from pyspark.sql import types as T
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    schema = T.StructType([*notes.schema.fields, T.StructField("is_late", T.BooleanType())])
+    allowed = late
+
+    def mark(key, frames, state: GroupState):
+        import pandas as pd
+
+        newest = pd.Timestamp(state.get[0]) if state.exists else None
+        pdf = pd.concat(list(frames))
+        is_late = pdf["ts"] < newest - pd.Timedelta(allowed) if newest is not None else pd.Series(False, index=pdf.index)
+        top = pdf["ts"].max()
+        state.update(((top if newest is None else max(top, newest)).to_pydatetime(),))
+        yield pdf.assign(is_late=is_late)
+
+    return notes.groupBy("score_id").applyInPandasWithState(mark, schema, T.StructType([T.StructField("newest", T.TimestampType())]), "append", GroupStateTimeout.NoTimeout)

@@ -175,6 +175,28 @@ def test_streams(spark, tmp_path):
     assert sorted((r.pitch, r.degree or "") for r in run(W.label_with_chords(stream(), chords), "append")) == [(60, "I"), (60, "I"), (60, "I"), (62, "V"), (64, "")]
 
 
+def test_stateful_streams(spark, tmp_path):
+    rows = [(1, 0.0, "C"), (1, 1.0, None), (2, 0.0, None), (2, 1.0, "a")], [(1, 2.0, None), (1, 3.0, "G"), (2, 5.0, None), (1, 4.0, None)]
+    schema = "score_id long, onset double, key string"
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_seconds(F.col("onset") * 60 + (0 if k == 0 else -7200) * (F.col("score_id") - 1))).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{k}"))
+
+    def run(f):
+        name = f"s{random.randrange(10**9)}"
+        src = spark.readStream.schema(schema + ", ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        f(src).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        return sorted(spark.table(name).collect(), key=lambda r: (r.score_id, r.onset))
+
+    assert [r.key for r in run(lambda s: W.fill_forward(s, "key"))] == ["C", "C", "C", "G", "G", None, "a", "a"]
+    assert [r.is_late for r in run(W.late_counts)] == [False] * 7 + [True]
+
+
+def test_chord_pitch_classes(spark):
+    chords = [("i", "m", 0, "b", "b26"), ("V", "M", 0, "b", "6a1"), ("V/V", "M", 0, "f#", "803"), ("vii", "o7", 0, "a", "8b25"), ("VII", "M", 0, "a", "7b2"), ("V", "Mm7", 2, "Eb", "58a2"), ("x", "Ger", 0, "C", "8036"), ("bII", "M", 1, "e", "90" + "5"), ("V/vi", "Mm7", 0, "C", "48b2"), ("IV", "M", 3, "C", None), (None, "M", 0, "C", None), ("I", "odd", 0, "C", None)]
+    df = spark.createDataFrame([(1, float(i), d, q, float(n), k) for i, (d, q, n, k, _) in enumerate(chords)], "score_id long, onset double, degree string, quality string, inversion double, key string")
+    assert [r.chord_pcs for r in H.add_chord_pcs(df).orderBy("onset").collect()] == [c[-1] for c in chords]
+
+
 @pytest.mark.parametrize("f", [E.add_default_velocity, E.get_eligible_releases, D.unison_runs, D.dedouble_unisons_across_instruments, G.shuffle_pitches, G.aug_rhythms])
 def test_empty_tables(spark, f):
     assert f(notes(spark, [])).count() == 0
