@@ -150,10 +150,11 @@ def test_deduplicate_keeps_one_row(spark):
     assert len(kept) == 3 and {r.text for r in kept} >= {"a b c d e f g", "another text of more than five words"}
 
 
-@pytest.mark.parametrize("block", [100_000, 500])
-def test_deduplicate_links_all_near_copies(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, pairs", [(100_000, 4), (500, 4), (500, 0), (500, 0.1)])
+def test_deduplicate_links_all_near_copies(spark, monkeypatch, block, pairs):
     from scoreloom.llm import jaccard
 
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "SKETCHES", block // 100)
     rng, texts = np.random.default_rng(3), []
@@ -212,7 +213,9 @@ def test_sketches_lose_no_pair():
     sk = jaccard.sketches(np.concatenate(sets), np.concatenate(([0], np.cumsum(n))))
     side = np.arange(len(sets)) % 2 == 0
     link = np.array([[len(np.intersect1d(x, y)) * 9 >= 4 * (len(x) + len(y)) for y in sets] for x in sets])
-    got = jaccard.with_partner(side, ~side, n, np.arange(len(sets)), sk)
+    got, pairs = jaccard.with_partner(side, ~side, n, np.arange(len(sets)), sk, 1000)
+    assert {(i, j) for i, j in zip(*np.nonzero(link & side[:, None] & ~side[None, :]))} <= set(map(tuple, pairs.tolist()))
+    assert jaccard.with_partner(side, ~side, n, np.arange(len(sets)), sk, len(pairs) - 1)[1] is None
     want = (link & (side[:, None] != side[None, :])).any(1)
     assert want.sum() > 4 and (got | ~want).all() and not got.all()
     i, j = np.nonzero(link)
