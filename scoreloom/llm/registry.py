@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scoreloom.llm import chat, html_extract, packing, pii, quality, sentencepiece_lattice, simhash, token_store, topk, url_filter
+from scoreloom.llm import chat, hard_negatives, html_extract, mixing, packing, pii, quality, runs, sentencepiece_lattice, simhash, token_store, topk, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_token_binary": token_store.op8,
         "op9_pii_surrogates": pii.op9,
         "op10_exact_topk": topk.op10,
+        "op11_hard_negatives": hard_negatives.op11,
+        "op12_mixing": mixing.op12,
+        "op13_periodic_runs": runs.op13,
     }
 
 
@@ -26,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_formatting": chat.ORACLE5,
         "op6_url_filters": url_filter.ORACLE6,
         "op10_exact_topk": topk.ORACLE10,
+        "op11_hard_negatives": hard_negatives.ORACLE11,
     }
