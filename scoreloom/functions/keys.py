@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once and written once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def _count(text: Column, sign: str) -> Column:
     return F.char_length(text) - F.char_length(F.replace(text, F.lit(sign), F.lit("")))
 
@@ -133,9 +140,9 @@ MINOR_STEPS = {"M": ["II", "III", "VI", "VII"], "m": ["II", "IV", "V", "#VI", "#
 FLAT_SEVENTH_OF_MINOR = -13
 
 
-def tonicization_to_key(secondary: Column, key: Column, case_matters: bool = False, simplify: bool = True) -> Column:
-    """The key that a secondary degree makes a tonic of. Its mode follows the degree's case where `case_matters`, else the scale.
-    Degrees that are none leave the key as it is."""
+def tonicization_to_key(secondary: Column, key: Column, case_matters: bool = False, simplify: bool = True, told_mode: Column | None = None) -> Column:
+    """The key that a secondary degree makes a tonic of. Its mode is `told_mode` where that is M or m, else follows the
+    degree's case where `case_matters`, else the scale. Degrees that are none leave the key as it is."""
     signs, numeral = F.regexp_extract(secondary, "^([b#]?)([IViv]+)$", 1), F.upper(F.regexp_extract(secondary, "^([b#]?)([IViv]+)$", 2))
     own = get_mode(key)
 
@@ -147,10 +154,15 @@ def tonicization_to_key(secondary: Column, key: Column, case_matters: bool = Fal
     plain_tonic = (signs == "") & (numeral == "I")
     table = by_mode(lambda m: F.when(F.concat(signs, numeral).isin(MINOR_STEPS[m]), "m").otherwise("M"))
     mode = F.when(F.right(secondary, F.lit(1)).rlike("[a-z]"), "m").otherwise("M") if case_matters else table
-    name = line_of_fifths_to_spelling(spelling_to_line_of_fifths(key) + offset)
-    cased = F.when(mode == "M", name).otherwise(F.concat(F.lower(F.substring(name, 1, 1)), F.substring(name, 2, 1000)))
-    found = F.when(~plain_tonic, simplify_enharmonic_key(cased) if simplify else cased)
-    return F.coalesce(found, key)
+    mode = mode if told_mode is None else F.when(told_mode.isin("M", "m"), told_mode).otherwise(mode)
+    place = F.struct((spelling_to_line_of_fifths(key) + offset).alias("at"), mode.alias("mode"))
+
+    def named(x: Column) -> Column:
+        if simplify:
+            return _named(F.pmod((x["at"] - 1) * 7, F.lit(12)), x["mode"])
+        return let(line_of_fifths_to_spelling(x["at"]), lambda n: F.when(x["mode"] == "M", n).otherwise(F.concat(F.lower(F.substring(n, 1, 1)), F.substring(n, 2, 1000))))
+
+    return F.coalesce(F.when(~plain_tonic, let(place, named)), key)
 
 
 def key_signature_of(pc: Column, mode: Column) -> Column:
