@@ -233,9 +233,10 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
 
 
 def _pattern(text: Column) -> Column:
-    """ANY, and the full names that stand behind a title in this text."""
+    """ANY, and the full names that stand behind a title in this text, a longer one before those it begins with."""
     names = F.transform(F.regexp_extract_all(text, F.lit(_NAME), F.lit(0)), lambda n: F.regexp_replace(n, _LEAD["name"], ""))
     full = F.array_distinct(F.filter(names, lambda n: F.instr(n, " ") > 0))
+    full = F.array_sort(full, lambda a, b: F.char_length(b) - F.char_length(a))
     bare = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}'’-])(?:"), F.array_join(full, "|"), F.lit(r")(?![\p{L}\p{N}'’-])"))
     return F.when(F.size(full) > 0, bare).otherwise(F.lit(ANY))
 

@@ -539,6 +539,15 @@ def test_pii_people_and_check_digits(spark):
     assert other != got[2]
 
 
+@pytest.mark.parametrize("first, second", [("John Smith", "John Smith Jones"), ("John Smith Jones", "John Smith")])
+def test_pii_names_within_names(spark, first, second):
+    """Untitled mentions go to the person of the whole name, in either order of appearance."""
+    text = f"Mr {first} and Mr {second} met. {second} left. Then {first} left, and John Smith-Jones stayed."
+    new = pii.pseudonymise(spark.createDataFrame([(0, text)], "doc_id long, text string"), "k").first().text
+    a, b, c, d = re.fullmatch(r"Mr (.+) and Mr (.+) met\. (.+) left\. Then (.+) left, and John Smith-Jones stayed\.", new).groups()
+    assert a == d and b == c and a != b and not {"John", "Smith", "Jones"} & {*a.split(), *b.split()}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
