@@ -1,12 +1,13 @@
-"""Queries of the operators that rewrite keys, each with the same in SQL."""
+"""Queries of the operators that rewrite keys and drop octave doublings, each with the same in SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions import degrees as D
 from scoreloom.operators import modulations as M
+from scoreloom.operators import octaves as O
 from scoreloom.plans import corpus
 
 _REGISTRY: dict[str, tuple] = {}
@@ -100,7 +101,7 @@ kr AS (SELECT score_id, run, any_value(key) AS key, min(onset) AS t0, sum(new) A
 kd AS (SELECT *, lead(key) OVER (PARTITION BY score_id ORDER BY run) AS nxt, n < 4 OR coalesce(lead(t0) OVER (PARTITION BY score_id ORDER BY run) - t0, 'inf'::DOUBLE) < 40 AS short FROM kr),
 wk AS (SELECT score_id, run, key, key AS now FROM kd WHERE run = 1
   UNION ALL SELECT kd.score_id, kd.run, kd.key, CASE WHEN kd.short AND kd.nxt = wk.now THEN wk.now ELSE kd.key END FROM wk JOIN kd ON kd.score_id = wk.score_id AND kd.run = wk.run + 1),
-b3 AS (SELECT b2.*, now, CASE WHEN sd = 'I' THEN {_fifths('b2.key')} ELSE {_fifths('b2.key')} + rn.off END AS root FROM b2 JOIN wk USING (score_id, run) LEFT JOIN rn ON rn.mode = {_mode('b2.key')} AND rn.rn = sa || sd),
+b3 AS (SELECT b2.*, now, CASE WHEN sd = 'I' THEN {_fifths('b2.key')} ELSE {_fifths('b2.key')} + rn.off END AS root FROM b2 JOIN wk USING (score_id, run) LEFT JOIN rn ON rn.mode = {_mode('b2.key')} AND rn.rn = CASE WHEN {_mode('b2.key')} = 'm' AND sa || sd IN ('bVI', 'bVII') THEN sd ELSE sa || sd END),
 ep AS (SELECT score_id, onset, now AS key, pa, pd, CASE WHEN now = b3.key THEN sa ELSE regexp_extract(rn.rn, '^([b#]*)', 1) END AS sa, CASE WHEN now = b3.key THEN sd ELSE regexp_extract(rn.rn, '([IV]+)$', 1) END AS sd
   FROM b3 LEFT JOIN rn ON rn.mode = {_mode('now')} AND rn.off = root - {_fifths('now')})""" + _SPURIOUS
 
@@ -150,6 +151,63 @@ def numerals_and_pitches(spark, sf_dir):
     return s.select("score_id", "onset", "root_pitch", D.spelled_pitch_to_rn(F.col("root_pitch"), F.lit("C"), F.lit("M")).alias("in_c"))
 
 
+#: Stretches of this many quarters are doubled in turn.
+DOUBLED = 32
+
+
+def doubled_lines(spark: SparkSession, sf_dir: str, within: bool = False) -> DataFrame:
+    """One line for each instrument, doubled an octave up (two in each third stretch): within the instrument; or, of
+    clicks by the part 'yy' and, in the other stretches, of views by the part 'zz', which has a note below too."""
+    n = corpus.scores(spark, sf_dir).select("score_id", "row_id", "type", "instrument", "pitch", "onset", "release")
+    n = n.withColumn("k", F.row_number().over(Window.partitionBy("score_id", "instrument", "onset").orderBy("row_id"))).where("k = 1").drop("k")
+    stretch = F.floor(F.col("onset") / DOUBLED)
+    up = n.withColumn("pitch", F.col("pitch") + F.when(stretch % 3 == 0, 24).otherwise(12)).withColumn("row_id", F.col("row_id") + (1 << 40))
+    if within:
+        return n.unionByName(up.where(stretch % 2 == 0))
+    yy = up.where((F.col("instrument") == "click") & (stretch % 2 == 0)).withColumn("instrument", F.lit("yy"))
+    zz = up.where((F.col("instrument") == "view") & (stretch % 2 == 1)).withColumn("instrument", F.lit("zz"))
+    below = zz.withColumns({"pitch": F.lit(30.0), "release": F.col("onset") + 0.125, "row_id": F.col("row_id") + (1 << 41)})
+    return n.unionByName(yy).unionByName(zz).unionByName(below)
+
+
+_LINES = f""", l0 AS (SELECT score_id, row_id, instrument, pitch, onset, release, floor(onset / {DOUBLED})::BIGINT AS s FROM ev QUALIFY row_number() OVER (PARTITION BY score_id, instrument, onset ORDER BY row_id) = 1),
+up AS (SELECT score_id, row_id + (1::BIGINT << 40) AS row_id, instrument, pitch + CASE WHEN s % 3 = 0 THEN 24 ELSE 12 END AS pitch, onset, release, s FROM l0)"""
+_LOW = "lo AS (SELECT t.score_id, t.t, min(n.pitch) AS low FROM (SELECT DISTINCT score_id, onset AS t FROM nt) t JOIN nt n ON n.score_id = t.score_id AND n.onset <= t.t AND n.release > t.t GROUP BY ALL)"
+
+
+@_query(_LINES + f""", nt AS (SELECT * FROM l0 UNION ALL SELECT * FROM up WHERE s % 2 = 0), {_LOW},
+onum AS (SELECT DISTINCT score_id, instrument, onset, dense_rank() OVER (PARTITION BY score_id, instrument ORDER BY onset) AS k FROM nt),
+pr AS (SELECT a.score_id, a.instrument, (b.pitch - a.pitch)::INTEGER AS i, k, a.pitch <= low AS is_low, a.row_id AS lid, b.row_id AS hid, a.pitch FROM nt a JOIN nt b ON b.score_id = a.score_id AND b.instrument = a.instrument AND b.onset = a.onset AND b.release = a.release AND b.pitch - a.pitch IN (12, 24, 36)
+  JOIN onum ON onum.score_id = a.score_id AND onum.instrument = a.instrument AND onum.onset = a.onset JOIN lo ON lo.score_id = a.score_id AND lo.t = a.onset),
+ps AS (SELECT *, CASE WHEN k - lag(k) OVER o = 1 AND abs(pitch - lag(pitch) OVER o) <= 12 THEN 0 ELSE 1 END AS new FROM pr WINDOW o AS (PARTITION BY score_id, instrument, i ORDER BY k)),
+pg AS (SELECT *, sum(new) OVER (PARTITION BY score_id, instrument, i ORDER BY k) AS g FROM ps),
+ls AS (SELECT score_id, CASE WHEN bool_or(is_low) OVER w THEN hid ELSE lid END AS row_id FROM pg WINDOW w AS (PARTITION BY score_id, instrument, i, g) QUALIFY count(*) OVER w >= 3)
+SELECT score_id, row_id, instrument, pitch FROM nt ANTI JOIN ls USING (score_id, row_id)""")
+def dedouble_octaves_within_instrument(spark, sf_dir):
+    """Lines with one octave at an onset at most, so that streaks are islands in SQL."""
+    return O.dedouble_octaves_within_instrument(doubled_lines(spark, sf_dir, True)).select("score_id", "row_id", "instrument", "pitch")
+
+
+@_query(_LINES + f""", zz AS (SELECT * REPLACE ('zz' AS instrument) FROM up WHERE instrument = 'view' AND s % 2 = 1),
+nt AS (SELECT * FROM l0 UNION ALL SELECT * REPLACE ('yy' AS instrument) FROM up WHERE instrument = 'click' AND s % 2 = 0 UNION ALL FROM zz UNION ALL SELECT * REPLACE (30.0 AS pitch, onset + 0.125 AS release, row_id + (1::BIGINT << 41) AS row_id) FROM zz), {_LOW},
+nq AS (SELECT *, row_number() OVER (PARTITION BY score_id, instrument ORDER BY onset, pitch, row_id) AS k, pitch % 12 AS pc FROM nt),
+me AS (SELECT a.score_id, a.instrument AS a, b.instrument AS b, a.k, a.k - b.k AS d, a.pitch AS ap, b.pitch AS bp, a.row_id AS ai, b.row_id AS bi, low FROM nq a JOIN nq b ON b.score_id = a.score_id AND b.onset = a.onset AND round(b.release * 16) = round(a.release * 16) AND b.pc = a.pc AND a.instrument < b.instrument JOIN lo ON lo.score_id = a.score_id AND lo.t = a.onset),
+mg AS (SELECT *, k - row_number() OVER (PARTITION BY score_id, a, b, d ORDER BY k) AS g FROM me),
+l1 AS (SELECT DISTINCT score_id, CASE WHEN CASE WHEN bool_or(least(ap, bp) <= low) OVER w THEN avg(ap) OVER w > avg(bp) OVER w ELSE avg(ap) OVER w < avg(bp) OVER w END THEN ai ELSE bi END AS row_id FROM mg WINDOW w AS (PARTITION BY score_id, a, b, d, g) QUALIFY count(*) OVER w >= 3),
+rt AS (SELECT * FROM nt ANTI JOIN l1 USING (score_id, row_id)),
+cd AS (SELECT DISTINCT score_id, instrument FROM nt GROUP BY score_id, instrument, onset HAVING count(*) > 1),
+sh AS (SELECT a.score_id, a.instrument AS a, b.instrument AS b, a.onset, row_number() OVER (PARTITION BY a.score_id, a.instrument, b.instrument ORDER BY a.onset) AS k FROM (SELECT DISTINCT score_id, instrument, onset FROM rt) a
+  JOIN (SELECT DISTINCT score_id, instrument, onset FROM rt) b ON b.score_id = a.score_id AND b.onset = a.onset AND a.instrument < b.instrument),
+pr AS (SELECT sh.score_id, a, b, k, abs(x.pitch - y.pitch)::INTEGER AS i, CASE WHEN x.pitch < y.pitch THEN x.row_id ELSE y.row_id END AS lid, CASE WHEN x.pitch < y.pitch THEN y.row_id ELSE x.row_id END AS hid, least(x.pitch, y.pitch) <= low AS is_low
+  FROM sh JOIN rt x ON x.score_id = sh.score_id AND x.instrument = a AND x.onset = sh.onset JOIN rt y ON y.score_id = sh.score_id AND y.instrument = b AND y.onset = sh.onset AND y.release = x.release AND abs(y.pitch - x.pitch) IN (12, 24, 36)
+  JOIN lo ON lo.score_id = sh.score_id AND lo.t = sh.onset WHERE EXISTS (FROM cd WHERE cd.score_id = sh.score_id AND cd.instrument IN (a, b))),
+pg AS (SELECT *, k - row_number() OVER (PARTITION BY score_id, a, b, i ORDER BY k) AS g FROM pr),
+l2 AS (SELECT score_id, CASE WHEN bool_or(is_low) OVER w THEN hid ELSE lid END AS row_id FROM pg WINDOW w AS (PARTITION BY score_id, a, b, i, g) QUALIFY count(*) OVER w >= 3)
+SELECT score_id, row_id, instrument, pitch FROM rt ANTI JOIN l2 USING (score_id, row_id)""")
+def dedouble_octaves(spark, sf_dir):
+    return O.dedouble_octaves(doubled_lines(spark, sf_dir)).select("score_id", "row_id", "instrument", "pitch")
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in _REGISTRY.items()}
 
