@@ -1,4 +1,4 @@
-"""Queries of the operators that rewrite keys and drop octave doublings, each with the same in SQL."""
+"""Queries of the operators that rewrite keys, drop octave doublings and cut scores by rows, each with the same in SQL."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from scoreloom.functions import degrees as D
 from scoreloom.operators import modulations as M
 from scoreloom.operators import octaves as O
+from scoreloom.operators import order
+from scoreloom.operators import segments as S
 from scoreloom.plans import corpus
 
 _REGISTRY: dict[str, tuple] = {}
@@ -208,6 +210,22 @@ def dedouble_octaves(spark, sf_dir):
     return O.dedouble_octaves(doubled_lines(spark, sf_dir)).select("score_id", "row_id", "instrument", "pitch")
 
 
+def _leq(marks: str, value: str, least: str) -> str:
+    return f"coalesce(list_max(list_filter({marks}, lambda x: x >= {least} AND x <= {value})), list_min(list_filter({marks}, lambda x: x >= {least})))"
+
+
+@_query(f""", nq AS (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY onset, pitch, release, row_id) - 1 AS i FROM ev),
+el AS (SELECT score_id, list(i ORDER BY i) AS e FROM (SELECT score_id, min(i) AS i FROM nq GROUP BY score_id, onset) GROUP BY 1),
+rl AS (SELECT score_id, list(i ORDER BY i) AS r FROM (SELECT score_id, arg_max(i, (pitch, i)) AS i FROM nq GROUP BY score_id, release) GROUP BY 1),
+wk AS (SELECT score_id, e, r, e[1] AS a, {_leq('r', 'e[1] + 11', 'greatest(e[1] + 1, r[1])')} AS b FROM el JOIN rl USING (score_id)
+  UNION ALL SELECT score_id, e, r, a2 AS a, {_leq('r', 'a2 + 11', 'greatest(a2 + 1, b + 1)')} AS b FROM (SELECT *, {_leq('e', 'b + 1', 'a + 1')} AS a2 FROM wk WHERE b < list_max(r)) WHERE a2 IS NOT NULL)
+SELECT score_id, a AS start, b + 1 AS stop, count(*) AS n_rows, sum(row_id)::BIGINT AS row_ids FROM wk JOIN nq USING (score_id) WHERE i BETWEEN a AND b GROUP BY 1, 2, 3""")
+def segment_df(spark, sf_dir):
+    """Segments of about twelve notes; in SQL by a walk."""
+    cut = S.segment_df(order.sort_df(corpus.scores(spark, sf_dir)), 12)
+    return cut.groupBy("score_id", "segment").agg((F.min("seq") - 1).cast("long").alias("start"), F.max("seq").cast("long").alias("stop"), F.count(F.lit(1)).alias("n_rows"), F.sum("row_id").alias("row_ids")).drop("segment")
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in _REGISTRY.items()}
 
