@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions import keys as K
@@ -61,17 +62,28 @@ def merge_contiguous_durations(spark, sf_dir):
     return M.merge_contiguous_durations(spans)
 
 
-@_query(_BARS + " SELECT ev.row_id, bar_number, ev.release - ba.onset AS offset FROM ev ASOF JOIN ba ON ev.score_id = ba.score_id AND ev.release >= ba.onset")
+_PICKUPS = """, p0 AS (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY onset) AS k FROM ba), p1 AS (SELECT * REPLACE (CASE WHEN k = 1 AND score_id % 2 = 0 THEN onset + 2 ELSE release END AS release) FROM p0),
+p2 AS (SELECT score_id, max(release - onset) FILTER (k = 1) AS a, max(release - onset) FILTER (k = 2) AS b FROM p1 GROUP BY 1), pk AS (SELECT score_id, coalesce(a < CASE WHEN score_id % 3 = 0 THEN b ELSE 4 END, false) AS pickup FROM p2)"""
+
+
+def _with_pickups(spark, sf_dir):
+    """The first bar of every other score is two quarters long; each third score has no time signature."""
+    first = F.row_number().over(Window.partitionBy("score_id", "type").orderBy("onset")) == 1
+    short = (F.col("type") == "bar") & F.col("first") & (F.col("score_id") % 2 == 0)
+    df = _barred(spark, sf_dir).withColumn("first", first).withColumn("release", F.when(short, F.col("onset") + 2).otherwise(F.col("release")))
+    return df.where((F.col("type") != "time_signature") | (F.col("score_id") % 3 != 0)).drop("first")
+
+
+@_query(_BARS + _PICKUPS + " SELECT ev.row_id, p1.k - pickup::INTEGER AS bar_number, ev.release - p1.onset AS offset FROM ev ASOF JOIN p1 ON ev.score_id = p1.score_id AND ev.release >= p1.onset JOIN pk ON pk.score_id = ev.score_id")
 def bar_and_offset(spark, sf_dir):
-    """The bar and the place in it at which each note ends."""
-    bars = B.number_bars(_barred(spark, sf_dir))
+    """The bar and the place in it at which each note ends; pickups are bar 0."""
+    bars = _with_pickups(spark, sf_dir)
     return E.bar_and_offset(bars, _notes(spark, sf_dir).select("score_id", "row_id", F.col("release").alias("t"))).select("row_id", "bar_number", "offset")
 
 
-@_query(_BARS + ", k AS (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY onset) AS k FROM ba) SELECT score_id, coalesce(bool_or(release - onset < 4) FILTER (k = 1), false) AS pickup FROM k GROUP BY 1")
+@_query(_BARS + _PICKUPS + " SELECT score_id, pickup FROM pk")
 def has_pickup(spark, sf_dir):
-    """All scores begin at 0 in 4/4."""
-    return E.has_pickup(B.add_time_sig_dur(_barred(spark, sf_dir)))
+    return E.has_pickup(_with_pickups(spark, sf_dir))
 
 
 @_query(_BARS + ", lo AS (SELECT score_id, onset, release, CASE WHEN onset >= 64 THEN 3.0 ELSE 4.0 END / 2 AS d FROM ba) SELECT score_id, (onset + k * d)::DOUBLE AS onset, least(release, onset + (k + 1) * d)::DOUBLE AS release FROM (SELECT *, unnest(range(0, greatest(ceil((release - onset) / d)::BIGINT, 1))) AS k FROM lo)")
@@ -97,9 +109,11 @@ def eligible_onsets(spark, sf_dir):
     return O.eligible_onsets(_notes(spark, sf_dir))
 
 
-@_query(" SELECT row_id, CASE WHEN row_number() OVER (PARTITION BY score_id, onset ORDER BY pitch, row_id) = 1 THEN instrument ELSE '' END AS instrument FROM ev")
+@_query(" SELECT score_id, row_id, CASE WHEN pitch IS NOT NULL AND row_number() OVER (PARTITION BY score_id, onset ORDER BY pitch NULLS LAST, row_id) = 1 THEN type ELSE '' END AS label FROM ms")
 def unique_annotations_per_onset(spark, sf_dir):
-    return A.unique_annotations_per_onset(_notes(spark, sf_dir), "instrument").select("row_id", "instrument")
+    """Time signatures at the onset of a note have no pitch and no label."""
+    df = corpus.with_meter(_notes(spark, sf_dir)).withColumn("label", F.col("type"))
+    return A.unique_annotations_per_onset(df, "label").select("score_id", "row_id", "label")
 
 
 @_query(" SELECT type, count(*) AS n, sum(onset) AS total FROM (SELECT type, onset FROM ev UNION ALL SELECT type, onset FROM ms WHERE type <> 'note') GROUP BY 1")
@@ -147,13 +161,21 @@ def strings_of_chords(spark, sf_dir):
     return c.select("score_id", "onset", H.strip_inversion(F.concat("degree", i.cast("string"))).alias("numeral"), K.pcs_to_hex(K.transpose_pcs(K.hex_to_pcs(text), 5)).alias("pcs"))
 
 
-@_query(" SELECT instrument, count(*) AS n_notes, (SELECT count(*) FROM ms WHERE type <> 'note') AS n_marks FROM ev WHERE instrument IN ('view', 'error') GROUP BY 1")
+@_query(" SELECT instrument, count(*) AS n_notes, 0::BIGINT AS n_marks FROM ev WHERE instrument IN ('view', 'error') GROUP BY 1")
 def split_by_instrument(spark, sf_dir):
     parts = O.split_by(corpus.with_meter(_notes(spark, sf_dir)), "instrument", ["view", "error"])
     counted = [p.groupBy().agg(F.lit(v).alias("instrument"), F.count_if(F.col("type") == "note").alias("n_notes"), F.count_if(F.col("type") != "note").alias("n_marks")) for v, p in parts.items()]
     return counted[0].unionByName(counted[1])
 
 
+@_query(" SELECT (row_id // 2) % 3 AS track, channel, count(*) AS n, sum(row_id)::BIGINT AS row_ids FROM ev WHERE row_id % 7 <> 0 GROUP BY ALL")
+def split_musicdf(spark, sf_dir):
+    """Every seventh note tells no track, and no time signature does."""
+    track = F.when((F.col("type") == "note") & (F.col("row_id") % 7 != 0), F.floor(F.col("row_id") / 2) % 3)
+    parts = O.split_musicdf(corpus.with_meter(_notes(spark, sf_dir)).withColumn("track", track))
+    return parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("row_id").alias("row_ids")).select("part.*", "n", "row_ids")
+
+
 @_query(", q AS (SELECT score_id, row_id, round_even(onset * 2, 0) / 2 AS o, CASE WHEN round_even(onset * 2, 0) = round_even(release * 2, 0) THEN (round_even(release * 2, 0) + 1) / 2 ELSE round_even(release * 2, 0) / 2 END AS r, onset, release FROM ev) SELECT score_id, count(*) AS n_before, count(*) FILTER (o < 100) AS n_after, count(*) FILTER (o >= 100) AS n_removed, 0::BIGINT AS n_added, count(*) FILTER (o < 100 AND (o <> onset OR r <> release)) AS n_changed FROM q GROUP BY 1")
 def edit_counts(spark, sf_dir):
     """What quantizing and then cutting at 100 does to the notes."""

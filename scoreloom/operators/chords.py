@@ -109,7 +109,7 @@ def _joined():
 def merge_annotations(chords: DataFrame, include_key: bool = True) -> DataFrame:
     """annotation: degree, quality (without its 7), figure of the inversion, and the secondary degree
     ("VM6/V"), only where it is new; with the key ("C.") where that is new, and then the degree
-    in any case. Rows that are no notes (by a column type) and labels of 'na' have none of their own."""
+    in any case; without the key also where the key is new. Rows that are no notes (by a column type) and labels of 'na' have none of their own."""
     known = lambda c: F.when(F.col(c) != "na", F.col(c))
     first, second = (F.split_part("degree", F.lit("/"), F.lit(k)) for k in (1, 2))
     figure = inversion_number_to_figure(F.col("inversion"), F.col("quality"))
@@ -118,7 +118,7 @@ def merge_annotations(chords: DataFrame, include_key: bool = True) -> DataFrame:
     s = chords.withColumn("__rn", F.when(real & known("degree").isNotNull(), rn)).withColumn("__key", known("key"))
     s = s.withColumns({"__all": _filled("__rn"), "__rn": _new_only(F.col("__rn"), ""), "__key": F.concat(_new_only(F.col("__key"), None), F.lit("."))})
     shown = F.when(F.col("__key").isNotNull() & (F.col("__rn") == ""), F.coalesce("__all", F.lit(""))).otherwise(F.col("__rn"))
-    text = F.concat(F.coalesce("__key", F.lit("")), shown) if include_key else F.col("__rn")
+    text = F.concat(F.coalesce("__key", F.lit("")), shown) if include_key else shown
     return s.withColumn("annotation", text).drop("__rn", "__key", "__all")
 
 

@@ -141,21 +141,27 @@ def split_long_bars(df: DataFrame) -> DataFrame:
 
 
 def has_pickup(df: DataFrame) -> DataFrame:
-    """score_id, pickup: whether the first bar is shorter than its time signature (scores that begin at 0), or else than the
-    second bar. Needs time_sig_dur and released bars."""
-    bar = F.struct("onset", (F.col("release") - F.col("onset")).alias("dur"), "time_sig_dur")
-    first = df.where("type = 'bar'").withColumn("__k", F.row_number().over(Window.partitionBy("score_id").orderBy("onset"))).where("__k <= 2")
-    two = first.groupBy("score_id").agg(F.min(F.when(F.col("__k") == 1, bar)).alias("a"), F.min(F.when(F.col("__k") == 2, bar)).alias("b"))
-    return two.select("score_id", F.coalesce(F.when(two.a.onset == 0, two.a.dur < two.a.time_sig_dur).otherwise(two.a.dur < two.b.dur), F.lit(False)).alias("pickup"))
+    """score_id, pickup: whether the first bar is shorter than the time signature, if the first of these stands at 0, or else
+    than the second bar, if there is one. Bars that tell no release last to the next. Scores without bars are
+    not listed."""
+    at = Window.partitionBy("score_id", "type").orderBy(F.asc_nulls_last("onset"))
+    sign = F.from_json("other", "numerator double, denominator double") if "other" in df.columns else F.struct(F.lit(None).cast("double").alias("numerator"), F.lit(None).cast("double").alias("denominator"))
+    marks = df.where("type in ('bar', 'time_signature')").select("score_id", "type", "onset", (F.coalesce("release", F.lead("onset").over(at)) - F.col("onset")).alias("dur"), (sign["numerator"] * 4 / sign["denominator"]).alias("sign"), F.row_number().over(at).alias("k"))
+    nth = lambda kind, k, value: F.max(F.when((F.col("type") == kind) & (F.col("k") == k), F.col(value)))
+    told = marks.groupBy("score_id").agg(nth("bar", 1, "k").alias("bars"), nth("bar", 1, "dur").alias("a"), nth("bar", 2, "dur").alias("b"), nth("time_signature", 1, "onset").alias("at"), nth("time_signature", 1, "sign").alias("sign"))
+    pickup = F.when(F.col("at") == 0, F.col("a") < F.col("sign")).otherwise(F.col("a") < F.col("b"))
+    return told.where("bars is not null").select("score_id", F.coalesce(pickup, F.lit(False)).alias("pickup"))
 
 
 def bar_and_offset(df: DataFrame, moments: DataFrame) -> DataFrame:
-    """`moments` (score_id, t) with bar_number and offset in that bar, from the last bar at or before t; one sorted pass."""
-    bars = df.where("type = 'bar'").select("score_id", F.col("onset").alias("t"), F.lit(0).alias("__side"), F.struct("bar_number", "onset").alias("__bar"))
+    """`moments` (score_id, t) with bar_number and offset in that bar, from the last bar at or before t; one sorted pass. The
+    first bar has number 1, or 0 if it is a pickup."""
+    bars = df.where("type = 'bar'").select("score_id", F.col("onset").alias("t"), F.lit(0).alias("__side"), F.struct((F.row_number().over(Window.partitionBy("score_id").orderBy("onset"))).alias("n"), "onset").alias("__bar"))
     both = bars.unionByName(moments.withColumn("__side", F.lit(1)), allowMissingColumns=True)
     last = ffill("__bar", Window.partitionBy("score_id").orderBy("t", "__side"))
-    found = both.withColumn("__bar", last).where("__side = 1")
-    return found.withColumn("bar_number", F.col("__bar.bar_number")).withColumn("offset", F.col("t") - F.col("__bar.onset")).drop("__side", "__bar")
+    found = both.withColumn("__bar", last).where("__side = 1").join(has_pickup(df), "score_id", "left")
+    number = F.col("__bar.n").cast("long") - F.when(F.col("pickup"), 1).otherwise(0)
+    return found.withColumn("bar_number", number).withColumn("offset", F.col("t") - F.col("__bar.onset")).select(*moments.columns, "bar_number", "offset")
 
 
 def get_context_bars(df: DataFrame, target_onset: float, n_before: int = 1, n_after: int = 1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.operators.slices import buckets, salami_slice, sounding
+from scoreloom.operators.slices import BUCKET, buckets, salami_slice, sounding
 
 
 def label_notes_with_chords(notes: DataFrame, chords: DataFrame, columns: tuple[str, ...] = ("key", "degree", "quality", "inversion"), backfill: bool = True) -> DataFrame:
@@ -24,10 +24,16 @@ def label_notes_with_chords(notes: DataFrame, chords: DataFrame, columns: tuple[
 
 
 def add_sounding_bass(notes: DataFrame) -> DataFrame:
-    """sounding_bass: lowest pitch that sounds at the note's onset, percussion left out; null if none."""
-    t = notes.select("score_id", F.col("onset").alias("t")).distinct()
-    bass = sounding(notes.where("channel <> 9"), t).groupBy("score_id", "t").agg(F.min("pitch").alias("sounding_bass")).withColumnRenamed("t", "onset")
-    return notes.join(bass, ["score_id", "onset"], "left")
+    """sounding_bass_id and sounding_bass: row_id (of equals the first) and pitch of the lowest note that sounds at the note's
+    onset; null if none, and on rows that are no notes. Percussion (channel 9) is no bass; without a column
+    channel, or with a null in it, nothing is percussion."""
+    note = F.coalesce(F.col("type") == "note", F.lit(False)) if "type" in notes.columns else F.lit(True)
+    tuned = F.coalesce(F.col("channel") != 9, F.lit(True)) if "channel" in notes.columns else F.lit(True)
+    t = notes.where(note).select("score_id", F.col("onset").alias("t")).distinct()
+    low = F.min(F.struct("pitch", "row_id")).alias("low")
+    bass = sounding(notes.where(note & tuned & F.col("pitch").isNotNull()).select("score_id", "row_id", "pitch", "onset", "release"), t).groupBy("score_id", "t").agg(low).withColumnRenamed("t", "onset")
+    found = notes.join(bass, ["score_id", "onset"], "left")
+    return found.withColumns({"sounding_bass": F.when(note, F.col("low.pitch")), "sounding_bass_id": F.when(note, F.col("low.row_id"))}).drop("low")
 
 
 def notes_in_chords(notes: DataFrame, chords: DataFrame) -> DataFrame:
@@ -36,7 +42,7 @@ def notes_in_chords(notes: DataFrame, chords: DataFrame) -> DataFrame:
     c = chords.select("score_id", F.col("onset").alias("chord_onset"), F.col("release").alias("chord_release"), *(x for x in chords.columns if x not in ("score_id", "onset", "release")))
     c = c.withColumn("__b", F.explode(buckets(F.col("chord_onset"), F.col("chord_release"))))
     pairs = a.join(c, ["score_id", "__b"]).where("onset < chord_release AND release > chord_onset")
-    once = F.greatest(F.floor(F.col("onset") / 16.0), F.floor(F.col("chord_onset") / 16.0)) == F.col("__b")
+    once = F.greatest(F.floor(F.col("onset") / BUCKET), F.floor(F.col("chord_onset") / BUCKET)) == F.col("__b")
     return pairs.where(once).withColumn("onset", F.greatest("onset", "chord_onset")).withColumn("release", F.least("release", "chord_release")).drop("__b", "chord_release")
 
 

@@ -33,6 +33,8 @@ def merge_contiguous_durations(spans: DataFrame, key: str = "score_id") -> DataF
     return marked.groupBy(key, "__island").agg(F.min("onset").alias("onset"), F.max("release").alias("release")).drop("__island")
 
 
+# Columns that tell the instruments of doubled notes apart.
+APART = ("instrument", "part", "track", "channel")
 #: Columns that tell instruments apart, where a table has them.
 INSTRUMENTS = ("instrument", "midi_instrument", "track", "channel")
 
@@ -74,19 +76,25 @@ def detremolo(df: DataFrame, max_tremolo_note_length: float = 0.25, max_tremolo_
     return merge_repeated_notes(df, max_tremolo_note_length, max_tremolo_note_gap, instruments, preserve_outer_voices)
 
 
-def dedouble(notes: DataFrame, ticks: int = 16, also: tuple[str, ...] = ()) -> DataFrame:
-    """Of notes equal in type, pitch and quantized onset and release (and `also`) the first stays; n_doubled counts them.
-    Rows with a null key are no doubles."""
-    keys = ["score_id", "type", "pitch", "__o", "__r", *also]
-    q = notes.withColumn("__o", F.rint(F.col("onset") * ticks)).withColumn("__r", F.rint(F.col("release") * ticks))
-    known = F.col("pitch").isNotNull() & F.col("__o").isNotNull() & F.col("__r").isNotNull()
+def dedouble(notes: DataFrame, ticks: int = 16, also: tuple[str, ...] = (), instruments: tuple[str, ...] | None = None, release_ticks: int | None = None, quantize: bool = True) -> DataFrame:
+    """Of rows equal in type, pitch, onset and release (quantized, unless told not to), instrument and `also` the first
+    stays; n_doubled counts them. Instruments are told apart by those of APART that there are, or by the
+    given columns. Rows with a null key are no doubles."""
+    apart = [c for c in APART if c in notes.columns] if instruments is None else list(instruments)
+    keys = ["score_id", "type", "pitch", "__o", "__r", *dict.fromkeys([*apart, *also])]
+    tick = lambda c, n: F.rint(F.col(c) * n) if quantize else F.col(c)
+    q = notes.withColumn("__o", tick("onset", ticks)).withColumn("__r", tick("release", release_ticks or ticks))
+    known = F.lit(True)
+    for c in keys[1:]:
+        known = known & F.col(c).isNotNull()
     per = Window.partitionBy(*keys)
-    first = q.where(known).withColumn("__k", F.row_number().over(per.orderBy("onset", "release", "row_id"))).withColumn("n_doubled", F.count(F.lit(1)).over(per)).where("__k = 1").drop("__k")
+    first = q.where(known).withColumn("__k", F.row_number().over(per.orderBy("row_id"))).withColumn("n_doubled", F.count(F.lit(1)).over(per)).where("__k = 1").drop("__k")
     return first.unionByName(q.where(~known).withColumn("n_doubled", F.lit(1).cast("long"))).drop("__o", "__r")
 
 
 def return_rests(notes: DataFrame, epsilon: float = 1e-7) -> DataFrame:
-    """Gaps between what sounds in a score: onset, release."""
+    """Gaps between the notes of a score: onset, release. Rows of other types do not count."""
+    notes = notes.where("type = 'note'") if "type" in notes.columns else notes
     per = Window.partitionBy("score_id").orderBy("onset", "release", "row_id")
     reach = F.max("release").over(per.rowsBetween(Window.unboundedPreceding, -1))
     return notes.withColumn("__from", reach).where(F.col("onset") - F.col("__from") > epsilon).select("score_id", F.col("__from").alias("onset"), F.col("onset").alias("release"))

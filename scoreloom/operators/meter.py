@@ -70,17 +70,20 @@ def make_tempos_explicit(df: DataFrame, default: float = 120.0) -> DataFrame:
     return df.withColumn("tempo", F.coalesce(ffill(bpm, order(df)), F.lit(default)))
 
 
-def quantize_df(df: DataFrame, tpq: int = 4, zero_dur_action: str = "min_dur") -> DataFrame:
-    """Times rounded (half to even) to 1/tpq. Notes that get no length: one tick more, or 'preserve' or 'remove'."""
+def quantize_df(df: DataFrame, tpq: int = 4, zero_dur_action: str = "min_dur", ticks_out: bool = False) -> DataFrame:
+    """Times rounded (half to even) to 1/tpq, or in ticks. Rows that get no length, of whatever type: one tick more, or
+    'preserve' or 'remove'. Rows without a release keep none."""
     tick = lambda c: F.rint(F.col(c) * tpq)
     out = df.withColumn("__o", tick("onset")).withColumn("__r", tick("release"))
-    none = (F.col("type") == "note") & (F.col("__o") == F.col("__r")) if "type" in df.columns else F.col("__o") == F.col("__r")
+    none = F.col("__o") == F.col("__r")
     if zero_dur_action == "min_dur":
         out = out.withColumn("__r", F.when(none, F.col("__r") + 1).otherwise(F.col("__r")))
     elif zero_dur_action in ("remove", "drop"):
         out = out.where(~F.coalesce(none, F.lit(False)))
     elif zero_dur_action != "preserve":
         raise ValueError(zero_dur_action)
+    if ticks_out:
+        return out.withColumn("onset", F.col("__o").cast("long")).withColumn("release", F.col("__r").cast("long")).drop("__o", "__r")
     return out.withColumn("onset", F.col("__o") / tpq + 0.0).withColumn("release", F.col("__r") / tpq + 0.0).drop("__o", "__r")
 
 

@@ -80,9 +80,19 @@ def eligible_onsets(df: DataFrame) -> DataFrame:
 
 
 def split_by(df: DataFrame, column: str, values: list) -> dict:
-    """A frame for each of the given values of `column` with that value's notes and all rows that are no notes."""
-    note = F.coalesce(F.col("type") == "note", F.lit(False))
-    return {v: df.where(~note | F.col(column).eqNullSafe(F.lit(v))) for v in values}
+    """A frame for each of the given values of `column` with the rows that have it, notes or not."""
+    return {v: df.where(F.col(column) == F.lit(v)) for v in values}
+
+
+def split_musicdf(df: DataFrame, by_track: bool = True, by_channel: bool = True) -> DataFrame:
+    """Adds part, a struct of track and channel (those of them asked for and there; channel alone does without track, both
+    do without channel). Rows with a null in it are in no part. Without the columns all rows are one part, null."""
+    if not by_track and not by_channel:
+        raise ValueError("split by track, channel or both")
+    asked = ["track"] * by_track + ["channel"] * (by_channel and (not by_track or "channel" in df.columns))
+    if not set(asked) <= set(df.columns):
+        return df.withColumn("part", F.lit(None).cast("struct<track: long, channel: long>"))
+    return df.dropna(subset=asked).withColumn("part", F.struct(*asked))
 
 
 def drop_columns(df: DataFrame, columns: tuple[str, ...] = ("key", "degree", "quality", "inversion", "primary_degree", "primary_alteration", "secondary_degree", "secondary_alteration", "secondary_mode", "chord_pcs")) -> DataFrame:

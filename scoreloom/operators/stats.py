@@ -78,11 +78,11 @@ def appears_salami_sliced(notes: DataFrame) -> DataFrame:
 
 
 def unique_annotations_per_onset(df: DataFrame, column: str, fill: str = "") -> DataFrame:
-    """`column` only on the lowest row of each onset."""
+    """`column` only on the lowest note of each onset; rows without a pitch lose it."""
     from pyspark.sql import Window
 
-    k = F.row_number().over(Window.partitionBy("score_id", "onset").orderBy("pitch", "row_id"))
-    return df.withColumn("__k", k).withColumn(column, F.when(F.col("__k") == 1, F.col(column)).otherwise(fill)).drop("__k")
+    k = F.row_number().over(Window.partitionBy("score_id", "onset").orderBy(F.asc_nulls_last("pitch"), "row_id"))
+    return df.withColumn("__k", k).withColumn(column, F.when((F.col("__k") == 1) & F.col("pitch").isNotNull(), F.col(column)).otherwise(fill)).drop("__k")
 
 
 def unique_slices(sliced: DataFrame) -> DataFrame:

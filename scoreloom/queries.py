@@ -35,9 +35,12 @@ def sort_scores(spark, sf_dir):
     return O.sort_df(corpus.with_meter(_notes(spark, sf_dir))).select("score_id", "row_id", "type", "onset", "seq")
 
 
-@_query(" SELECT row_id, round_even(onset * 2, 0) / 2 AS onset, CASE WHEN round_even(onset * 2, 0) = round_even(release * 2, 0) THEN (round_even(release * 2, 0) + 1) / 2 ELSE round_even(release * 2, 0) / 2 END AS release FROM ev")
+@_query(" SELECT score_id, row_id, round_even(onset * 2, 0) / 2 AS onset, CASE WHEN round_even(onset * 2, 0) = round_even(rel * 2, 0) THEN (round_even(rel * 2, 0) + 1) / 2 ELSE round_even(rel * 2, 0) / 2 END AS release FROM (SELECT *, CASE WHEN onset = 0 THEN release ELSE coalesce(release, onset + 0.125) END AS rel FROM ms)")
 def quantize(spark, sf_dir):
-    return B.quantize_df(_notes(spark, sf_dir), 2).select("row_id", "onset", "release")
+    """Notes and time signatures, of which the second has almost no length and the first no release."""
+    df = corpus.with_meter(_notes(spark, sf_dir))
+    df = df.withColumn("release", F.when(F.col("onset") == 0, F.col("release")).otherwise(F.coalesce("release", F.col("onset") + 0.125)))
+    return B.quantize_df(df, 2).select("score_id", "row_id", "onset", "release")
 
 
 _MOMENTS = ", mo AS (SELECT score_id, t, lead(t) OVER (PARTITION BY score_id ORDER BY t) AS nx FROM (SELECT score_id, onset AS t FROM ev UNION SELECT score_id, release FROM ev)), sl AS (SELECT ev.score_id, row_id, type, instrument, channel, pitch, t AS onset, nx AS release FROM ev JOIN mo ON mo.score_id = ev.score_id AND t >= onset AND t < release)"
@@ -122,22 +125,26 @@ def detremolo(spark, sf_dir):
     return M.detremolo(_notes(spark, sf_dir), 3.0, 1.0).select("score_id", "instrument", "pitch", "onset", "release")
 
 
-@_query(" SELECT score_id, pitch, round_even(onset * 0.5, 0) AS o, count(*) AS n_doubled, min(row_id) AS some FROM ev GROUP BY score_id, pitch, round_even(onset * 0.5, 0), round_even(release * 0.5, 0)")
+@_query(" SELECT score_id, pitch, instrument, channel, round_even(onset * 0.5, 0) AS o, count(*) AS n_doubled, min(row_id) AS some FROM ev GROUP BY score_id, pitch, instrument, channel, round_even(onset * 0.5, 0), round_even(release * 0.5, 0)")
 def dedouble(spark, sf_dir):
     kept = M.dedouble(_notes(spark, sf_dir).withColumn("onset", F.col("onset") * 0.5).withColumn("release", F.col("release") * 0.5).withColumn("key", F.lit(0)), 1)
-    first = _notes(spark, sf_dir).groupBy("score_id", "pitch", F.rint(F.col("onset") * 0.5).alias("o"), F.rint(F.col("release") * 0.5).alias("r")).agg(F.min("row_id").alias("some"))
-    return kept.withColumn("o", F.rint("onset")).withColumn("r", F.rint("release")).join(first, ["score_id", "pitch", "o", "r"]).select("score_id", "pitch", "o", "n_doubled", "some")
+    first = _notes(spark, sf_dir).groupBy("score_id", "pitch", "instrument", "channel", F.rint(F.col("onset") * 0.5).alias("o"), F.rint(F.col("release") * 0.5).alias("r")).agg(F.min("row_id").alias("some"))
+    return kept.withColumn("o", F.rint("onset")).withColumn("r", F.rint("release")).join(first, ["score_id", "pitch", "instrument", "channel", "o", "r"]).select("score_id", "pitch", "instrument", "channel", "o", "n_doubled", "some")
 
 
 @_query(", a AS (SELECT *, max(release) OVER (PARTITION BY score_id ORDER BY onset, release, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ev) SELECT score_id, reach AS onset, onset AS release FROM a WHERE onset - reach > 1e-7")
 def rests(spark, sf_dir):
-    return M.return_rests(_notes(spark, sf_dir))
+    """Bars lie over the notes and fill no rest."""
+    return M.return_rests(_barred(spark, sf_dir))
 
 
-@_query(", t AS (SELECT DISTINCT score_id, onset AS t FROM ev), x AS (SELECT t.score_id, t, min(pitch) AS lo, max(pitch) AS hi FROM t JOIN ev ON ev.score_id = t.score_id AND channel <> 9 AND onset <= t AND t < release GROUP BY ALL) SELECT row_id, coalesce(channel <> 9 AND pitch = lo, false) AS is_lowest, coalesce(channel <> 9 AND pitch = hi, false) AS is_highest, lo AS sounding_bass FROM ev LEFT JOIN x ON ev.score_id = x.score_id AND onset = t")
+@_query(""", t AS (SELECT DISTINCT score_id, onset AS t FROM ev), e2 AS (SELECT * REPLACE (CASE WHEN row_id % 2 = 0 AND channel = 0 THEN NULL ELSE channel END AS channel), coalesce(channel <> 9, true) AS tuned FROM ev),
+x AS (SELECT t.score_id, t, min(pitch) AS lo, max(pitch) AS hi, arg_min(row_id, (pitch, row_id)) AS lo_id FROM t JOIN e2 ON e2.score_id = t.score_id AND tuned AND onset <= t AND t < release GROUP BY ALL) SELECT row_id, coalesce(tuned AND pitch = lo, false) AS is_lowest, coalesce(tuned AND pitch = hi, false) AS is_highest, lo AS sounding_bass, lo_id AS sounding_bass_id FROM e2 LEFT JOIN x ON e2.score_id = x.score_id AND onset = t""")
 def outer_voices(spark, sf_dir):
+    """Half of the notes tell no channel."""
     n = _notes(spark, sf_dir)
-    return J.add_sounding_bass(M.outer_voice_flags(n)).select("row_id", "is_lowest", "is_highest", "sounding_bass")
+    n = n.withColumn("channel", F.when((F.col("row_id") % 2 == 0) & (F.col("channel") == 0), None).otherwise(F.col("channel")))
+    return J.add_sounding_bass(M.outer_voice_flags(n)).select("row_id", "is_lowest", "is_highest", "sounding_bass", "sounding_bass_id")
 
 
 @_query()
@@ -255,12 +262,14 @@ def expand_tonicizations(spark, sf_dir):
 
 _ANNOTATION = """, r AS (SELECT *, split_part(degree, '/', 1) || replace(quality, '7', '') || CASE WHEN contains(quality, '7') THEN coalesce(['7', '65', '43', '42'][inversion::INTEGER + 1], '?') ELSE coalesce(['', '6', '64'][inversion::INTEGER + 1], '?') END
   || CASE WHEN contains(degree, '/') THEN '/' || split_part(degree, '/', 2) ELSE '' END AS rn FROM ch), p AS (SELECT *, lag(key) OVER w AS k0, lag(rn) OVER w AS r0 FROM r WINDOW w AS (PARTITION BY score_id ORDER BY onset))
-SELECT score_id, onset, CASE WHEN k0 IS NULL OR k0 <> key THEN key || '.' || rn WHEN r0 IS NULL OR r0 <> rn THEN rn ELSE '' END AS annotation FROM p"""
+SELECT score_id, onset, CASE WHEN k0 IS NULL OR k0 <> key THEN key || '.' || rn WHEN r0 IS NULL OR r0 <> rn THEN rn ELSE '' END AS annotation, CASE WHEN k0 IS NULL OR k0 <> key OR r0 IS NULL OR r0 <> rn THEN rn ELSE '' END AS without_key FROM p"""
 
 
 @_query(_ANNOTATION)
 def merge_annotations(spark, sf_dir):
-    return C.merge_annotations(corpus.chords(_notes(spark, sf_dir))).select("score_id", "onset", "annotation")
+    c = corpus.chords(_notes(spark, sf_dir))
+    both = C.merge_annotations(C.merge_annotations(c, include_key=False).withColumnRenamed("annotation", "without_key"))
+    return both.select("score_id", "onset", "annotation", "without_key")
 
 
 @_query(" SELECT score_id, onset, CASE WHEN coalesce(lag(key) OVER w = key, false) THEN '' ELSE key END AS key FROM ch WINDOW w AS (PARTITION BY score_id ORDER BY onset)")

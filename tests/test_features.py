@@ -124,7 +124,7 @@ def test_harmony_columns(spark):
 def test_transforms(spark):
     df = notes(spark, [(60, 0.1, 1), (60, 1, 2)])
     assert T.apply_transforms(df, [{"quantize_df": {"tpq": 1}}, {"merge_notes": {}}]).count() == 1
-    assert T.get_transform_params("quantize_df") == ["tpq", "zero_dur_action"]
+    assert T.get_transform_params("quantize_df") == ["tpq", "zero_dur_action", "ticks_out"]
     with pytest.raises(KeyError):
         T.apply_transforms(df, [{"none": {}}])
     with pytest.raises(ValueError):
