@@ -80,3 +80,43 @@ def get_mode_from_rn_str(rn: Column) -> Column:
 def match_pitch_case_to_rn_mode(rn: Column, pitch: Column) -> Column:
     """The pitch as a key's name: in lower case after a numeral in lower case."""
     return F.when(get_mode_from_rn_str(rn) == "M", F.concat(F.upper(F.substring(pitch, 1, 1)), F.lower(F.substring(pitch, 2, 1000)))).otherwise(F.lower(pitch))
+
+
+def handle_nested_secondary_rns(token: Column, mode_or_key: Column) -> Column:
+    """'V/V/V' in major ('M', or a key) to 'VI': a numeral of numerals as one of the key, folded from the right. The
+    case of the first part stays. A leading slash is allowed, no text is 'I'; null where a part is no numeral."""
+    key = F.when(mode_or_key == "M", "C").when(mode_or_key == "m", "c").otherwise(mode_or_key)
+
+    def fold(state: Column, part: Column) -> Column:
+        inner = match_pitch_case_to_rn_mode(state["rn"], rn_to_spelled_pitch(state["rn"], state["key"], "b"))
+        mode = get_mode_from_rn_str(part)
+        rn = let(F.struct(inner.alias("inner"), mode.alias("mode")), lambda x: fifths_to_rn(rn_to_fifths(part, x["inner"]), state["key"], x["mode"]))
+        return F.struct(rn.alias("rn"), state["key"].alias("key"))
+
+    def whole(parts: Column) -> Column:
+        start = F.struct(F.element_at(parts, 1).alias("rn"), key.alias("key"))
+        return F.aggregate(F.slice(parts, 2, F.size(parts)), start, fold)["rn"]
+
+    text = F.ltrim(token, F.lit("/"))
+    return F.when(text == "", "I").otherwise(let(F.reverse(F.split(text, "/")), whole))
+
+
+def _translated(part: Column) -> Column:
+    sixth, plain = r"\AA6(Ger|Fr|It)(.*)\z", r"\A([b#]*)([IV]+)(.*)\z"
+    signs, degree, rest = (F.regexp_extract(part, plain, k) for k in (1, 2, 3))
+    first = F.substring(rest, 1, 1)
+    numeral = F.when(first.isin("m", "o"), F.lower(degree)).otherwise(degree)
+    figure = F.when(first.isin("M", "m"), F.substring(rest, 2, 1000)).otherwise(rest)
+    return (
+        F.when(part.rlike(sixth), F.concat(F.regexp_extract(part, sixth, 1), F.regexp_extract(part, sixth, 2)))
+        .when(part == "xaug665", "Ger65").when(part == "xaug643", "Fr43").when(part.startswith("xaug6"), "It6")
+        .when(part.rlike(plain), F.concat(signs, numeral, figure)).when(part.rlike(r"\A[b#]*[iv]"), None).otherwise(part)
+    )
+
+
+def translate_rns(rn: Column) -> Column:
+    """Numerals in capitals with their quality told ('IVm6/bIIm') to numerals whose case tells it ('iv6/bii'). Augmented
+    sixths ('A6Ger65', 'xaug643') to their names. Parts in small letters are mal-formed: the whole is null; what is
+    no numeral stays."""
+    parts = F.transform(F.split(rn, "/"), lambda p: _translated(p))
+    return let(parts, lambda x: F.when(F.forall(x, lambda p: p.isNotNull()), F.array_join(x, "/")))

@@ -1,4 +1,4 @@
-"""Queries of the operators that rewrite keys, drop octave doublings and cut scores by rows, each with the same in SQL."""
+"""Queries of the operators that rewrite keys and numerals, drop octave doublings, cut scores by rows and tell differences, each with the same in SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions import degrees as D
+from scoreloom.operators import differences as X
+from scoreloom.operators import meter as B
 from scoreloom.operators import modulations as M
 from scoreloom.operators import octaves as O
 from scoreloom.operators import order
@@ -226,6 +228,48 @@ def segment_df(spark, sf_dir):
     return cut.groupBy("score_id", "segment").agg((F.min("seq") - 1).cast("long").alias("start"), F.max("seq").cast("long").alias("stop"), F.count(F.lit(1)).alias("n_rows"), F.sum("row_id").alias("row_ids")).drop("segment")
 
 
+PARTS = ["V", "ii", "IV", "bIII", "iii", "I", "#iv"]
+TOKENS = {"Im": "i", "VM": "V", "IVm6": "iv6", "VIIo642": "viio642", "III+": "III+", "xaug665": "Ger65", "xaug643": "Fr43", "xaug63": "It6", "A6Ger65": "Ger65", "bVIIM": "bVII", "VM/Vm": "V/v", "IVm/bIIm": "iv/bii", "#VIo7": "#vio7", "na": "na", "V": "V"}
+
+
+def _case(part: str) -> str:
+    return f"CASE WHEN {part}[-1] IN ('i', 'v') THEN 'm' ELSE 'M' END"
+
+
+@_query(_TABLES + f""", nt AS (SELECT mo.*, {_list(PARTS)}[(score_id + b) % 7 + 1] AS p1, {_list(PARTS)}[b // 2 % 7 + 1] AS p2, {_list(PARTS)}[b // 3 % 7 + 1] AS p3 FROM (SELECT *, (onset / 8)::BIGINT AS b FROM mo) mo),
+n3 AS (SELECT nt.*, rn.off AS r3 FROM nt JOIN rn ON rn.mode = 'M' AND upper(rn.rn) = upper(p3) AND length(rn.rn) = length(p3)), n2 AS (SELECT n3.*, r3 + rn.off AS r2 FROM n3 JOIN rn ON rn.mode = {_case('p3')} AND upper(rn.rn) = upper(p2)),
+n1 AS (SELECT n2.*, r2 + rn.off AS r1 FROM n2 JOIN rn ON rn.mode = {_case('p2')} AND upper(rn.rn) = upper(p1))
+SELECT score_id, onset, regexp_extract(rn.rn, '^([b#]*)', 1) || CASE WHEN p1[-1] IN ('i', 'v') THEN lower(regexp_extract(rn.rn, '([IV]+)$', 1)) ELSE regexp_extract(rn.rn, '([IV]+)$', 1) END AS nested,
+  {_list(list(TOKENS.values()))}[(score_id + b) % {len(TOKENS)} + 1] AS translated FROM n1 JOIN (SELECT rn, off FROM rn WHERE mode = 'M' UNION ALL SELECT 'bbb' || num, base - 21 FROM st WHERE mode = 'M' UNION ALL SELECT '###' || num, base + 21 FROM st WHERE mode = 'M') rn ON rn.off = r1""")
+def nested_and_translated_numerals(spark, sf_dir):
+    """Numerals of three parts in major, and numerals with their quality."""
+    c = modulating_chords(spark, sf_dir).withColumn("b", (F.col("onset") / corpus.CHORD).cast("long"))
+    pick = lambda values, k: F.get(F.array(*map(F.lit, values)), F.pmod(k, F.lit(len(values))).cast("int"))
+    token = F.concat_ws("/", pick(PARTS, F.col("score_id") + F.col("b")), pick(PARTS, F.floor(F.col("b") / 2)), pick(PARTS, F.floor(F.col("b") / 3)))
+    return c.select("score_id", "onset", D.handle_nested_secondary_rns(token, F.lit("M")).alias("nested"), D.translate_rns(pick(list(TOKENS), F.col("score_id") + F.col("b"))).alias("translated"))
+
+
+@_query(""", q AS (SELECT score_id, round_even(onset * 2, 0) / 2 AS onset, round_even(release * 2, 0) / 2 AS release, pitch FROM ev WHERE round_even(onset * 2, 0) <> round_even(release * 2, 0)),
+u AS (SELECT score_id, onset, release, pitch, 1 AS n FROM ev UNION ALL SELECT *, -1 FROM q)
+SELECT score_id, onset, release, pitch, sum(n)::BIGINT AS n FROM u GROUP BY ALL HAVING sum(n) <> 0""")
+def note_differences(spark, sf_dir):
+    """What quantizing to halves and dropping what gets no length does."""
+    n = corpus.scores(spark, sf_dir)
+    return X.note_differences(n, B.quantize_df(n, 2, "drop"))
+
+
+@_query(", l AS (SELECT score_id, pitch, onset, count(*) AS n FROM ev WHERE round_even(onset, 0) = round_even(release, 0) GROUP BY ALL) SELECT ev.score_id, onset, release, pitch FROM ev JOIN l USING (score_id, pitch, onset) QUALIFY row_number() OVER (PARTITION BY ev.score_id, pitch, onset ORDER BY row_id) <= n")
+def quantize_differences(spark, sf_dir):
+    return X.quantize_differences(corpus.scores(spark, sf_dir), 1)
+
+
+@_query(", p AS (SELECT score_id, row_id, instrument, avg(pitch) OVER w AS a, avg(release) OVER w AS b FROM ev WINDOW w AS (PARTITION BY score_id, onset)) SELECT score_id, instrument, min(row_id) AS row, arg_min(a, row_id) AS a, arg_min(b, row_id) AS b FROM p GROUP BY 1, 2")
+def pooled_arrays(spark, sf_dir):
+    """Arrays of pitch and release, pooled by onset; those of each instrument's first row."""
+    n = corpus.scores(spark, sf_dir).withColumn("x", F.array("pitch", "release"))
+    return X.unique_of_array(n, "x", ("instrument",), ("onset",)).select("score_id", "instrument", "row", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in _REGISTRY.items()}
 
