@@ -1,4 +1,4 @@
-"""Queries of the operators that rewrite keys and numerals, drop octave doublings, cut scores by rows and tell differences, each with the same in SQL."""
+"""Queries of the operators that rewrite keys and numerals, check chords, transpose, drop octave doublings, cut scores by rows and tell differences, each with the same in SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions import degrees as D
+from scoreloom.operators import checks as H
 from scoreloom.operators import differences as X
 from scoreloom.operators import meter as B
 from scoreloom.operators import modulations as M
@@ -270,6 +271,29 @@ def pooled_arrays(spark, sf_dir):
     return X.unique_of_array(n, "x", ("instrument",), ("onset",)).select("score_id", "instrument", "row", F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
 
 
+@_query(f""", tk AS (SELECT row_id, score_id % 9 - 4 AS sig, pitch, channel, {_list(KEYS)}[row_id % {len(KEYS)} + 1] AS key FROM ev), tf AS (SELECT *, ((3 - sig) * 7 % 12 + 12) % 12 AS around, {_fifths('key')} + 3 - sig AS f FROM tk),
+tn AS (SELECT *, (['F', 'C', 'G', 'D', 'A', 'E', 'B'])[(f % 7 + 7) % 7 + 1] || CASE WHEN f >= 0 THEN repeat('#', (f // 7)::BIGINT) ELSE repeat('b', ((6 - f) // 7)::BIGINT) END AS name FROM tf)
+SELECT row_id, CASE WHEN channel = 9 THEN pitch WHEN around > 6 THEN pitch + around - 12 ELSE pitch + around END AS pitch, CASE WHEN {_mode('key')} = 'M' THEN name ELSE lower(name[1]) || name[2:] END AS key, (pitch::BIGINT + around) % 12 AS pc, 3 - sig AS moved,
+  f - 1 - CASE WHEN {_mode('key')} = 'm' THEN 3 ELSE 0 END AS key_signature FROM tn""")
+def transpose_to_key(spark, sf_dir):
+    """Scores of nine signatures moved to three sharps, with their keys and pitch classes; the new keys' signatures."""
+    n = corpus.scores(spark, sf_dir).withColumns({"global_key_sig": F.col("score_id") % 9 - 4, "key": F.get(F.array(*map(F.lit, KEYS)), (F.col("row_id") % len(KEYS)).cast("int")), "pc": F.col("pitch").cast("long")})
+    done = H.add_key_signature(H.transpose_to_key(n, 3, spelled_columns=("key",), pc_columns=("pc",)))
+    return done.select("row_id", "pitch", "key", "pc", F.col("transposed_by_n_sharps").alias("moved"), "key_signature")
+
+
+@_query(""", bd AS (SELECT *, CASE WHEN score_id % 5 = 0 THEN 'H' ELSE key END AS k2, CASE WHEN onset = 16 THEN 'V/V/V' ELSE degree END AS d2, inversion + CASE WHEN score_id % 7 = 0 THEN 1 ELSE 0 END AS i2, CASE WHEN score_id % 4 = 0 THEN onset - 1 ELSE release END AS r2 FROM ch)
+SELECT 'error' AS severity, 'key' AS "column", count(*) AS n_bad FROM bd WHERE k2 = 'H' UNION ALL SELECT 'error', 'degree', count(*) FROM bd WHERE d2 = 'V/V/V' UNION ALL SELECT 'error', 'inversion', count(*) FROM bd WHERE i2 > 3 UNION ALL SELECT 'warning', 'release', count(*) FROM bd WHERE r2 < onset""")
+def check_chords(spark, sf_dir):
+    """Chords of which some have another key, degree, inversion or release than they may."""
+    c = corpus.chords(corpus.scores(spark, sf_dir))
+    damaged = c.withColumns({
+        "key": F.when(F.col("score_id") % 5 == 0, "H").otherwise(F.col("key")), "degree": F.when(F.col("onset") == 16, "V/V/V").otherwise(F.col("degree")),
+        "inversion": F.col("inversion") + F.when(F.col("score_id") % 7 == 0, 1).otherwise(0), "release": F.when(F.col("score_id") % 4 == 0, F.col("onset") - 1).otherwise(F.col("release")),
+    })
+    return H.check_chords(damaged).select("severity", "column", "n_bad")
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in _REGISTRY.items()}
 
