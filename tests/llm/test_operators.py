@@ -352,6 +352,21 @@ def test_html_wrapper_decides(spark):
     assert two == ["another template"]
 
 
+def test_html_templates_survive_numbers(spark):
+    """Containers that carry the number of a post make one template; its constant box and its comments go."""
+    def page(k):
+        body = " ".join(f"w{(k * 37 + j * 11) % 997}" for j in range(60))
+        return f"<body id=page-{k}><div class='post-{k} post'><p>Story {k} {body}</p><div class=box id=box-{k}>Always the same words</div></div><div class=talk id=talk{k}><p>Me too {k}</p></div></body>"
+
+    pages = [page(k) for k in range(20)]
+    assert len({html_extract.template(p) for p in pages}) == 1
+    table = spark.createDataFrame([(k, "http://h.example/x", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    assert html_extract.wrappers(table.withColumn("host", F.lit("h")).select("host", "html")).count() == 1
+    for r in html_extract.extract(table).collect():
+        body = " ".join(f"w{(r.page_id * 37 + j * 11) % 997}" for j in range(60))
+        assert r.text == f"Story {r.page_id} {body}"
+
+
 def test_html_wrapper_matches_its_pages():
     """Alignment against brute force: the wrapper, as a regular expression, matches each page that it was made of."""
     rng = np.random.default_rng(5)
