@@ -112,7 +112,7 @@ def dedouble_across_instruments(spark, sf_dir):
 
 @_query()
 def remove_repeated_bars(spark, sf_dir):
-    """No SQL: the search is sequential (tests compare it with a plain version)."""
+    """The search is sequential; its SQL, a recursion, stands with the rewriting queries."""
     barred = B.make_bar_explicit(B.add_bar_durs(B.infer_barlines(corpus.with_meter(_notes(spark, sf_dir)))))
     return D.remove_repeated_bars(barred).select("score_id", "row_id", "type", "onset", "release")
 

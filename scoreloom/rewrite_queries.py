@@ -14,6 +14,7 @@ from scoreloom.operators import octaves as O
 from scoreloom.operators import order
 from scoreloom.operators import segments as S
 from scoreloom.plans import corpus
+from scoreloom.queries import _BARS
 
 _REGISTRY: dict[str, tuple] = {}
 
@@ -294,9 +295,31 @@ def check_chords(spark, sf_dir):
     return H.check_chords(damaged).select("severity", "column", "n_bad")
 
 
+# SQL of two older queries whose walks need recursion.
+LAYERS_SQL = f"WITH RECURSIVE {corpus.SQL.strip()}" + """, nk AS (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY onset, pitch, release, row_id) AS k FROM ev),
+st AS (SELECT DISTINCT score_id, 0::BIGINT AS k, []::STRUCT(o DOUBLE, r DOUBLE)[] AS ls, NULL::BIGINT AS row_id, NULL::BIGINT AS layer FROM nk
+  UNION ALL SELECT score_id, k, ls[:i - 1] || [{'o': onset, 'r': release}] || ls[i + 1:], row_id, i - 1 FROM (SELECT nk.score_id, nk.k, ls, nk.row_id, onset, release,
+    coalesce(list_position(list_transform(ls, lambda x: nk.onset >= x.r OR (x.o = nk.onset AND x.r = nk.release)), true), len(ls) + 1)::BIGINT AS i FROM st JOIN nk ON nk.score_id = st.score_id AND nk.k = st.k + 1))
+SELECT row_id, layer FROM st WHERE k > 0"""
+REPEATED_BARS_SQL = f"WITH RECURSIVE {corpus.SQL.strip()}{_BARS}" + """, bx AS (SELECT score_id, onset, coalesce(lead(onset) OVER (PARTITION BY score_id ORDER BY onset), greatest(max(release) OVER (PARTITION BY score_id), (SELECT max(release) FROM ev WHERE ev.score_id = ba.score_id))) AS release, bar_number AS b FROM ba),
+fb AS (SELECT bx.score_id, b, any_value(bx.release - bx.onset) AS dur, list((instrument, pitch, ev.onset - bx.onset, ev.release - bx.onset)::VARCHAR ORDER BY instrument, pitch, ev.onset, ev.release) FILTER (row_id IS NOT NULL)::VARCHAR AS n
+  FROM bx LEFT JOIN ev ON ev.score_id = bx.score_id AND ev.onset >= bx.onset AND ev.onset < CASE WHEN b = (SELECT max(b) FROM bx x WHERE x.score_id = bx.score_id) THEN 'inf'::DOUBLE ELSE bx.release END GROUP BY ALL),
+pl AS (SELECT score_id, list(dur::VARCHAR || coalesce(n, '') ORDER BY b) AS f, list(b ORDER BY b) AS bs FROM fb GROUP BY 1),
+wk AS (SELECT score_id, f, bs, 0::BIGINT AS i, false AS changed FROM pl
+  UNION ALL SELECT score_id, CASE WHEN k IS NULL THEN f ELSE f[:i + k] || f[i + k * t + 1:] END, CASE WHEN k IS NULL THEN bs ELSE bs[:i + k] || bs[i + k * t + 1:] END, CASE WHEN i >= len(f) THEN 0 WHEN k IS NULL THEN i + 1 ELSE i END, CASE WHEN i >= len(f) THEN false ELSE changed OR k IS NOT NULL END
+  FROM (SELECT *, CASE WHEN k IS NOT NULL THEN list_min(list_filter(range(1, len(f) + 2), lambda x: f[i + k * x + 1:i + k * (x + 1)] <> f[i + 1:i + k])) END AS t
+    FROM (SELECT *, list_min(list_filter(range(1, (len(f) - i) // 2 + 1), lambda x: f[i + 1:i + x] = f[i + x + 1:i + 2 * x])) AS k FROM wk WHERE i < len(f) OR changed))),
+en2 AS (SELECT score_id, bs FROM wk WHERE i >= len(f) AND NOT changed),
+kp AS (SELECT fb.*, list_contains(bs, b) AS kept FROM fb JOIN en2 USING (score_id)),
+sh AS (SELECT *, coalesce(sum(CASE WHEN kept THEN 0 ELSE dur END) OVER (PARTITION BY score_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mv FROM kp),
+al AS (SELECT score_id, row_id, type, onset, release FROM ms UNION ALL SELECT score_id, NULL, 'bar', onset, release FROM bx),
+nb AS (SELECT al.*, (SELECT max(b) FROM bx WHERE bx.score_id = al.score_id AND bx.onset + CASE WHEN al.type = 'time_signature' THEN 1e-9 ELSE 0 END <= al.onset) AS b FROM al)
+SELECT nb.score_id, row_id, type, onset - coalesce(mv, 0) AS onset, release - coalesce(mv, 0) AS release FROM nb LEFT JOIN sh USING (score_id, b) WHERE coalesce(kept, true)"""
+
+
 def queries() -> dict:
     return {name: f for name, (f, _) in _REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _REGISTRY.items()}
+    return {name: sql for name, (_, sql) in _REGISTRY.items()} | {"homophonic_layers": LAYERS_SQL, "remove_repeated_bars": REPEATED_BARS_SQL}
