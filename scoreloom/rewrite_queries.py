@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import degrees as D
 from scoreloom.operators import checks as H
+from scoreloom.operators import dictionaries as V
 from scoreloom.operators import differences as X
 from scoreloom.operators import meter as B
 from scoreloom.operators import modulations as M
@@ -295,6 +296,22 @@ def check_chords(spark, sf_dir):
     return H.check_chords(damaged).select("severity", "column", "n_bad")
 
 
+#: Half tones of the degrees of `ch` above their tonic, and the chords' notes; all in C or c.
+_VOCABULARY = """, vo AS (SELECT *, CASE WHEN key IN ('a', 'e', 'd') THEN 'm' ELSE 'M' END AS mode, split_part(degree, '/', 1) AS pd, CASE WHEN contains(degree, '/') THEN split_part(degree, '/', 2) ELSE 'I' END AS sd FROM ch),
+vn AS (SELECT *, CASE sd WHEN 'V' THEN 7 WHEN 'ii' THEN 2 ELSE 0 END AS up, CASE sd WHEN 'V' THEN 'M' WHEN 'ii' THEN 'm' ELSE mode END AS own, CASE quality WHEN 'M' THEN [0, 4, 7] WHEN 'm' THEN [0, 3, 7] WHEN 'o7' THEN [0, 3, 6, 9] ELSE [0, 4, 7, 10] END AS steps FROM vo),
+vr AS (SELECT *, up + CASE pd WHEN 'V' THEN 7 WHEN 'IV' THEN 5 WHEN 'ii' THEN 2 WHEN 'vi' THEN CASE WHEN own = 'M' OR quality IN ('m', 'o7') THEN 9 ELSE 8 END ELSE 0 END AS root FROM vn)"""
+
+
+@_query(_VOCABULARY + """ SELECT mode, pd AS primary_degree, sd AS secondary_degree, quality, count(*) AS n_chords, count(DISTINCT score_id) AS n_scores, list_aggregate(list_transform(steps, lambda x: lower(to_hex((x + root) % 12))), 'string_agg', '') AS chord_pcs FROM vr GROUP BY mode, pd, sd, quality, steps, root""")
+def chord_dictionary(spark, sf_dir):
+    return V.chord_dict(corpus.chords(corpus.scores(spark, sf_dir))).select("mode", "primary_degree", "secondary_degree", "quality", "n_chords", "n_scores", "chord_pcs")
+
+
+@_query(_VOCABULARY + """ SELECT mode, pd AS primary_degree, sd AS secondary_degree, quality, inversion::INTEGER AS inversion, count(*) AS n_chords, lower(to_hex((steps[inversion::INTEGER + 1] + root) % 12)) AS bass FROM vr GROUP BY mode, pd, sd, quality, steps, root, inversion""")
+def bass_dictionary(spark, sf_dir):
+    return V.bass_dict(corpus.chords(corpus.scores(spark, sf_dir))).select("mode", "primary_degree", "secondary_degree", "quality", "inversion", "n_chords", "bass")
+
+
 # SQL of two older queries whose walks need recursion.
 LAYERS_SQL = f"WITH RECURSIVE {corpus.SQL.strip()}" + """, nk AS (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY onset, pitch, release, row_id) AS k FROM ev),
 st AS (SELECT DISTINCT score_id, 0::BIGINT AS k, []::STRUCT(o DOUBLE, r DOUBLE)[] AS ls, NULL::BIGINT AS row_id, NULL::BIGINT AS layer FROM nk
