@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions import degrees as D
+from scoreloom.functions import keys as K
+from scoreloom.operators import augment as G
 from scoreloom.operators import checks as H
 from scoreloom.operators import dictionaries as V
 from scoreloom.operators import differences as X
+from scoreloom.operators import doublings as U
 from scoreloom.operators import meter as B
 from scoreloom.operators import modulations as M
 from scoreloom.operators import octaves as O
 from scoreloom.operators import order
 from scoreloom.operators import segments as S
+from scoreloom.operators import slices as L
 from scoreloom.plans import corpus
 from scoreloom.queries import _BARS
 
@@ -312,6 +316,45 @@ def bass_dictionary(spark, sf_dir):
     return V.bass_dict(corpus.chords(corpus.scores(spark, sf_dir))).select("mode", "primary_degree", "secondary_degree", "quality", "inversion", "n_chords", "bass")
 
 
+@_query(""", dr AS (SELECT score_id, t FROM (SELECT DISTINCT score_id FROM ev), (SELECT unnest(range(-5, 7)) AS t) QUALIFY row_number() OVER (PARTITION BY score_id ORDER BY md5('3:' || score_id || ':' || t)) <= 4),
+rg AS (SELECT score_id, min(pitch) AS a, max(pitch) AS b FROM ev GROUP BY 1) SELECT row_id, t::INTEGER AS transposed_by, pitch + t AS pitch FROM ev JOIN dr USING (score_id) JOIN rg USING (score_id) WHERE a + t >= 33 AND b + t <= 88""")
+def drawn_transpositions(spark, sf_dir):
+    """Four transpositions drawn for each score, where it stays in the range."""
+    return G.aug_by_trans(corpus.scores(spark, sf_dir), 4, 33, 88, 3).select("row_id", "transposed_by", "pitch")
+
+
+@_query(""", mo2 AS (SELECT score_id, t, lead(t) OVER (PARTITION BY score_id ORDER BY t) AS nx FROM (SELECT score_id, onset AS t FROM ev UNION SELECT score_id, release FROM ev)), sl AS (SELECT ev.score_id, row_id, t AS onset, nx AS release FROM ev JOIN mo2 ON mo2.score_id = ev.score_id AND t >= onset AND t < release),
+sp2 AS (SELECT score_id, onset, max(release) AS release FROM sl GROUP BY 1, 2), re AS (SELECT score_id, release AS onset, nx AS release FROM (SELECT *, lead(onset) OVER (PARTITION BY score_id ORDER BY onset) AS nx FROM sp2) WHERE nx > release),
+la AS (SELECT *, release - onset AS d, sum(release - onset) OVER (PARTITION BY score_id ORDER BY md5('5:' || score_id || ':' || onset::VARCHAR), onset) AS upto FROM (FROM sp2 UNION ALL FROM re))
+SELECT sl.score_id, row_id, sl.onset AS was, upto - d AS onset, upto AS release FROM sl JOIN la USING (score_id, onset)""")
+def shuffled_slices(spark, sf_dir):
+    """Slices and rests of each score in drawn order."""
+    sliced = L.salami_slice(corpus.scores(spark, sf_dir), False).withColumn("was", F.col("onset"))
+    return G.shuffle_slices(sliced, 5).select("score_id", "row_id", "was", "onset", "release")
+
+
+@_query(f""", kk AS (SELECT row_id, pitch, {_list(KEYS)}[row_id % {len(KEYS)} + 1] AS key FROM ev), kf AS (SELECT *, {_fifths('key')} AS f, {_mode('key')} AS mode FROM kk), k5 AS (SELECT *, f + 5 AS g, f - 1 - CASE WHEN mode = 'm' THEN 3 ELSE 0 END AS sig FROM kf),
+kn AS (SELECT *, (['F', 'C', 'G', 'D', 'A', 'E', 'B'])[(g % 7 + 7) % 7 + 1] || CASE WHEN g >= 0 THEN repeat('#', (g // 7)::BIGINT) ELSE repeat('b', ((6 - g) // 7)::BIGINT) END AS name FROM k5)
+SELECT row_id, CASE WHEN mode = 'M' THEN name ELSE lower(name[1]) || name[2:] END AS moved_key, pitch - 1 AS moved_pitch, (2 - sig + 606) % 12 - 6 AS from_d, CASE WHEN (sig + 120) % 12 > 6 THEN (sig + 120) % 12 - 12 ELSE (sig + 120) % 12 END AS enharmonic, {_named('f', 'mode')} AS usual FROM kn""")
+def moved_keys(spark, sf_dir):
+    """Keys and pitches moved by five fifths, distances to D, signatures of at most six signs, usual names by pitch class and mode."""
+    n = corpus.scores(spark, sf_dir).withColumn("key", F.get(F.array(*map(F.lit, KEYS)), (F.col("row_id") % len(KEYS)).cast("int")))
+    key = F.col("key")
+    return n.select("row_id", K.transpose_spelling(key, 5).alias("moved_key"), K.transpose_fifths(F.col("pitch"), 5).alias("moved_pitch"), K.key_sharps_interval(key, F.lit("D")).alias("from_d"), K.enharmonic_key_signature(key).alias("enharmonic"), K.pc_and_mode_to_key(K.chromatic_key(key)).alias("usual"))
+
+
+@_query(""", ln AS (SELECT score_id, instrument, row_id, onset, least(release, coalesce(lead(onset) OVER (PARTITION BY score_id, instrument ORDER BY onset), release)) AS release FROM (SELECT * FROM ev WHERE instrument IN ('view', 'click') QUALIFY row_number() OVER (PARTITION BY score_id, instrument, onset ORDER BY row_id) = 1)),
+mt AS (SELECT score_id, t, lead(t) OVER (PARTITION BY score_id ORDER BY t) AS nx FROM (SELECT score_id, onset AS t FROM ln UNION SELECT score_id, release FROM ln)) SELECT ln.row_id, t AS onset, nx AS release FROM ln JOIN mt ON mt.score_id = ln.score_id AND t >= onset AND t < release""")
+def aligned_onsets(spark, sf_dir):
+    """The lines of two instruments cut at each other's onsets and releases."""
+    n = corpus.scores(spark, sf_dir).select("score_id", "row_id", "instrument", "onset", "release")
+    n = n.withColumn("k", F.row_number().over(Window.partitionBy("score_id", "instrument", "onset").orderBy("row_id"))).where("k = 1").drop("k")
+    after = F.lead("onset").over(Window.partitionBy("score_id", "instrument").orderBy("onset"))
+    n = n.withColumn("release", F.least("release", F.coalesce(after, "release")))
+    one, two = U.align_onsets(n.where("instrument = 'view'"), n.where("instrument = 'click'"))
+    return one.unionByName(two).select("row_id", "onset", "release")
+
+
 # SQL of two older queries whose walks need recursion.
 LAYERS_SQL = f"WITH RECURSIVE {corpus.SQL.strip()}" + """, nk AS (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY onset, pitch, release, row_id) AS k FROM ev),
 st AS (SELECT DISTINCT score_id, 0::BIGINT AS k, []::STRUCT(o DOUBLE, r DOUBLE)[] AS ls, NULL::BIGINT AS row_id, NULL::BIGINT AS layer FROM nk
