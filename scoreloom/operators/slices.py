@@ -82,10 +82,10 @@ def split_notes_at_barlines(df: DataFrame, min_overhang_dur: float | None = None
     `min_overhang_dur` are left out and their ties taken off."""
     notes, bars = df.where("type = 'note'"), df.where("type = 'bar'")
     lines = bars.select("score_id", F.explode(F.array("onset", "release")).alias("t")).where("t is not null").distinct()
-    inner = sounding(notes.select("score_id", "row_id", "onset", "release"), lines).where("t > onset").select("score_id", "row_id", "t")
-    begins = notes.select("score_id", "row_id", F.col("onset").alias("t")).unionByName(inner)
+    # a note's columns go through the join, so its parts need no join back to it
+    begins = notes.withColumn("t", F.col("onset")).unionByName(sounding(notes, lines).where("t > onset"))
     per = Window.partitionBy("score_id", "row_id").orderBy("t")
-    parts = begins.withColumn("next", F.lead("t").over(per)).join(notes, ["score_id", "row_id"]).withColumn("__r", F.coalesce("next", "release"))
+    parts = begins.withColumn("next", F.lead("t").over(per)).withColumn("__r", F.coalesce("next", "release"))
     if min_overhang_dur is not None:
         only = F.count(F.lit(1)).over(Window.partitionBy("score_id", "row_id")) == 1
         parts = parts.withColumn("__only", only).where(F.col("__only") | (F.col("__r") - F.col("t") >= min_overhang_dur)).drop("__only")
