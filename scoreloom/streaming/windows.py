@@ -58,22 +58,21 @@ def fill_forward(events: DataFrame, column: str) -> DataFrame:
 
 
 def late_counts(notes: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """A stream of notes with is_late: whether a note is further than `late` behind the newest one of all triggers
-    before, by which a window would leave it out. Per score, with one time of state."""
+    """A stream of notes with is_late: whether a note lies behind the watermark of its trigger, which is that of all
+    scores together (the newest note of the triggers before, less `late`), as it is for `segment_counts`. Late notes
+    are kept and marked, not left out. No state is held."""
     from pyspark.sql import types as T
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     schema = T.StructType([*notes.schema.fields, T.StructField("is_late", T.BooleanType())])
-    allowed = late
+    zone = notes.sparkSession.conf.get("spark.sql.session.timeZone")
 
     def mark(key, frames, state: GroupState):
         import pandas as pd
 
-        newest = pd.Timestamp(state.get[0]) if state.exists else None
-        pdf = pd.concat(list(frames))
-        is_late = pdf["ts"] < newest - pd.Timedelta(allowed) if newest is not None else pd.Series(False, index=pdf.index)
-        top = pdf["ts"].max()
-        state.update(((top if newest is None else max(top, newest)).to_pydatetime(),))
-        yield pdf.assign(is_late=is_late)
+        behind = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms", tz="UTC").tz_convert(zone).tz_localize(None)
+        for pdf in frames:
+            yield pdf.assign(is_late=pdf["ts"] < behind)
 
-    return notes.groupBy("score_id").applyInPandasWithState(mark, schema, T.StructType([T.StructField("newest", T.TimestampType())]), "append", GroupStateTimeout.NoTimeout)
+    state = T.StructType([T.StructField("none", T.IntegerType())])
+    return notes.withWatermark("ts", late).groupBy("score_id").applyInPandasWithState(mark, schema, state, "append", GroupStateTimeout.NoTimeout)
