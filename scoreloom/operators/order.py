@@ -27,6 +27,14 @@ def sort_df(df: DataFrame) -> DataFrame:
     return df.withColumn("seq", F.row_number().over(order(df)).cast("long"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ffill(column: str | Column, over: Window) -> Column:
     return F.last(column, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))
 

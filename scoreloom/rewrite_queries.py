@@ -18,6 +18,7 @@ from scoreloom.operators import octaves as O
 from scoreloom.operators import order
 from scoreloom.operators import segments as S
 from scoreloom.operators import slices as L
+from scoreloom.operators import spelling as P
 from scoreloom.plans import corpus
 from scoreloom.queries import _BARS
 
@@ -355,6 +356,18 @@ def aligned_onsets(spark, sf_dir):
     return one.unionByName(two).select("row_id", "onset", "release")
 
 
+@_query(""", od AS (SELECT *, (row_number() OVER (PARTITION BY score_id ORDER BY onset, pitch, release, row_id) - 1) // 32 AS c, (7 * pitch::BIGINT + 1) % 12 AS f FROM ev),
+st AS (SELECT score_id, c, list(DISTINCT f) AS fs FROM od GROUP BY 1, 2), ca AS (SELECT score_id, c, s, list_transform(fs, lambda f: s + ((f - s) % 12 + 12) % 12) AS xs FROM st, range(-14, 10) t(s)),
+be AS (SELECT * FROM ca QUALIFY row_number() OVER (PARTITION BY score_id, c ORDER BY list_max(xs) - list_min(xs), abs(list_sum(xs) - 3 * len(xs)), s) = 1),
+pl AS (SELECT row_id, pitch::BIGINT AS pitch, s + ((f - s) % 12 + 12) % 12 AS x FROM od JOIN be USING (score_id, c)), si AS (SELECT row_id, pitch, (['F', 'C', 'G', 'D', 'A', 'E', 'B'])[(x % 7 + 7) % 7 + 1] AS letter, floor(x / 7)::BIGINT AS n FROM pl),
+oc AS (SELECT *, (pitch - n) // 12 - 1 AS o FROM si)
+SELECT row_id, letter || CASE WHEN n >= 0 THEN repeat('#', n) ELSE repeat('b', -n) END AS spelling, CASE WHEN o >= 4 THEN repeat(lower(letter), o - 3) ELSE repeat(letter, 4 - o) END || CASE WHEN n >= 0 THEN repeat('#', n) ELSE repeat('-', -n) END AS humdrum_spelling FROM oc""")
+def spelled_in_context(spark, sf_dir):
+    """Notes spelled in stretches of 32 rows, as letters and in kern."""
+    s = P.spell_in_context(corpus.scores(spark, sf_dir))
+    return P.spell_df(s).select("row_id", "spelling", "humdrum_spelling")
+
+
 # SQL of two older queries whose walks need recursion.
 LAYERS_SQL = f"WITH RECURSIVE {corpus.SQL.strip()}" + """, nk AS (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY onset, pitch, release, row_id) AS k FROM ev),
 st AS (SELECT DISTINCT score_id, 0::BIGINT AS k, []::STRUCT(o DOUBLE, r DOUBLE)[] AS ls, NULL::BIGINT AS row_id, NULL::BIGINT AS layer FROM nk
