@@ -157,6 +157,8 @@ def op1(spark, sf_dir: str) -> DataFrame:
 
 
 def packed_pieces(docs: DataFrame) -> DataFrame:
+    """`pieces` of all documents in windows of 4096 ids. A null or empty text has its end id alone; repeated rows
+    and rows of one or a null id are documents of their own; columns other than doc_id and text are left out; no documents give no rows."""
     import public_tokenizers
 
     return pieces(token_table(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))

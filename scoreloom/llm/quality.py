@@ -144,7 +144,9 @@ def score(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col:
 
 
 def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Both passes over all documents. Repeated rows are judged alike, each on its own."""
+    """Both passes over all documents. Repeated rows are judged alike, each on its own, and so are rows of a null id;
+    null, empty and wordless texts fail the base rules. Columns other than doc_id, text and those of `keep` are left
+    out. No documents give no rows; without trusted labels all weights are 0."""
     return score(docs, weights(ngram_counts(docs, trusted_ids(labels))), keep=keep)
 
 

@@ -109,9 +109,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best among all vectors but its own id.
 
     Queries (rows of vec_id, vec) go out in blocks of about QUERY_BLOCK, so the broadcast is
-    bounded; each block's merged result is stored. A repeated query is answered once; repeated
-    candidates count each. Scores are exact while they stay below 2 ** 53."""
-    queries = queries.dropDuplicates(["vec_id"])
+    bounded; each block's merged result is stored. A query id that is there repeatedly is answered
+    once, for the least of its vectors (component by component); repeated candidates count each.
+    Vectors of fewer components count as filled up with zeros. Other columns are left out. No
+    vectors or no queries: no rows. Scores are exact while they stay below 2 ** 53."""
+    queries = queries.groupBy("vec_id").agg(F.min("vec").alias("vec"))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     merge = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = None

@@ -23,6 +23,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoreloom.llm.scratch import unused
+
 #: Rules that one array may hold: eight bytes and a string each, read by memory map.
 MOST_RULES = 50_000_000
 
@@ -78,7 +80,7 @@ def _array(name: str) -> DigestArray:
 
 
 def judge(pages: DataFrame, rules: dict[str, str], url_col: str = "url", default: str = "allow") -> DataFrame:
-    """`pages` with host, path, rule and verdict; columns of these names are replaced.
+    """`pages` with host, path, rule and verdict; columns of these names are replaced, all others stay.
 
     Host and path follow the first ``://`` (null or none: both empty). The longest fitting
     rule decides; a URL that no rule fits gets `default`. No suffix of a host with more labels than any rule has
@@ -115,8 +117,10 @@ def judge(pages: DataFrame, rules: dict[str, str], url_col: str = "url", default
     rest = F.when(F.instr(url_col, "://") > 0, F.expr(f"substring(`{url_col}`, instr(`{url_col}`, '://') + 3)")).otherwise("")
     host = F.translate(F.regexp_extract(rest, r"\A[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, r"\A[^/?#]*([^?#]*)", 1)
-    known = pages.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit(""))).withColumn("__judged", rule_of("host", "path"))
-    return known.withColumn("rule", F.col("__judged.rule")).withColumn("verdict", F.col("__judged.verdict")).drop("__judged")
+    known = pages.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
+    judged = unused(known, "judged")
+    known = known.withColumn(judged, rule_of("host", "path"))
+    return known.withColumn("rule", F.col(f"{judged}.rule")).withColumn("verdict", F.col(f"{judged}.verdict")).drop(judged)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
