@@ -39,13 +39,26 @@ def ffill(column: str | Column, over: Window) -> Column:
     return F.last(column, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def crop_df(df: DataFrame, start_time: float | None = None, start_row: int | None = None, end_row: int | None = None) -> DataFrame:
+def _with_inferred_bars(df: DataFrame) -> DataFrame:
+    """Bars added to the scores that have time signatures but no bars."""
+    from scoreloom.operators.meter import infer_barlines
+
+    given, signs = unused(df, "given"), unused(df, "signs")
+    s = infer_barlines(df.withColumn(given, F.lit(True)))
+    s = s.withColumn(signs, F.max(F.col("type") == "time_signature").over(Window.partitionBy("score_id")))
+    return s.where(F.col(given) | F.col(signs)).select(*df.columns)
+
+
+def crop_df(df: DataFrame, start_time: float | None = None, start_row: int | None = None, end_row: int | None = None, infer_bars: bool = True) -> DataFrame:
     """Rows of each score, in canonical order, from the first note at or after `start_time` (or from the
     note `start_row`) to the row `end_row`, both included. The last time signature and bar before the first
     note come along, the time signature moved to the bar's onset. Scores without such a first
-    note give no rows; scores without bars keep the time signature's onset."""
+    note give no rows. Where a start is given, scores with time signatures (column other) but no bars get bars
+    first (row_id null); without `infer_bars` they keep the time signature's onset, as scores without either do."""
     if start_time is not None and start_row is not None:
         raise ValueError("start_time or start_row, not both")
+    if infer_bars and "other" in df.columns and not (start_time is None and start_row is None):
+        df = _with_inferred_bars(df)
     whole = Window.partitionBy("score_id")
     s = df.withColumn("__seq", F.row_number().over(order(df)))
     if start_time is None and start_row is None:

@@ -368,6 +368,15 @@ def spelled_in_context(spark, sf_dir):
     return P.spell_df(s).select("row_id", "spelling", "humdrum_spelling")
 
 
+@_query(_BARS + """, al AS (SELECT score_id, type, onset FROM ms UNION ALL SELECT score_id, 'bar', onset FROM ba), f AS (SELECT score_id, min(onset) AS f FROM ev WHERE onset >= 30 GROUP BY 1),
+lb AS (SELECT score_id, f, (SELECT max(onset) FROM ba WHERE ba.score_id = f.score_id AND onset <= f) AS b FROM f)
+SELECT score_id, type, onset, count(*) AS n FROM (SELECT score_id, type, onset FROM al JOIN f USING (score_id) WHERE onset > f OR (type = 'note' AND onset = f)
+  UNION ALL SELECT score_id, 'bar', b FROM lb UNION ALL SELECT score_id, 'time_signature', b FROM lb) GROUP BY ALL""")
+def crop_without_bars(spark, sf_dir):
+    """Scores that have time signatures alone, from the first note at or after 30 quarters on: bars are inferred first."""
+    return order.crop_df(corpus.with_meter(corpus.scores(spark, sf_dir)), 30.0).groupBy("score_id", "type", "onset").agg(F.count(F.lit(1)).alias("n"))
+
+
 # SQL of two older queries whose walks need recursion.
 LAYERS_SQL = f"WITH RECURSIVE {corpus.SQL.strip()}" + """, nk AS (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY onset, pitch, release, row_id) AS k FROM ev),
 st AS (SELECT DISTINCT score_id, 0::BIGINT AS k, []::STRUCT(o DOUBLE, r DOUBLE)[] AS ls, NULL::BIGINT AS row_id, NULL::BIGINT AS layer FROM nk

@@ -198,3 +198,19 @@ def test_crop_moves_time_signature(spark):
     assert sorted(rows(O.crop_df(df, start_row=5, end_row=6), "row_id", "onset")) == [(0, 3), (3, 3), (5, 5), (6, 6)]
     assert sorted(rows(O.crop_df(df, end_row=2), "row_id", "onset")) == [(0, 0), (1, 0), (2, 1)]
     assert O.crop_df(df, start_time=8.0).count() == 0
+
+
+def test_crop_infers_bars(spark):
+    sign = '{"numerator": 4, "denominator": 4}'
+    events = [(1, 0, "time_signature", 0.0, None, sign), (1, 1, "note", 1.0, 2.0, None), (1, 2, "note", 5.0, 6.0, None), (1, 3, "note", 9.0, 10.0, None)]
+    events += [(2, 0, "note", 1.0, 2.0, None), (2, 1, "note", 5.0, 6.0, None)]  # no time signature
+    events += [(3, 0, "time_signature", 0.0, None, sign), (3, 1, "bar", 0.0, 7.0, None), (3, 2, "note", 6.0, 7.0, None)]  # a bar of its own
+    df = spark.createDataFrame(events, "score_id long, row_id long, type string, onset double, release double, other string").withColumn("given", F.lit("clash"))
+    got = lambda **o: sorted(rows(O.crop_df(df.repartition(3), **o), "score_id", "type", "onset", "release"), key=repr)
+    after = [(1, "bar", 4, 8), (1, "bar", 8, 10), (1, "note", 5, 6), (1, "note", 9, 10), (1, "time_signature", 4, None)]
+    rest = [(2, "note", 5, 6), (3, "bar", 0, 7), (3, "note", 6, 7), (3, "time_signature", 0, None)]
+    assert got(start_time=5.0) == after + rest
+    assert got(start_time=5.0, infer_bars=False) == [(1, "note", 5, 6), (1, "note", 9, 10), (1, "time_signature", 0, None), *rest]
+    assert [r for r in got(start_row=2, end_row=2) if r[0] == 1] == [after[0], after[2], after[4]]
+    assert not [r for r in got(end_row=1) if r[:2] == (1, "bar")] and O.crop_df(df.limit(0), 1.0).count() == 0
+    assert O.crop_df(df, 5.0).columns == df.columns
