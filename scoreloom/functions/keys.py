@@ -34,6 +34,12 @@ def line_of_fifths_to_spelling(i: Column) -> Column:
     return F.concat(letter, F.when(turns >= 0, F.repeat(F.lit("#"), turns)).otherwise(F.repeat(F.lit("b"), -turns)))
 
 
+def tpc_to_name(tpc: Column, minor: bool = False) -> Column:
+    """The name of a tonal pitch class (C is 0, G 1, F -1); `minor` gives the letter in lower case: -8 to 'fb'."""
+    name = line_of_fifths_to_spelling(tpc + 1)
+    return F.concat(F.lower(F.substring(name, 1, 1)), F.substring(name, 2, 1000)) if minor else name
+
+
 def key_signature(key: Column) -> Column:
     """Sharps (flats are negative) of a spelled key; minor keys are in lower case."""
     return spelling_to_line_of_fifths(key) - 1 - F.when(get_mode(key) == "m", 3).otherwise(0)

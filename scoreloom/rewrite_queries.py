@@ -36,6 +36,8 @@ def _query(sql: str):
 #: Keys and degrees of chords for these queries, by the number of a chord and of its group of four.
 KEYS = ["C", "G", "C", "a", "C", "F", "C", "Ab", "c", "Eb", "c"]
 DEGREES = ["I", "V/V", "V", "V/V", "IV/V", "VII/VI", "II/VI", "VI", "V/bIII", "I/bIII", "I/IV", "V", "II/V", "IV", "#VI/II", "VIIo6"]
+#: Parts of a quarter that `snapped_times` divides times by.
+TUPLETS = [1, 3, 5, 7, 6]
 AWAY = ["V/V", "II/V", "V/IV", "I/IV", "V/bVII", "VII/VI"]
 
 
@@ -368,6 +370,17 @@ def spelled_in_context(spark, sf_dir):
     return P.spell_df(s).select("row_id", "spelling", "humdrum_spelling")
 
 
+@_query(f""", dn AS (SELECT d FROM range(1, 97) t(d) WHERE list_contains((SELECT list((2::BIGINT ** a * 3 ** b * 5 ** c * 7 ** e)::BIGINT) FROM range(7) q(a), range(5) r(b), range(3) s(c), range(3) u(e)), d)),
+tm AS (SELECT row_id, k, CASE WHEN k = 0 THEN onset ELSE release END / {_list([str(n) for n in TUPLETS])}[row_id % {len(TUPLETS)} + 1]::DOUBLE + 0.00001 AS v FROM ev, range(2) w(k)),
+sn AS (SELECT row_id, k, round_even(v * d, 0) / d AS x FROM tm, dn QUALIFY row_number() OVER (PARTITION BY row_id, k ORDER BY abs(round_even(v * d, 0) / d - v), d) = 1)
+SELECT row_id, max(x) FILTER (k = 0) AS onset, max(x) FILTER (k = 1) AS release FROM sn GROUP BY 1""")
+def snapped_times(spark, sf_dir):
+    """Times of notes in tuplets, drifted off, and snapped to musical fractions again."""
+    part = F.get(F.array(*map(F.lit, map(float, TUPLETS))), (F.col("row_id") % len(TUPLETS)).cast("int"))
+    n = corpus.scores(spark, sf_dir).select("row_id", *((F.col(c) / part + 0.00001).alias(c) for c in ("onset", "release")))
+    return B.snap_times(n)
+
+
 @_query(_BARS + """, al AS (SELECT score_id, type, onset FROM ms UNION ALL SELECT score_id, 'bar', onset FROM ba), f AS (SELECT score_id, min(onset) AS f FROM ev WHERE onset >= 30 GROUP BY 1),
 lb AS (SELECT score_id, f, (SELECT max(onset) FROM ba WHERE ba.score_id = f.score_id AND onset <= f) AS b FROM f)
 SELECT score_id, type, onset, count(*) AS n FROM (SELECT score_id, type, onset FROM al JOIN f USING (score_id) WHERE onset > f OR (type = 'note' AND onset = f)

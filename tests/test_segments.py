@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from scoreloom.operators import meter as B
 from scoreloom.operators import order
 from scoreloom.operators import segments as S
 
@@ -69,3 +70,12 @@ def test_segment_df(spark):
     df = order.sort_df(spark.createDataFrame(rows, "score_id long, row_id long, type string, pitch double, onset double, release double"))
     got = S.segment_df(df, 5)
     assert sorted((r.segment, r.seq) for r in got.collect()) == [((i // 4), i + 1) for i in range(16)] and got.columns == [*df.columns, "segment"]
+
+
+def test_snap_to_musical(spark):
+    smooth = [d for d in range(1, 97) if not [p for p in range(11, d + 1) if d % p == 0 and all(p % q for q in range(2, p))]]
+    cases = [0.1, 0.3333, 1.2919999999999732, 0.0, -0.3333, 0.5, 2.5, 7 / 48 + 1e-6, 1e6 + 1 / 3, 3 / 11, *(k / 997 for k in range(1, 60))]
+    want = [0.1, 1 / 3, 31 / 24] + [min((abs(round(v * d) / d - v), d, round(v * d) / d) for d in smooth)[2] for v in cases[3:]]
+    df = spark.createDataFrame([(i, v, None) for i, v in enumerate(cases)] + [(1000, None, float("inf")), (1001, float("nan"), 1.0)], "row_id long, onset double, release double")
+    got = B.snap_times(df.repartition(2)).orderBy("row_id").collect()
+    assert [r.onset for r in got[:-2]] == want and got[0].release is None and got[-2].onset is None and got[-2].release == float("inf") and got[-1].onset != got[-1].onset

@@ -59,6 +59,11 @@ def test_kern_names(spark):
     assert [r.humdrum_spelling for r in P.spell_df(df).orderBy("row_id").collect()] == [w for *_, w in cases]
 
 
+def test_names_of_tonal_pitch_classes(spark):
+    got = spark.range(1).select(*(K.tpc_to_name(F.lit(n), m).alias(f"n{i}") for i, (n, m) in enumerate([(0, False), (-1, False), (-1, True), (-8, True), (6, False), (13, False), (-2, False)]))).first()
+    assert list(got) == ["C", "F", "f", "fb", "F#", "F##", "Bb"]
+
+
 def test_rows_and_columns_stay(spark):
     bar = spark.createDataFrame([(1, 9, "bar", None, 0.0, 4.0)], SCHEMA)
     df = notes(spark, [58, 62, 65, None, 58, 58]).unionByName(bar).unionByName(notes(spark, [58]))  # a repeated row
