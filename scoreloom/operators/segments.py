@@ -39,6 +39,12 @@ def item_geq(rows: DataFrame, marks: DataFrame, value: Column, name: str, most:
     return found.withColumn(name, F.when(F.col(name) <= most, F.col(name)).otherwise(F.col("__down"))).drop("__down")
 
 
+def _met(a: DataFrame, b: DataFrame, on: str | list[str]) -> DataFrame:
+    """An inner join of two tables that both grow with the scores: sorted and merged, as a table of few bytes on disk may have
+    millions of rows and would be gathered by the driver to be broadcast."""
+    return a.join(b.hint("merge"), on)
+
+
 def segment_indices(onsets: DataFrame, releases: DataFrame, target_len: int) -> DataFrame:
     """score_id, start, stop of segments of about `target_len` rows: each begins at a mark of `onsets` and ends behind one of
     `releases`, the last that keeps it within the length, or else the next; it begins where the one before
@@ -55,20 +61,20 @@ def segment_indices(onsets: DataFrame, releases: DataFrame, target_len: int) ->
         found = item_leq(rows, releases, F.col("start") + target_len - 1, "end", F.greatest(F.col("start"), F.col("before")) + 1)
         return item_leq(found, onsets, F.col("end") + 1, "newest").where("end is not null").withColumn("stuck", F.col("newest") == F.col("start")).drop("newest")
 
-    first = onsets.groupBy("score_id").agg(F.min("i").alias("start")).join(last, "score_id").select("score_id", "start", (F.col("first_release") - 1).alias("before"))
+    first = _met(onsets.groupBy("score_id").agg(F.min("i").alias("start")), last, "score_id").select("score_id", "start", (F.col("first_release") - 1).alias("before"))
     reached = staged(ends(first).select("score_id", "start", "end", "stuck"))
-    nodes = releases.join(last, "score_id").where("i < last").select("score_id", F.col("i").alias("from"))
+    nodes = _met(releases, last, "score_id").where("i < last").select("score_id", F.col("i").alias("from"))
     nodes = item_geq(item_leq(nodes, onsets, F.col("from") + 1, "newest"), onsets, F.col("from") + 2, "coming")
     nodes = nodes.withColumn("was", F.explode(F.array(F.lit(False), F.lit(True)))).select("score_id", "from", "was", F.when(F.col("was"), F.col("coming")).otherwise(F.col("newest")).alias("start"), F.col("from").alias("before")).where("start is not null")
     steps = staged(ends(nodes).select("score_id", "from", "was", "start", "end", "stuck"))
     while True:
         at = reached.select("score_id", F.col("end").alias("from"), F.col("stuck").alias("was"))
-        more = staged(at.join(steps, ["score_id", "from", "was"]).select("score_id", "start", "end", "stuck"))
+        more = staged(_met(at, steps, ["score_id", "from", "was"]).select("score_id", "start", "end", "stuck"))
         if more.isEmpty():
             break
         reached = staged(reached.unionByName(more).distinct())
         then = steps.select("score_id", F.col("from").alias("end"), F.col("was").alias("stuck"), F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("stuck").alias("__k"))
-        steps = staged(steps.join(then, ["score_id", "end", "stuck"]).select("score_id", "from", "was", F.col("__s").alias("start"), F.col("__e").alias("end"), F.col("__k").alias("stuck")))
+        steps = staged(_met(steps, then, ["score_id", "end", "stuck"]).select("score_id", "from", "was", F.col("__s").alias("start"), F.col("__e").alias("end"), F.col("__k").alias("stuck")))
     return reached.select("score_id", "start", (F.col("end") + 1).alias("stop"))
 
 
@@ -83,4 +89,4 @@ def segment_df(df: DataFrame, target_len: int) -> DataFrame:
     # each segment meets the rows of its own range: ranges are spread over blocks of rows
     block = lambda c: F.floor(c / target_len)
     spread = cuts.withColumn("__b", F.explode(F.sequence(block(F.col("start")), block(F.col("stop") - 1))))
-    return df.withColumn("__b", block(i)).join(spread, ["score_id", "__b"]).where((i >= F.col("start")) & (i < F.col("stop"))).select(*df.columns, "segment")
+    return _met(df.withColumn("__b", block(i)), spread, ["score_id", "__b"]).where((i >= F.col("start")) & (i < F.col("stop"))).select(*df.columns, "segment")

@@ -79,3 +79,16 @@ def test_snap_to_musical(spark):
     df = spark.createDataFrame([(i, v, None) for i, v in enumerate(cases)] + [(1000, None, float("inf")), (1001, float("nan"), 1.0)], "row_id long, onset double, release double")
     got = B.snap_times(df.repartition(2)).orderBy("row_id").collect()
     assert [r.onset for r in got[:-2]] == want and got[0].release is None and got[-2].onset is None and got[-2].release == float("inf") and got[-1].onset != got[-1].onset
+
+
+def test_segment_df_broadcasts_no_table_of_states(spark):
+    """The tables of marks, states and cuts grow with the scores, and are small on disk long before they are few."""
+    rows = [(s, 16 * s + i, "note", 60.0 + i % 2, float(i // 2), float(i // 2 + 1)) for s in range(5) for i in range(16)]
+    df = order.sort_df(spark.createDataFrame(rows, "score_id long, row_id long, type string, pitch double, onset double, release double"))
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert S.segment_df(df, 5).count() == len(rows)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = store.executionsList()
+    plans = [ran.apply(k).physicalPlanDescription() for k in range(before, ran.size())]
+    assert len(plans) > 4 and any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
