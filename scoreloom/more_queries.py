@@ -161,9 +161,10 @@ def strings_of_chords(spark, sf_dir):
     return c.select("score_id", "onset", H.strip_inversion(F.concat("degree", i.cast("string"))).alias("numeral"), K.pcs_to_hex(K.transpose_pcs(K.hex_to_pcs(text), 5)).alias("pcs"))
 
 
-@_query(" SELECT instrument, count(*) AS n_notes, 0::BIGINT AS n_marks FROM ev WHERE instrument IN ('view', 'error') GROUP BY 1")
+@_query(" SELECT instrument, count(*) AS n_notes, (SELECT count(*) FROM ms WHERE type <> 'note') AS n_marks FROM ev WHERE instrument IN ('view', 'error') GROUP BY 1")
 def split_by_instrument(spark, sf_dir):
-    parts = O.split_by(corpus.with_meter(_notes(spark, sf_dir)), "instrument", ["view", "error"])
+    """Notes of two instruments, each part with all marks."""
+    parts = O.split_by(corpus.with_meter(_notes(spark, sf_dir)), "instrument", ["view", "error"], with_marks=True)
     counted = [p.groupBy().agg(F.lit(v).alias("instrument"), F.count_if(F.col("type") == "note").alias("n_notes"), F.count_if(F.col("type") != "note").alias("n_marks")) for v, p in parts.items()]
     return counted[0].unionByName(counted[1])
 

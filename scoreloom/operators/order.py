@@ -100,9 +100,11 @@ def eligible_onsets(df: DataFrame) -> DataFrame:
     return df.where("type = 'note'").groupBy("score_id", "onset").agg(F.min(F.struct("pitch", "release", "row_id")).alias("r")).select("score_id", "onset", F.col("r.row_id").alias("row_id"))
 
 
-def split_by(df: DataFrame, column: str, values: list) -> dict:
-    """A frame for each of the given values of `column` with the rows that have it, notes or not."""
-    return {v: df.where(F.col(column) == F.lit(v)) for v in values}
+def split_by(df: DataFrame, column: str, values: list, with_marks: bool = False) -> dict:
+    """A frame for each of the given values of `column` with the rows that have it, notes or not; `with_marks` gives all rows that
+    are no notes to each frame as well, so that a part keeps its meter."""
+    mark = F.coalesce(F.col("type") != "note", F.lit(True)) if with_marks else F.lit(False)
+    return {v: df.where(mark | (F.col(column) == F.lit(v))) for v in values}
 
 
 def split_musicdf(df: DataFrame, by_track: bool = True, by_channel: bool = True) -> DataFrame:

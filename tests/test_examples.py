@@ -95,3 +95,10 @@ def test_parts_by_track_and_channel(doubled):
         O.split_musicdf(doubled, False, False)
     parts = O.split_by(doubled, "track", [1.0, 2.0])
     assert parts[1.0].count() == 2 and parts[2.0].count() == 1
+
+
+def test_parts_with_marks(spark):
+    rows = [(1, 0, "time_signature", None), (1, 1, "bar", None), (1, 2, "note", "view"), (1, 3, "note", "error"), (1, 4, "note", None), (1, 5, None, None)]
+    df = spark.createDataFrame(rows, "score_id long, row_id long, type string, instrument string")
+    parts = O.split_by(df, "instrument", ["view", "error", "none"], with_marks=True)
+    assert {v: sorted(r.row_id for r in p.collect()) for v, p in parts.items()} == {"view": [0, 1, 2, 5], "error": [0, 1, 3, 5], "none": [0, 1, 5]}
