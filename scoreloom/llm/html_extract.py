@@ -1,13 +1,14 @@
 """Main text of web pages by wrapper inference.
 
 Pages of a host are grouped by template (the set of labels of their containers, over whole pages).
-For each template a bounded sample of pages is turned into token streams (tags with their class,
-and texts). Runs of equal token groups are folded into repeated groups; then the streams are
-aligned one by one with the wrapper so far: texts that differ become slots, tokens that only
+Every page of a template is turned into a token stream (tags with their class, and texts). Runs of equal
+token groups are folded into repeated groups. Streams of one shape, which differ in texts alone, are joined where
+they are read: texts that differ become slots. The shapes of a template are then aligned one by one with the wrapper so
+far, in groups of bounded size whose wrappers are aligned in their turn: tokens that only
 some pages have become optional groups. The wrapper is a regular expression without unions.
 
 Every page of the template is read with it: the element with the slots of the article is the content
-region; texts that are the same in all sampled pages, in a part that is no plain paragraph, are left
+region; texts that are the same in all pages, in a part that is no plain paragraph, are left
 out; parts whose name only resembles that of a menu or notice stay where the wrapper has slots of
 running text in them. Word lists decide on tags and names that are plain marks, and alone
 where a template has one page.
@@ -21,16 +22,21 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.llm.scratch import small_side
+from scoreloom.llm.scratch import small_side, stored
 
-#: Distinct pages of a template that its wrapper is inferred from; constants need at least so many.
-SAMPLE_PAGES, CONSTANT_PAGES = 8, 3
+#: Constants need at least so many distinct pages of a template.
+CONSTANT_PAGES = 3
+#: Shapes or wrappers that are aligned in one group; characters of joined streams that a task holds before it sends them.
+GROUP, HELD = 32, 8 << 20
+#: Texts of streams beyond so many characters are told by a digest.
+LONG = 48
 #: Longest token group that is folded when repeated.
 PERIOD = 12
 #: Cells of a table of two streams' gaps that are compared by dynamic programming; larger gaps are parted at tokens that stand once in either, and without such merged greedily.
@@ -191,22 +197,33 @@ def _words(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-def stream(page: str) -> list[tuple]:
-    """Token stream of a whole page for alignment: ('t', label) for tags, ('#', text) for texts."""
+def _digest(text: str) -> str:
+    return xxhash.xxh128_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def told(words: str) -> str:
+    """What a stream says of a text: itself, or its digest if it is long."""
+    return words if len(words) <= LONG else f"\0{_digest(words)}"
+
+
+def stream(page: str, parts: list | None = None) -> list[tuple]:
+    """Token stream of a whole page for alignment: ('t', label) for tags, ('#', what is told of it, length) for texts."""
     out: list[tuple] = []
-    for kind, name, attrs in tokens(page):
+    for kind, name, attrs in tokens(page) if parts is None else parts:
         if kind == "text":
             if name.strip():
-                out.append(("#", _words(name)))
+                words = _words(name)
+                out.append(("#", told(words), len(words)))
         else:
             out.append(("t", _label(name, attrs) if kind == "open" else f"/{name}"))
     return out
 
 
-def template(page: str) -> str:
+def template(page: str, parts: list | None = None) -> str:
     """Digest of the labels of a page's containers: tags of blocks, but no running text, lists or tables. Numbers in labels
     are all alike."""
-    labels = {_label(n, a) for k, n, a in tokens(page) if k == "open" and n not in INLINE and n not in VOID and n not in _PLAIN and n not in ("ul", "ol", "dl", "tr", "table", "tbody", "thead")}
+    parts = tokens(page) if parts is None else parts
+    labels = {_label(n, a) for k, n, a in parts if k == "open" and n not in INLINE and n not in VOID and n not in _PLAIN and n not in ("ul", "ol", "dl", "tr", "table", "tbody", "thead")}
     return xxhash.xxh64_hexdigest("\n".join(sorted({_DIGITS.sub("0", x) for x in labels})).encode("utf-8", "surrogatepass"))
 
 
@@ -214,23 +231,56 @@ def _key(item: tuple) -> tuple:
     return ("#",) if item[0] == "#" else (item[0], *(map(_key, item[1])),) if item[0] in ("+", "?") else item
 
 
+def _size(item: tuple) -> int:
+    return item[2] if len(item) > 2 else len(item[1] or "")
+
+
+def joined(x: tuple, y: tuple) -> tuple:
+    """Two items of one key: a text stays where both have it, lengths are added."""
+    if x[0] == "#":
+        return ("#", x[1] if x[1] == y[1] else None, _size(x) + _size(y))
+    return (x[0], [*map(joined, x[1], y[1])]) if x[0] in ("+", "?") else x
+
+
+def _repeats(codes: np.ndarray, size: int) -> set[int]:
+    """Places where a group of `size` items stands twice in a row."""
+    if len(codes) < 2 * size:
+        return set()
+    alike = np.concatenate(([0], np.cumsum(codes[size:] == codes[:-size])))
+    return set(np.flatnonzero(alike[size:] - alike[:-size] == size).tolist())
+
+
 def fold(items: list[tuple]) -> list[tuple]:
     """Runs of equal groups become ('+', group); texts within it become slots."""
+    codes = None
     for size in range(1, PERIOD + 1):
-        out, i, keys = [], 0, [_key(x) for x in items]
+        if codes is None:
+            keys, number = [_key(x) for x in items], {}
+            codes = np.array([number.setdefault(k, len(number)) for k in keys])
+        starts = _repeats(codes, size)
+        if not starts:
+            continue
+        out, i = [], 0
         while i < len(items):
+            if i not in starts:
+                out.append(items[i])
+                i += 1
+                continue
             own, n = keys[i : i + size], 1
             while len(own) == size and keys[i + n * size : i + (n + 1) * size] == own:
                 n += 1
             ends = [k for k in own if k[0] == "t" and k[1].startswith("/")]  # a group ends nothing that began before it
             if n > 1 and own != [("#",)] and own[0] not in ends and 2 * len(ends) <= sum(k[0] == "t" for k in own) and not all(k[0] == "+" for k in own):
-                group = [("#", None, sum(len(items[i + k * size + j][1] or "") for k in range(n))) if x[0] == "#" else x for j, x in enumerate(items[i : i + size])]
-                out.append(("+", group))
+                group = items[i : i + size]
+                for k in range(1, n):
+                    group = [*map(joined, group, items[i + k * size : i + (k + 1) * size])]
+                out.append(("+", [("#", None, _size(x)) if x[0] == "#" else x for x in group]))
                 i += n * size
             else:
                 out.append(items[i])
                 i += 1
-        items = out
+        if len(out) < len(items):
+            items, codes = out, None
     return items
 
 
@@ -309,20 +359,20 @@ def matching(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def align(wrapper: list[tuple], page: list[tuple]) -> list[tuple]:
-    """The wrapper generalised so that it also matches `page`."""
-    bare = [x for w in wrapper for x in (w[1] if w[0] == "?" else [w])]
-    optional = [w[0] == "?" for w in wrapper for _ in (w[1] if w[0] == "?" else [w])]
+    """The wrapper generalised so that it also matches `page`, a stream or a wrapper itself."""
+    bare, optional = [], []
+    for items in (wrapper, page):
+        bare.append([x for w in items for x in (w[1] if w[0] == "?" else [w])])
+        optional.append([w[0] == "?" for w in items for _ in (w[1] if w[0] == "?" else [w])])
     number: dict = {}
-    coded = [[number.setdefault(_key(x), len(number)) for x in items] for items in (bare, page)]
+    coded = [[number.setdefault(_key(x), len(number)) for x in items] for items in bare]
     out: list[tuple] = []
     i = j = 0
-    for a, b in [*matching(*coded), (len(bare), len(page))]:
-        out += [("?", [x]) for x in bare[i:a]] + [("?", [x]) for x in page[j:b]]
-        if a < len(bare):
-            x, y = bare[a], page[b]
-            if x[0] == "#" and x[1] != y[1]:
-                x = ("#", None, max(len(x[1] or ""), x[2] if len(x) > 2 else 0) + len(y[1] or ""))
-            out.append(("?", [x]) if optional[a] else x)
+    for a, b in [*matching(*coded), (len(bare[0]), len(bare[1]))]:
+        out += [("?", [x]) for x in bare[0][i:a]] + [("?", [x]) for x in bare[1][j:b]]
+        if a < len(bare[0]):
+            x = joined(bare[0][a], bare[1][b])
+            out.append(("?", [x]) if optional[0][a] or optional[1][b] else x)
         i, j = a + 1, b + 1
     return out
 
@@ -403,12 +453,31 @@ def reading(wrapper: list[tuple], n_pages: int) -> dict:
     return {"region": region, "drop": drop, "keep": keep}
 
 
+def shape(items: list[tuple]) -> str:
+    """Digest of a folded stream without its texts."""
+    return _digest(repr([*map(_key, items)]))
+
+
+def wrap(shapes: dict[str, list[tuple]]) -> list[tuple]:
+    """Wrapper of streams of different shapes, in the order of their digests."""
+    wrapper = None
+    for _, items in sorted(shapes.items()):
+        wrapper = items if wrapper is None else align(wrapper, items)
+    return wrapper or []
+
+
+def gather(shapes: dict, key, items: list[tuple]) -> None:
+    """Joins a stream to that of its shape."""
+    shapes[key] = [*map(joined, shapes[key], items)] if key in shapes else items
+
+
 def infer(pages: list[str]) -> tuple[list[tuple], dict]:
-    """Wrapper of some pages of one template, and how it reads a page."""
-    streams = [fold(stream(p)) for p in pages]
-    wrapper = streams[0] if streams else []
-    for s in streams[1:]:
-        wrapper = align(wrapper, s)
+    """Wrapper of pages of one template, and how it reads a page."""
+    shapes: dict[str, list[tuple]] = {}
+    for p in pages:
+        items = fold(stream(p))
+        gather(shapes, shape(items), items)
+    wrapper = wrap(shapes)
     return wrapper, reading(wrapper, len(pages))
 
 
@@ -424,7 +493,7 @@ def main_text(page: str, how: dict | None = None) -> str:
 
     def flush() -> None:
         for block, text, words in run:
-            if (block, words) not in drop:
+            if not drop or (block, told(words)) not in drop:
                 out.append(text)
         run.clear()
         out.append(" ")
@@ -461,42 +530,80 @@ def with_template(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(add, T.StructType([*rows.schema.fields, T.StructField("template", T.StringType())]))
 
 
+def _packed(items: list[tuple]) -> str:
+    return json.dumps(items, separators=(",", ":"))
+
+
+def _items(packed: str) -> list[tuple]:
+    def back(x: list) -> tuple:
+        return (x[0], [*map(back, x[1])]) if x[0] in ("+", "?") else tuple(x)
+
+    return [*map(back, json.loads(packed))]
+
+
+def _few(digests) -> list[int]:
+    """As many of the distinct digests as tell whether there are CONSTANT_PAGES."""
+    return sorted(set(digests))[:CONSTANT_PAGES]
+
+
 def wrappers(rows: DataFrame) -> DataFrame:
-    """(host, html) to host, template, how (JSON): one row per template of a host. Each task names, of each
-    template, the SAMPLE_PAGES distinct pages with the smallest digests; of these names the smallest
-    are taken, and only these pages are moved."""
-    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[str, str], set[int]] = {}
+    """(host, html) to host, template, how (JSON): one row per template of a host, from all of its pages. Each task joins the
+    streams of its pages shape by shape, and only these are moved. The shapes of a template are dealt to groups of
+    about GROUP by their digests, each group gives a wrapper, and so on until each template has one."""
+    fields = "host string, template string, shape string, pages array<long>, items string"
+
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        seen: dict[tuple, list[int]] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(keys := list(held)), 1000):
+                some = keys[lo : lo + 1000]
+                yield pa.record_batch([*(pa.array(c, pa.string()) for c in zip(*some)), pa.array([seen[k] for k in some], pa.list_(pa.int64())), pa.array([_packed(held[k]) for k in some])], names=["host", "template", "shape", "pages", "items"])
+
         for b in batches:
-            for host, page, h in zip(*(b.column(c).to_pylist() for c in ("host", "html", "digest"))):
-                own = best.setdefault((host, template(page or "")), set())
-                own.add(h)
-                if len(own) > SAMPLE_PAGES:
-                    own.remove(max(own))
-        told = [(host, t, h) for (host, t), own in best.items() for h in own]
-        for lo in range(0, len(told), 10_000):
-            hosts, templates, digests = zip(*told[lo : lo + 10_000])
-            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(templates, pa.string()), pa.array(digests, pa.int64())], names=["host", "template", "digest"])
-
-    rows = rows.select("host", "html", F.xxhash64("html").alias("digest"))
-    names = rows.mapInArrow(smallest, "host string, template string, digest long").distinct()
-    by = Window.partitionBy("host", "template").orderBy("digest")
-    sampled = small_side(names.withColumn("n", F.row_number().over(by)).where(F.col("n") <= SAMPLE_PAGES).drop("n"), "sampled")
-    pages = rows.join(sampled, ["host", "digest"]).groupBy("host", "template", "digest").agg(F.min("html").alias("html"))
+            for host, page, digest in zip(*(b.column(c).to_pylist() for c in ("host", "html", "digest"))):
+                parts = list(tokens(page or ""))
+                items = fold(stream(page or "", parts))
+                key = (host, template(page or "", parts), shape(items))
+                size += 0 if key in held else 30 * len(items)
+                gather(held, key, items)
+                seen[key] = _few([*seen.get(key, ()), digest])
+                if size > HELD:
+                    yield from sent()
+                    held.clear(), seen.clear()
+                    size = 0
+        yield from sent()
 
     def one(pdf):
         import pandas as pd
 
-        pages = [h or "" for h in pdf.sort_values("digest").html]
-        return pd.DataFrame({"host": [pdf.host.iloc[0]], "template": [pdf.template.iloc[0]], "how": [json.dumps(infer(pages)[1], ensure_ascii=False)]})
+        streams: dict[str, list[tuple]] = {}
+        for key, items in zip(pdf["shape"], pdf["items"]):
+            gather(streams, key, _items(items))
+        pages = _few(d for own in pdf["pages"] for d in own)
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "template": [pdf["template"].iloc[0]], "shape": [min(streams)], "pages": [pages], "items": [_packed(wrap(streams))]})
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            how = [json.dumps(reading(_items(x), len(p)), ensure_ascii=False) for x, p in zip(b.column("items").to_pylist(), b.column("pages").to_pylist())]
+            yield pa.record_batch([b.column("host"), b.column("template"), pa.array(how, pa.string())], names=["host", "template", "how"])
 
-    return pages.groupBy("host", "template").applyInPandas(one, "host string, template string, how string")
+    found = stored(rows.select("host", "html", F.xxhash64("html").alias("digest")).mapInArrow(shapes, fields), "shapes")
+    left = True
+    while left:
+        told_ = found.groupBy("host", "template").agg(F.countDistinct("shape").alias("n")).select("host", "template", F.ceil(F.col("n") / GROUP).cast("long").alias("groups"))
+        told_ = small_side(told_, "groups")
+        left = (told_.agg(F.max("groups")).first()[0] or 0) > 1
+        dealt = found.join(told_, ["host", "template"]).withColumn("group", F.pmod(F.xxhash64("shape"), F.col("groups")))
+        found = stored(dealt.groupBy("host", "template", "group").applyInPandas(one, fields), "wrapped")
+    return found.select("host", "template", "items", "pages").mapInArrow(read, "host string, template string, how string")
 
 
 def extract(pages: DataFrame, use_wrappers: bool = True) -> DataFrame:
     """page_id, url, text, n_chars of every row. Null html is an empty page; a null URL belongs to
     the host ''; rows that repeat an id or a URL are read one by one, each by its own html; other columns
-    are left out. Wrappers and samples are measured and joined by broadcast while they are small,
+    are left out. Wrappers are measured and joined by broadcast while they are small,
     so pages are not shuffled."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"\A[^:/?#]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", "html", host.alias("host"))

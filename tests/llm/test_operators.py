@@ -382,6 +382,30 @@ def test_html_templates_survive_numbers(spark):
         assert r.text == f"Story {r.page_id} {body}"
 
 
+def test_html_wrappers_are_of_all_pages(spark, monkeypatch):
+    """A box that one page of many has with other words is no constant, and a part that few pages fill is kept; in any number of groups."""
+    def page(k):
+        body = " ".join(f"w{(k * 37 + j * 11) % 997}" for j in range(40))
+        box = "Other words" if k == 77 else "Always the same words"
+        lead = f"<p>Lead {k} {body} {body}</p>" if k >= 75 else ""
+        extra = "".join(f"<h{j}>x</h{j}>" for j in range(1, 7) if k >> j & 1)
+        return f"<body><div class=main7><div class=article-header>{lead}</div><p>Story {k} {body}</p>{extra}<div class=box>{box}</div><div class=foot9>Made by us</div></div></body>"
+
+    table = spark.createDataFrame([(k, "http://h.example/x", page(k)) for k in range(80)], "page_id long, url string, html string")
+    for group in (32, 3):
+        monkeypatch.setattr(html_extract, "GROUP", group)
+        got = {r.page_id: r.text for r in html_extract.extract(table.repartition(5)).collect()}
+        assert len(got) == 80 and all(("Lead" in t) == (k >= 75) for k, t in got.items())
+        assert all(t.endswith("Other words" if k == 77 else "Always the same words") for k, t in got.items())
+
+
+def test_html_fold_by_hand():
+    t, x = ("t", "li"), ("t", "/li")
+    items = [("t", "ul"), t, ("#", "aa"), x, t, ("#", "b"), x, t, ("#", "cccc"), x, ("t", "/ul"), ("#", "end")]
+    assert html_extract.fold(items) == [("t", "ul"), ("+", [t, ("#", None, 7), x]), ("t", "/ul"), ("#", "end")]
+    assert html_extract.fold(items[:4]) == items[:4] and html_extract.fold([]) == []
+
+
 def test_html_wrapper_matches_its_pages():
     """Alignment against brute force: the wrapper, as a regular expression, matches each page that it was made of."""
     rng = np.random.default_rng(5)
