@@ -82,6 +82,25 @@ def test_kept_bars():
         assert not any(left[i : i + k] == left[i + k : i + 2 * k] for k in range(1, 16) for i in range(len(left) - 2 * k + 1))
 
 
+def test_kept_bars_compares_few():
+    """Periods are tried only where the first bar comes again, so bars without repeats are not compared with all others."""
+    asked = [0]
+
+    class Bar:
+        def __init__(self, k):
+            self.k = k
+
+        def __hash__(self):
+            return self.k
+
+        def __eq__(self, other):
+            asked[0] += 1
+            return self.k == other.k
+
+    assert D.kept_bars([Bar(k) for k in range(512)]) == [*range(512)] and asked[0] < 10 * 512
+    assert D.kept_bars([Bar(k % 100) for k in range(512)]) == [*range(100), *range(500, 512)]
+
+
 def test_remove_repeated_bars(spark):
     rows = [r for i, p in enumerate([60, 62, 60, 62, 64]) for r in ((1, 2 * i, "bar", None, 0, None, 4.0 * i, 4.0 * i + 4, i + 1), (1, 2 * i + 1, "note", "p", 0, float(p), 4.0 * i + 1, 4.0 * i + 2, i + 1))]
     df = spark.createDataFrame([(1, -1, "tempo", None, 0, None, -1.0, None, -1), *rows], NOTE + ", bar_number int")
