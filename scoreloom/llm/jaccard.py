@@ -1,10 +1,15 @@
 """Near duplicates by the Jaccard similarity of their word shingles, all links found and confirmed.
 
+SimHash goes first: each distinct set has a fingerprint, fingerprints within RADIUS bits are linked through the vantage-point trees of
+simhash.py, and these links are confirmed on the whole sets. Sets of similarity 4/5 are often farther apart than any radius that
+trees can prune by, so what SimHash has left unlinked is searched by a prefix filter.
+
 Prefix filter: with all shingles in one order, two sets of similarity 4/5 or more share one of
 their first n - ceil(4n/5) + 1 shingles, n the size of either set. The order is by count in a bounded sample,
 then by hash: common shingles come last, which only makes lists short; any order finds the same links.
 Candidates share such a shingle; links are those whose whole sets pass. The members of a shingle's list are
-never gathered: lists are described by counts and sums, and each is first linked as a star. In lists that
+never gathered: lists are described by counts and sums, and each is first linked as a star, from its center to the members of other
+classes than the center's. In lists that
 then still reach over several components, members are compared in pairs of blocks of bounded
 size, first by sketches. Blocks in which these leave few pairs name them, and each pair is compared once,
 however many lists it shares; in the others whole sets are compared, giving no pairs but a spanning forest of their links.
@@ -24,11 +29,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.llm import simhash
 from scoreloom.llm.arrowtext import slices
 from scoreloom.llm.components import components
 from scoreloom.llm.scratch import discard, small_side, stored, unused
 from scoreloom.llm.simhash import Forest, shingle_hashes
 
+#: Differing bits up to which fingerprints are linked: the most that leave one bit for the nearest of three blocks.
+RADIUS = 5
 #: Documents whose shingles are counted for the order, and most counts kept.
 SAMPLE, COMMON = 8_000, 200_000
 #: Hashes of a block, at about which members of a list are parted, for sets and for sketches.
@@ -67,7 +75,7 @@ def _mapped(docs: DataFrame, shingle: int, schema: str, make) -> DataFrame:
 
 
 def _summaries(docs: DataFrame, shingle: int, common: np.ndarray, weight: np.ndarray) -> DataFrame:
-    """doc_id, sig, n (size of the set), first (the first of its shingles by the order; null where the
+    """doc_id, sig, fp (fingerprint of the set), n (its size), first (the first of its shingles by the order; null where the
     same task has given them for an equal set)."""
     sent = docs.sparkSession.sparkContext.broadcast((common, weight))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -89,9 +97,9 @@ def _summaries(docs: DataFrame, shingle: int, common: np.ndarray, weight: np.nda
                 keep = np.where(new, n - -(-4 * n // 5) + 1, 0)
                 keep[n == 0] = 0
                 toks = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(keep))).astype(np.int32)), pa.array(each[order][place < keep[row]].view(np.int64)))
-                yield pa.record_batch([b.column("doc_id"), pa.array(digest.view(np.int64)), pa.array(n.astype(np.int32)), pc.if_else(pa.array(new), toks, pa.scalar(None, toks.type))], names=["doc_id", "sig", "n", "first"])
+                yield pa.record_batch([b.column("doc_id"), pa.array(digest.view(np.int64)), pa.array(simhash.majority_bits(each, n).view(np.int64)), pa.array(n.astype(np.int32)), pc.if_else(pa.array(new), toks, pa.scalar(None, toks.type))], names=["doc_id", "sig", "fp", "n", "first"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sig long, n int, first array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sig long, fp long, n int, first array<long>")
 
 
 def sketches(each: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -273,6 +281,16 @@ def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     return named.unionByName(dealt.groupBy("list", "x", "y").applyInArrow(compare, "a long, b long"))
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets (sig, fp) that SimHash links: all sets of one fingerprint with the first of them, and these along a
+    forest of the fingerprints within RADIUS bits."""
+    prints = stored(nodes.groupBy("fp").agg(F.min("sig").alias("sig")), "prints")
+    same = nodes.join(prints.select("fp", F.col("sig").alias("a")), "fp").where("sig <> a").select("a", F.col("sig").alias("b"))
+    a, b = (prints.select(F.col("fp").alias(f"f{c}"), F.col("sig").alias(c)) for c in "ab")
+    near = simhash.links(prints, RADIUS).select(F.col("a").alias("fa"), F.col("b").alias("fb")).distinct()
+    return same.unionByName(near.join(a, "fa").join(b, "fb").select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """(doc_id, text) to doc_id, component_id: the smallest id of all documents reachable over pairs
     of Jaccard similarity 4/5 or more. Texts without words are alike."""
@@ -284,7 +302,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     told = stored(_summaries(docs, shingle, common[order], weight[order]), "summaries")
     digests = told.select("doc_id", "sig")
-    nodes = stored(digests.groupBy("sig").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = stored(told.groupBy("sig").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "nodes")
 
     prefixes = told.where("first IS NOT NULL").select(F.explode("first").alias("tok"), "sig", "n")
     shared = prefixes.groupBy("tok").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("tok")
@@ -295,12 +313,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     members = stored(prefixes.join(small_side(lists.select("tok", "center"), "lists"), "tok").select(F.col("tok").alias("list"), "center", "sig", "n"), "members")
 
     discard(prefixes)
-    first = members.select("sig").distinct().join(nodes, "sig").select(F.col("least").alias("doc_id"))
+    first = members.select("sig").distinct().join(nodes.select("sig", "least"), "sig").select(F.col("least").alias("doc_id"))
     sets = stored(_sets(docs.join(small_side(first, "first"), "doc_id", "left_semi"), shingle), "sets")
 
-    centers = members.where("sig = center").select("list", F.col("n").alias("cn"))
-    star = members.join(centers, "list").where((F.col("sig") != F.col("center")) & _fits("n", "cn")).select(F.col("center").alias("a"), F.col("sig").alias("b")).distinct()
-    links = stored(_confirmed(star, sets), "links")
+    alike = stored(_confirmed(_by_fingerprint(nodes.select("sig", "fp")), sets), "alike")
+    classes = small_side(components(alike), "classes")
+    rooted = members.join(classes, members.sig == classes.node, "left").select("list", "center", "sig", "n", F.coalesce("root", "sig").alias("root"))
+
+    centers = rooted.where("sig = center").select("list", F.col("n").alias("cn"), F.col("root").alias("croot"))
+    star = rooted.join(centers, "list").where((F.col("root") != F.col("croot")) & _fits("n", "cn")).select(F.col("center").alias("a"), F.col("sig").alias("b")).distinct()
+    links = stored(alike.unionByName(_confirmed(star, sets)), "links")
     roots = stored(components(links), "roots")
 
     spread = stored(members.join(roots, members.sig == roots.node, "left").select("list", "sig", "n", F.coalesce("root", "sig").alias("root")), "spread")

@@ -60,8 +60,12 @@ def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarra
 
 def simhash_batch(texts: pa.Array, shingle: int) -> np.ndarray:
     """A 64-bit fingerprint of each text over its word shingles, repeats included."""
-    each, count = shingle_hashes(texts, shingle)
-    out = np.zeros(len(texts), np.uint64)
+    return majority_bits(*shingle_hashes(texts, shingle))
+
+
+def majority_bits(each: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Of each `count` hashes in turn the 64 bits that are set in over half of them; none: zero."""
+    out = np.zeros(len(count), np.uint64)
     if not len(each):
         return out
     some = np.flatnonzero(count)
@@ -248,7 +252,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, text_col: str = "text") -> DataFrame:
-    """One row of each group of documents with Jaccard similarity 4/5 or more (scoreloom/llm/jaccard.py)."""
+    """One row of each group of documents with Jaccard similarity 4/5 or more, by SimHash with every link confirmed, and for what
+    is too far apart for that by a prefix filter (scoreloom/llm/jaccard.py)."""
     from scoreloom.llm import jaccard
 
     return jaccard.deduplicate(docs, shingle, text_col)

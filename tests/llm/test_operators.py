@@ -181,6 +181,35 @@ def test_deduplicate_links_all_near_copies(spark, monkeypatch, block, pairs):
     assert near > 30 and sorted(got) == [i for i, p in enumerate(parent) if i == p]
 
 
+def test_deduplicate_goes_by_fingerprints_first(spark, monkeypatch):
+    """SimHash sees every distinct set; what it links and the sets confirm is not compared again."""
+    from scoreloom.llm import jaccard
+
+    rng, texts = np.random.default_rng(8), []
+    for _ in range(12):
+        words = [f"w{k}" for k in rng.integers(0, 5000, 300)]
+        texts += [" ".join(words), " ".join(words), " ".join([*words, "end"]), " ".join(["start", *words]), " ".join(words[:255])]
+    prints, asked, found = [], [], []
+    links, confirmed = simhash.links, jaccard._confirmed
+    monkeypatch.setattr(simhash, "links", lambda nodes, *a: prints.append(nodes.count()) or links(nodes, *a))
+
+    def confirming(pairs, sets):
+        asked.append({(r.a, r.b) for r in pairs.collect()})
+        out = confirmed(pairs, sets)
+        found.append({(r.a, r.b) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(jaccard, "_confirmed", confirming)
+    kept = [r.doc_id for r in simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()]
+    assert sorted(kept) == list(range(0, 60, 5)) and 12 < prints[0] <= 48
+    parent = {}
+    top = lambda x: top(parent[x]) if x in parent else x
+    for a, b in found[0]:
+        if top(a) != top(b):
+            parent[top(a)] = top(b)
+    assert len(found[0]) > 12 and asked[1] and not [1 for a, b in asked[1] if top(a) == top(b)]
+
+
 def test_block_links():
     from scoreloom.llm import jaccard
 
