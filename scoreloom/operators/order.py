@@ -39,16 +39,6 @@ def ffill(column: str | Column, over: Window) -> Column:
     return F.last(column, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def _with_inferred_bars(df: DataFrame) -> DataFrame:
-    """Bars added to the scores that have time signatures but no bars."""
-    from scoreloom.operators.meter import infer_barlines
-
-    given, signs = unused(df, "given"), unused(df, "signs")
-    s = infer_barlines(df.withColumn(given, F.lit(True)))
-    s = s.withColumn(signs, F.max(F.col("type") == "time_signature").over(Window.partitionBy("score_id")))
-    return s.where(F.col(given) | F.col(signs)).select(*df.columns)
-
-
 def crop_df(df: DataFrame, start_time: float | None = None, start_row: int | None = None, end_row: int | None = None, infer_bars: bool = True) -> DataFrame:
     """Rows of each score, in canonical order, from the first note at or after `start_time` (or from the
     note `start_row`) to the row `end_row`, both included. The last time signature and bar before the first
@@ -57,10 +47,16 @@ def crop_df(df: DataFrame, start_time: float | None = None, start_row: int | Non
     first (row_id null); without `infer_bars` they keep the time signature's onset, as scores without either do."""
     if start_time is not None and start_row is not None:
         raise ValueError("start_time or start_row, not both")
-    if infer_bars and "other" in df.columns and not (start_time is None and start_row is None):
-        df = _with_inferred_bars(df)
-    whole = Window.partitionBy("score_id")
-    s = df.withColumn("__seq", F.row_number().over(order(df)))
+    whole, columns = Window.partitionBy("score_id"), df.columns
+    if infer_bars and "other" in columns and not (start_time is None and start_row is None):
+        from scoreloom.operators.meter import infer_barlines
+
+        # bars of scores without time signatures go after the sort, which then serves all windows below: numbers of rows only order them
+        given, signs = unused(df, "given"), unused(df, "signs")
+        s = infer_barlines(df.withColumn(given, F.lit(True))).withColumn("__seq", F.row_number().over(order(df)))
+        s = s.withColumn(signs, F.max(F.col("type") == "time_signature").over(whole)).where(F.col(given) | F.col(signs)).drop(given, signs)
+    else:
+        s = df.withColumn("__seq", F.row_number().over(order(df)))
     if start_time is None and start_row is None:
         s = s.withColumn("__first", F.lit(1))
     else:
@@ -72,7 +68,7 @@ def crop_df(df: DataFrame, start_time: float | None = None, start_row: int | Non
     s = s.withColumn("__bar", before("bar")).withColumn("__sig", before("time_signature"))
     carried = F.col("__seq") == F.col("__sig.__seq")
     kept = s.where((F.col("__seq") >= F.col("__first")) | carried | (F.col("__seq") == F.col("__bar.__seq")))
-    return kept.withColumn("onset", F.when(F.coalesce(carried, F.lit(False)), F.coalesce("__bar.onset", "onset")).otherwise(F.col("onset"))).select(*df.columns)
+    return kept.withColumn("onset", F.when(F.coalesce(carried, F.lit(False)), F.coalesce("__bar.onset", "onset")).otherwise(F.col("onset"))).select(*columns)
 
 
 def segment_df_by_onset(df: DataFrame, segment_dur: float) -> DataFrame:

@@ -102,3 +102,14 @@ def test_parts_with_marks(spark):
     df = spark.createDataFrame(rows, "score_id long, row_id long, type string, instrument string")
     parts = O.split_by(df, "instrument", ["view", "error", "none"], with_marks=True)
     assert {v: sorted(r.row_id for r in p.collect()) for v, p in parts.items()} == {"view": [0, 1, 2, 5], "error": [0, 1, 3, 5], "none": [0, 1, 5]}
+
+
+def test_crop_sorts_whole_scores_once(spark):
+    """After bars are inferred one sort of all rows serves every window of the crop."""
+    rows = [(1, 0, "time_signature", 0.0, None, '{"numerator": 4, "denominator": 4}'), (1, 1, "note", 1.0, 9.0, None), (1, 2, "note", 9.0, 10.0, None), (2, 3, "note", 9.5, 10.0, None)]
+    df = spark.createDataFrame(rows, "score_id long, row_id long, type string, onset double, release double, other string")
+    got = O.crop_df(df, 9.0)
+    assert sorted((r.score_id, r.type, r.onset) for r in got.collect()) == [(1, "bar", 8.0), (1, "note", 9.0), (1, "time_signature", 8.0), (2, "note", 9.5)]
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    spine = got._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+    assert "Window" in plan and spine.count("Sort [") <= 1
