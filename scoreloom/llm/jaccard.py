@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm import simhash
 from scoreloom.llm.arrowtext import slices
-from scoreloom.llm.components import components
+from scoreloom.llm.components import Forest, components
 from scoreloom.llm.scratch import discard, small_side, stored, unused
-from scoreloom.llm.simhash import Forest, shingle_hashes
+from scoreloom.llm.simhash import shingle_hashes
 
 #: Differing bits up to which fingerprints are linked: the most that leave one bit for the nearest of three blocks.
 RADIUS = 5

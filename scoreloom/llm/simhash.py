@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreloom.llm.arrowtext import slices, words
-from scoreloom.llm.components import components
+from scoreloom.llm.components import Forest, components
 from scoreloom.llm.scratch import stored
 
 #: Fingerprints per leaf that trees aim at; sampled fingerprints per leaf, and at most.
@@ -149,28 +149,6 @@ class Tree:
         yield from walk(self.root, np.arange(len(fps)), np.ones(len(fps), bool))
 
 
-class Forest:
-    """Union-find over the fingerprints of a shard."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        p = self.parent
-        while len(i):
-            a, b = p[i], p[j]
-            new = a != b
-            i, j, a, b = i[new], j[new], a[new], b[new]
-            if not len(i):
-                return
-            np.minimum.at(p, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                up = p[p]
-                if (up == p).all():
-                    break
-                p[:] = up
-
-
 def search_shard(fps: np.ndarray, home: np.ndarray, mask: np.uint64, radius: int, most: int, seed: int = 0) -> Forest:
     """All links with at least one end at home, within `most` bits."""
     rng, forest = np.random.default_rng(seed), Forest(len(fps))

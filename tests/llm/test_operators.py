@@ -138,6 +138,24 @@ def test_trees_lose_no_link(spark, seed):
     assert len({(c, root.get(f, f)) for c, f in zip(comp, fps)}) == len(set(comp)) == len({root.get(f, f) for f in fps})
 
 
+def test_components_of_what_a_task_holds_need_no_rounds(spark, monkeypatch):
+    from scoreloom.llm import components as module
+
+    steps, large = [], module._large
+    monkeypatch.setattr(module, "_large", lambda links: steps.append(1) or large(links))
+    links = [(i, i + 1) for i in range(0, 80, 2)] + [(i, i + 1) for i in range(79, 0, -2)] + [(200, 300), (300, 200), (5, 5)]
+    table = spark.createDataFrame(links, "a long, b long").coalesce(1)
+    want = {i: 0 for i in range(81)} | {200: 200, 300: 200}
+    assert {r.node: r.root for r in components(table).collect()} == want and not steps
+    monkeypatch.setattr(module, "LINKS", 1)  # batches of two rows, each joined for itself
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert {r.node: r.root for r in components(table).collect()} == want and steps
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert components(table.limit(0)).count() == 0
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
