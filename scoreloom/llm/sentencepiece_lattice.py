@@ -5,7 +5,8 @@ are joined to the piece table; the edges found are grouped by word, and a higher
 folds them. Two folds: ``viterbi`` takes the path with the best sum of scores, which is what a
 unigram model means; ``merges`` is the rule of a BPE model on the same lattice: in each
 step the edge with the best score that joins two neighbouring symbols (of equal ones the
-leftmost) becomes one symbol. The public model is a BPE model, for which a Viterbi path over its
+leftmost) becomes one symbol. If no merge makes room for a better one, which is known from the
+pieces alone (``late``), the fold goes once over a word's edges, best first; else it searches them anew for each merge. The public model is a BPE model, for which a Viterbi path over its
 scores gives other ids than the model's own (README), so op7 folds by merges.
 
 A text is cut wherever no piece of the model holds the two signs that meet there; no piece and
@@ -111,6 +112,24 @@ def model(path: str) -> Model:
     return Model(path)
 
 
+@lru_cache(maxsize=2)
+def late(m: Model) -> frozenset[str]:
+    """Pieces that their own signs reach only over a merge whose score is no better. Only they can come up after
+    worse edges were taken: while an edge has both its ends, what merges inside it merges as in its piece alone."""
+    out = set()
+    for piece in m.pieces:
+        sym, worst = list(piece), float("inf")
+        while len(sym) > 1:
+            score, k = max(((hit[1], -k) for k, xy in enumerate(zip(sym, sym[1:])) if (hit := m.pieces.get(xy[0] + xy[1]))), default=(None, 0))
+            if score is None:
+                break
+            if len(sym) == 2 and score >= worst:
+                out.add(piece)
+            worst = min(worst, score)
+            sym[-k : 2 - k] = [sym[-k] + sym[1 - k]]
+    return frozenset(out)
+
+
 def cut(texts: pa.Array, m: Model) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words of all texts: codes, distinct words (with spaces), bounds of each text. Each non-empty
     text gets a space in front, as the model wants it."""
@@ -140,16 +159,19 @@ def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
 
 
 def merges(lattice: DataFrame) -> DataFrame:
-    """Edges (word, s, t, id, rank) to word, starts (place of each piece, null if they cover the word), ids, by the BPE rule."""
+    """Edges (word, s, t, id, rank, late) to word, starts (place of each piece, null if they cover the word), ids, by the BPE rule."""
     # an edge is one long, rank first: 20 bits each for rank and id, 6 each for place and length
     edge = F.expr("shiftleft(cast(rank as bigint), 32) | shiftleft(cast(s as bigint), 26) | shiftleft(cast(t - s as bigint), 20) | id").alias("e")
-    grouped = lattice.select("word", edge).groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("packed"))
+    grouped = lattice.select("word", edge, "late").groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("packed"), F.bool_or("late").alias("late"))
     place = "cast(shiftright(e, 26) & 63 as int)"
     stop = f"{place} + cast(shiftright(e, 20) & 63 as int)"
     told = f"transform(packed, e -> named_struct('s', {place}, 'n', cast(shiftright(e, 20) & 63 as int), 'ends', shiftleft(1L, {place}) | shiftleft(1L, {stop}), 'inner', (shiftleft(1L, {stop}) - 1) & ~(shiftleft(1L, {place} + 1) - 1), 'id', cast(e & 1048575 as int)))"
     grouped = grouped.withColumn("edges", F.expr(told))
-    # each step of the fold joins the two symbols that the first free edge spans
-    bits = "aggregate(sequence(1, greatest(char_length(word) - 1, 1)), shiftleft(1L, char_length(word) + 1) - 1, (b, k) -> b & ~coalesce(get(filter(edges, e -> (b & e.ends) = e.ends AND bit_count(b & e.inner) = 1), 0).inner, 0L))"
+    # an edge is free if it spans two symbols, which it joins: with no late edge one turn over all does, else each step takes the first free one
+    all_ends, free = "shiftleft(1L, char_length(word) + 1) - 1", "(b & e.ends) = e.ends AND bit_count(b & e.inner) = 1"
+    once = f"aggregate(edges, {all_ends}, (b, e) -> if({free}, b & ~e.inner, b))"
+    anew = f"aggregate(sequence(1, greatest(char_length(word) - 1, 1)), {all_ends}, (b, k) -> b & ~coalesce(get(filter(edges, e -> {free}), 0).inner, 0L))"
+    bits = f"if(late, {anew}, {once})"
     found = "array_sort(transform(filter(edges, e -> (bits & e.ends) = e.ends AND (bits & e.inner) = 0), e -> struct(e.s, e.id, e.n)))"
     done = grouped.withColumn("bits", F.expr(bits)).withColumn("found", F.expr(found))
     whole = F.expr("aggregate(found, 0, (a, x) -> a + x.n) = char_length(word)")
@@ -172,10 +194,10 @@ def viterbi(lattice: DataFrame) -> DataFrame:
 
 
 def piece_table(spark: SparkSession, m: Model) -> DataFrame:
-    """piece, id, score, rank (0: the best score)."""
+    """piece, id, score, rank (0: the best score), late."""
     order = {s: k for k, s in enumerate(sorted({s for _, s in m.pieces.values()}, reverse=True))}
     ids, scores = zip(*m.pieces.values())
-    return spark.createDataFrame(pa.table({"piece": list(m.pieces), "id": pa.array(ids, pa.int32()), "score": pa.array(scores, pa.float64()), "rank": pa.array([order[s] for s in scores], pa.int32())}))
+    return spark.createDataFrame(pa.table({"piece": list(m.pieces), "id": pa.array(ids, pa.int32()), "score": pa.array(scores, pa.float64()), "rank": pa.array([order[s] for s in scores], pa.int32()), "late": [p in late(m) for p in m.pieces]}))
 
 
 def _assemble(m: Model, word: str, starts: list[int], ids: list[int]) -> list[int]:

@@ -503,6 +503,33 @@ def test_sentencepiece(spark, docs):
     assert none.count() == 0 and sentencepiece_lattice.decode(none, path).count() == 0
 
 
+def test_words_are_folded_in_one_turn_unless_a_piece_comes_late(spark):
+    """`late` tells the pieces that come up after worse merges; words with one are searched anew for each merge."""
+    import public_tokenizers
+
+    class Few:
+        merge, sign, bytes, unknown = sentencepiece_lattice.Model.merge, sentencepiece_lattice.Model.sign, {}, 0
+
+        def __init__(self, names):
+            self.pieces = {p: (i + 1, -float(i)) for i, p in enumerate(names)}
+            self.names, self.longest = ["?", *names], max(map(len, names))
+
+    signs = ["a", "b", "c", "d"]
+    # abcd and cdc are made of pieces worse than they are; abc, ba and dd are not
+    odd = Few(["ab", "abcd", "cdc", "ba", "abc", "cd", "bcd", "dd", *signs])
+    assert sentencepiece_lattice.late(odd) == {"abcd", "cdc"}
+    real = sentencepiece_lattice.model(public_tokenizers.path("piece_bpe_32k.model"))
+    assert {set(p) == {"▁"} for p in sentencepiece_lattice.late(real)} == {True}
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").where("text IS NOT NULL").collect()]
+    some = {w.replace(" ", "▁") for w in sentencepiece_lattice.cut(pa.array(texts), real)[1].to_pylist() if len(w) <= 60}
+    for m, words in ((odd, ["".join(w) for n in range(1, 7) for w in itertools.product("abcd", repeat=n)]), (real, sorted(some | {"▁" * n + "then" for n in range(1, 40)}))):
+        given = spark.createDataFrame([(w,) for w in words], "word string").repartition(8)
+        got = {r.word: r for r in sentencepiece_lattice.merges(sentencepiece_lattice.edges(given, sentencepiece_lattice.piece_table(spark, m), m.longest)).collect()}
+        for w in words:
+            ids = sentencepiece_lattice._assemble(m, w, got[w].starts, got[w].ids) if w in got and got[w].starts is not None else got[w].ids if w in got else m.merge(w)
+            assert ids == m.merge(w), w
+
+
 def test_viterbi_fold(spark):
     rng = np.random.default_rng(2)
     pieces = {"a": -1.0, "b": -1.5, "c": -4.0, "ab": -1.75, "abc": -3.0, "bc": -2.25, "ca": -2.0, "aa": -1.875}
