@@ -1,4 +1,4 @@
-"""Connected components of a link table: union-find within tasks, then alternating large and small stars."""
+"""Connected components of a link table: union-find within tasks, and where links fill several tasks alternating large and small stars."""
 
 from __future__ import annotations
 
@@ -76,13 +76,22 @@ def _small(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(a, b) pairs of longs, a <> b, to (node, root): every node that has a link, with the
     smallest node of its component. Minima are taken with partial sums, so a node with very
-    many links is no burden for one task; each step is stored, so its lineage and its plan are short."""
-    now = stored(_joined(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), "links")
-    while not _are_stars(now):
+    many links is no burden for one task; each step is stored, so its lineage and its plan are short.
+    What tasks have joined is read again by as few tasks as hold it, LINKS links each, before any round:
+    rounds shuffle the links nine times and are for tables that no task can hold."""
+    def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+        new = stored(new, "links")
+        discard(old)
+        return new
+
+    now = stored(_joined(links.where("a <> b").select("a", "b")), "links")
+    while True:
+        tasks = max(1, -(-now.count() // LINKS))
+        now = replaced(now, _joined(now.coalesce(tasks)))
+        if tasks == 1 or _are_stars(now):
+            break
         for step in (_large, _small):
-            new = stored(step(now), "links")
-            discard(now)
-            now = new
+            now = replaced(now, step(now))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

@@ -273,12 +273,13 @@ def _in_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     wide = _dealt(members, F.greatest(F.ceil(F.col("total") / SKETCH_BLOCK), F.ceil(F.col("c") / SKETCHES)))
     probed = stored(wide.join(sets.select("sig", "sketch"), "sig").groupBy("list", "x", "y").applyInArrow(probe, "list long, sig long, mate long"), "probed")
     # two texts share many lists: a pair is named in each of them and compared once
-    named = _alike(probed.where("mate IS NOT NULL").select(F.col("sig").alias("a"), F.col("mate").alias("b")).distinct(), sets)
+    # each kind of links is stored for itself: one plan with both has the driver run a dozen stages at once
+    named = stored(_alike(probed.where("mate IS NOT NULL").select(F.col("sig").alias("a"), F.col("mate").alias("b")).distinct(), sets), "named")
     dense = small_side(probed.where("mate IS NULL").select("list", "sig").distinct(), "dense")
     left = stored(members.join(dense, ["list", "sig"], "left_semi"), "left")
     asked = small_side(left.select("sig").distinct(), "asked")
     dealt = _dealt(left, F.ceil(F.col("total") / BLOCK)).join(sets.join(asked, "sig", "left_semi").select("sig", "hashes"), "sig")
-    return named.unionByName(dealt.groupBy("list", "x", "y").applyInArrow(compare, "a long, b long"))
+    return named.unionByName(stored(dealt.groupBy("list", "x", "y").applyInArrow(compare, "a long, b long"), "compared"))
 
 
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:
@@ -294,6 +295,12 @@ def _by_fingerprint(nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """(doc_id, text) to doc_id, component_id: the smallest id of all documents reachable over pairs
     of Jaccard similarity 4/5 or more. Texts without words are alike."""
+    digests, named, least = _grouped(docs, shingle)
+    return digests.join(named.select("sig", "root").join(least, "root").select("sig", "component_id"), "sig").select("doc_id", "component_id")
+
+
+def _grouped(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of (doc_id, text) the sets (doc_id, sig), their components (sig, least, root), and what these are called (root, component_id)."""
     total = max(1, docs.count())
     some = docs if total <= SAMPLE else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(total)) < SAMPLE)
     seen = _sets(some, shingle).select("hashes").select(F.explode("hashes").alias("tok")).groupBy("tok").count().where("count > 1").orderBy(F.desc("count"), "tok").limit(COMMON).toPandas()
@@ -316,7 +323,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     first = members.select("sig").distinct().join(nodes.select("sig", "least"), "sig").select(F.col("least").alias("doc_id"))
     sets = stored(_sets(docs.join(small_side(first, "first"), "doc_id", "left_semi"), shingle), "sets")
 
-    alike = stored(_confirmed(_by_fingerprint(nodes.select("sig", "fp")), sets), "alike")
+    alike = stored(_confirmed(stored(_by_fingerprint(nodes.select("sig", "fp")), "near"), sets), "alike")
     classes = small_side(components(alike), "classes")
     rooted = members.join(classes, members.sig == classes.node, "left").select("list", "center", "sig", "n", F.coalesce("root", "sig").alias("root"))
 
@@ -331,8 +338,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     for table in (members, sets, links, spread):
         discard(table)
     named = nodes.join(roots, nodes.sig == roots.node, "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return digests.join(named.select("sig", "root").join(least, "root").select("sig", "component_id"), "sig").select("doc_id", "component_id")
+    return digests, named, named.groupBy("root").agg(F.min("least").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, text_col: str = "text") -> DataFrame:
@@ -342,6 +348,6 @@ def deduplicate(docs: DataFrame, shingle: int = 5, text_col: str = "text") -> Da
     empty texts are near duplicates of each other; other columns are kept, whatever their names."""
     row = unused(docs, "row")
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), F.col(text_col).alias("text")), shingle)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(row))
+    _, _, least = _grouped(rows.select(F.col(row).alias("doc_id"), F.col(text_col).alias("text")), shingle)
+    first = least.select(F.col("component_id").alias(row))  # numbers are unique: the row that a component is called after is its first
     return rows.join(first, row, "left_semi").drop(row).select(*docs.columns)

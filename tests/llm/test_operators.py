@@ -156,6 +156,25 @@ def test_components_of_what_a_task_holds_need_no_rounds(spark, monkeypatch):
     assert components(table.limit(0)).count() == 0
 
 
+def test_components_that_a_task_can_hold_need_no_rounds(spark, monkeypatch):
+    from scoreloom.llm import components as module
+
+    steps, large = [], module._large
+    monkeypatch.setattr(module, "_large", lambda links: steps.append(1) or large(links))
+    links = [(i, i + 1) for i in range(80)] + [(i + 1, i) for i in range(80)] + [(200, 300), (5, 5)]
+    table = spark.createDataFrame(links, "a long, b long").repartition(7)
+    want = {i: 0 for i in range(81)} | {200: 200, 300: 200}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a shuffle deals them to several tasks
+    try:
+        assert [(r.node, r.root) for r in components(table).orderBy("node").collect()] == sorted(want.items()) and not steps
+        monkeypatch.setattr(module, "LINKS", 30)  # now they fill several tasks
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        assert [(r.node, r.root) for r in components(table).orderBy("node").collect()] == sorted(want.items()) and steps
+    finally:
+        for key in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+            spark.conf.unset(key)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
